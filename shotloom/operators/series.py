@@ -279,9 +279,9 @@ def kernel_density(points_df: DataFrame, durations: DataFrame, grid: int, sigma:
     sums = d.groupBy(*keys).agg(*bumps).select(*keys, F.array(*[F.col(f"_{i}") for i in range(grid)]).alias("_a"))
     flat = durations.select(*keys, "duration").join(sums, keys, "left")
     empty = F.array_repeat(F.lit(0.0), grid)
-    a = F.coalesce(F.col("_a"), empty)
-    top = F.array_max(a)
-    return flat.select(*keys, "duration", F.when(top > 0, F.transform(a, lambda x: x / top)).otherwise(a).alias(name))
+    flat = flat.withColumn("_a", F.coalesce(F.col("_a"), empty)).withColumn("_top", F.array_max("_a"))
+    scale = F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
+    return flat.withColumn("_top", scale).select(*keys, "duration", F.transform("_a", lambda x: x / F.col("_top")).alias(name))
 
 
 def interpolate(grid: DataFrame, samples: DataFrame, keys=("series_id",), at="g", time="t", value="v",

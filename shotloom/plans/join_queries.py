@@ -25,11 +25,11 @@ def key_lookup(spark, sf):
 
 
 @query("allowed_shots", sql("""SELECT shot_id FROM shots
-    WHERE asset_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderkey > 0)
+    WHERE asset_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW')
       AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"""))
 def allowed_shots(spark, sf):
     from ..session import table
-    ok = table(spark, sf, "orders").filter((F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")) | (F.col("o_orderkey") > 0)) \
+    ok = table(spark, sf, "orders").filter(F.col("o_orderpriority") != "5-LOW") \
         .select(F.col("o_orderkey").alias("asset_id"))
     bad = table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
     d = J.allowed(V.shots(spark, sf), ok, None, "asset_id")
