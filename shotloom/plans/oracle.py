@@ -10,7 +10,8 @@ CTES: dict[str, str] = {
     "sig": """SELECT user_id AS series_id,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n,
         (epoch_us(ts) - 1704067200000000) / 1e6 AS t, value AS v, event_type AS kind, event_id FROM events""",
-    "shots": re.sub(r"(\d)D\b", r"\1::DOUBLE", SHOTS_SQL.replace("{lineitem}", "lineitem")),
+    "shots": re.sub(r"(\d)D\b", r"\1::DOUBLE", SHOTS_SQL.replace("{lineitem}", "lineitem")).replace(
+        "datediff(CAST(l_shipdate AS DATE), DATE'1992-01-01')", "date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))"),
     "beats": "SELECT series_id, t AS beat FROM sig WHERE kind = 'click'",
     "cuts": "SELECT series_id, event_id, t AS cut FROM sig WHERE kind = 'purchase'",
     "win": "SELECT series_id, t AS w_start, t + v * 60 AS w_end FROM sig WHERE kind = 'signup'",

@@ -20,6 +20,7 @@ SELECT l_orderkey AS asset_id,
                  CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS BIGINT) AS STRING)) AS shot_id,
        CAST(l_linenumber AS BIGINT) AS shot_no, l_partkey, l_suppkey,
        l_quantity / 10 AS duration,
+       CAST(datediff(CAST(l_shipdate AS DATE), DATE'1992-01-01') AS DOUBLE) * 86400 AS start,
        l_discount * 10 AS brightness,
        ((l_partkey * 13) % 100) / 100.0D AS contrast,
        ((l_partkey * 29) % 100) / 100.0D AS saturation,
