@@ -116,8 +116,9 @@ def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], probe_time:
     """Match every probe with one sample of the same key by time.
 
     ``forward`` takes the first sample at or after the probe, ``backward`` the last
-    at or before it, ``nearest`` the closer of both with the earlier one on ties.
-    Probes without a match keep nulls.  Columns come back as ``prefix + name``.
+    at or before it, ``nearest`` the closer of both with the earlier one on ties, and
+    ``both`` the last at or before (``b_``) and the first after (``f_``).  Probes without
+    a match keep nulls.  Columns come back as ``prefix + name``.
     """
     extra = [c for c in payload if c != sample_time]
     hit = F.struct(F.col(sample_time).cast("double").alias("at"), *[F.col(c) for c in extra])
@@ -132,11 +133,16 @@ def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], probe_time:
     # finds an equal time looking back, so one order serves both of its directions.
     first = F.when(F.col("_probe"), 0).otherwise(1) if how == "forward" else F.when(F.col("_probe"), 1).otherwise(0)
     spec = {}
-    if how in ("backward", "nearest"):
+    if how in ("backward", "nearest", "both"):
         spec["_b"] = ("last", F.col("_hit"))
-    if how in ("forward", "nearest"):
+    if how in ("forward", "nearest", "both"):
         spec["_f"] = ("last", F.col("_hit"), "ahead")
     out = running(both.withColumn("_o", first), keys, ["_t", "_o"], block, spec).filter("_probe")
+    if how == "both":
+        sides = [(f"_{s}", f"{s}_") for s in ("b", "f")]
+        return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in names],
+                          *[F.col(f"{m}.{src}").alias(pre + dst) for m, pre in sides
+                            for src, dst in [("at", sample_time), *[(c, c) for c in extra]]])
     if how == "nearest":
         closer = (F.col("_b").isNull() |
                   (F.col("_f").isNotNull() & ((F.col("_f.at") - F.col("_t")) < (F.col("_t") - F.col("_b.at")))))
@@ -194,3 +200,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
 def lengths(df: DataFrame, keys: Sequence[str], pos: str = "n", name: str = "len") -> DataFrame:
     """Rows per key of a dense index."""
     return df.groupBy(*keys).agg((F.max(pos) + 1).alias(name))
+
+
+def framed_time(df: DataFrame, keys: Sequence[str], time: str, before: float, after: float,
+                cols: dict[str, Callable[[W], Column]], width: float = TIME_BLOCK) -> DataFrame:
+    """As ``framed`` for frames given in time; the window is ordered by microseconds."""
+    t = F.col(time)
+    width = max(width, before + after)
+    cut = (df.withColumn("_home", block_of(t, width))
+             .withColumn("_blk", F.explode(F.sequence(block_of(t - F.lit(after), width), block_of(t + F.lit(before), width)))))
+    w = W.partitionBy(*keys, "_blk").orderBy(F.round(t * 1e6).cast("long"))
+    return (cut.withColumns({name: fn(w) for name, fn in cols.items()})
+               .filter(F.col("_home") == F.col("_blk")).drop("_home", "_blk"))

@@ -126,7 +126,7 @@ def _search(shots: DataFrame, queries: Sequence[Query], key: str) -> DataFrame:
         tries.append(F.when((met > 0) if live else F.lit(True), F.struct(
             F.lit(q.query_id).alias("query_id"), F.lit(q.limit).alias("top"), score.alias("score"), rank.alias("order_value"),
             got.alias("matched"), missed.alias("unmet"))))
-    d = pool.select(key, F.explode(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
+    d = pool.select(key, F.explode_outer(F.array(*tries)).alias("h")).filter("h IS NOT NULL").select(key, "h.*")
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("order_value").desc(), F.col(key))
     most = max(q.limit for q in queries)
     d = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("top"))

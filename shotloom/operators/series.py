@@ -288,8 +288,7 @@ def interpolate(grid: DataFrame, samples: DataFrame, keys=("series_id",), at="g"
                 width: float = TIME_BLOCK, name="value") -> DataFrame:
     """Value of a sampled series at given times, linear between samples, flat beyond the ends."""
     keys = list(keys)
-    d = asof(grid, samples, keys, at, time, [value], "backward", width, "b_")
-    d = asof(d, samples, keys, at, time, [value], "forward", width, "f_")
+    d = asof(grid, samples, keys, at, time, [value], "both", width)
     bt, ft, bv, fv = (F.col(c) for c in (f"b_{time}", f"f_{time}", f"b_{value}", f"f_{value}"))
     span = ft - bt
     y = (F.when(bt.isNull(), fv).when(ft.isNull() | (span == 0), bv)

@@ -233,7 +233,7 @@ def handling(spark, sf):
     CASE d WHEN 'noise' THEN 'denoise' WHEN 'softness' THEN 'sharpen' WHEN 'blockiness' THEN 'deblock' WHEN 'shake' THEN 'stabilize' ELSE 'expand_contrast' END AS treatment
     FROM (SELECT *, unnest(df) AS d FROM h1)""", *VERDICT[:2]))
 def defects(spark, sf):
-    d = S.assess(V.shots(spark, sf)).select("shot_id", F.explode("defects").alias("d"))
+    d = S.assess(V.shots(spark, sf)).select("shot_id", F.explode_outer("defects").alias("d")).filter("d IS NOT NULL")
     return d.select("shot_id", c("d.defect").alias("defect"), R(c("d.severity")).alias("severity"), c("d.treatment").alias("treatment"))
 
 
