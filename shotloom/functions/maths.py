@@ -6,9 +6,10 @@ from pyspark.sql import Column, functions as F
 
 
 def clip(x: Column, lo: float | Column, hi: float | Column) -> Column:
+    """``x`` held between two bounds; null stays null (``least`` and ``greatest`` alone would skip it)."""
     lo = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi = hi if isinstance(hi, Column) else F.lit(float(hi))
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
 
 
 def r6(x: Column) -> Column:
@@ -16,11 +17,6 @@ def r6(x: Column) -> Column:
     return F.round(x + F.lit(1e-10), 6)
 
 
-def half_even_div(x: Column, step: Column | float) -> Column:
-    """Nearest multiple of ``step``, ties to even."""
-    return F.rint(x / step) * step
-
-
 def on_frame(t: Column, fps: Column | float) -> Column:
     """Time moved to the nearest frame, ties to the even frame."""
     return F.rint(t * fps) / fps

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import join_queries, measure_queries, search_queries, series_queries, style_queries  # noqa: F401
+from . import join_queries, measure_queries, search_queries, series_queries, style_queries, timeline_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "find_attributes"
