@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import join_queries, measure_queries, search_queries, series_queries, style_queries, timeline_queries  # noqa: F401
+from . import (  # noqa: F401
+    join_queries, log_queries, measure_queries, review_queries, search_queries, series_queries, sound_queries, style_queries,
+    timeline_queries)
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "find_attributes"
