@@ -111,26 +111,30 @@ def _search(shots: DataFrame, queries: Sequence[Query], key: str) -> DataFrame:
     pool = usable_shots(shots)
     # One row of flags, as many as there are criteria in these queries.
     inert = {(r.query_id, r.criterion) for r in inert_criteria(shots, queries).collect()}
-    tries = []
-    for q in queries:
+    # Per query only a number, a bit per criterion met and the order value travel through the
+    # ranking; names are looked up for the few rows that stay.
+    tries, labels = [], []
+    for i, q in enumerate(queries):
         live = [c for c in q.criteria if (q.query_id, c.describe()) not in inert]
-        tests = [passes(c, types) for c in live]
-        names = [F.lit(c.describe()) for c in live]
-        met = sum((t.cast("int") for t in tests), F.lit(0))
-        score = met / F.lit(float(len(live))) if live else F.lit(1.0)
+        if len(live) > 62:
+            raise ValueError(f"query {q.query_id!r} has more than 62 criteria")
+        bits = sum((F.when(passes(c, types), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(live)), F.lit(0).cast("long"))
         by = q.sort_by or "technical_quality"
         rank = F.coalesce(F.col(by).cast("double"), F.lit(0.0)) if by in types else F.lit(0.0)
         rank = rank if q.sort_by is None or q.sort_desc else -rank
-        got = F.filter(F.array(*[F.when(t, n) for t, n in zip(tests, names)]), lambda x: x.isNotNull()) if live else strings([])
-        missed = F.filter(F.array(*[F.when(~t, n) for t, n in zip(tests, names)]), lambda x: x.isNotNull()) if live else strings([])
-        tries.append(F.when((met > 0) if live else F.lit(True), F.struct(
-            F.lit(q.query_id).alias("query_id"), F.lit(q.limit).alias("top"), score.alias("score"), rank.alias("order_value"),
-            got.alias("matched"), missed.alias("unmet"))))
-    d = pool.select(key, F.explode_outer(F.array(*tries)).alias("h")).filter("h IS NOT NULL").select(key, "h.*")
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("order_value").desc(), F.col(key))
+        tries.append(F.struct(F.lit(i).alias("q"), bits.alias("met"), F.lit(len(live)).alias("of"), F.lit(q.limit).alias("top"), rank.alias("order_value")))
+        labels.append(F.struct(F.lit(q.query_id).alias("id"), strings(c.describe() for c in live).alias("names")))
+    d = pool.select(key, F.explode(F.array(*tries)).alias("h")).select(key, "h.*").filter((F.col("met") > 0) | (F.col("of") == 0))
+    d = d.withColumn("score", F.when(F.col("of") == 0, 1.0).otherwise(F.bit_count("met") / F.col("of").cast("double")))
+    w = W.partitionBy("q").orderBy(F.col("score").desc(), F.col("order_value").desc(), F.col(key))
     most = max(q.limit for q in queries)
     d = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("top"))
-    return d.select("query_id", "rank", key, "score", "order_value", "matched", "unmet")
+    d = d.withColumn("_l", F.get(F.array(*labels), F.col("q")))
+
+    def named(hit):
+        return F.filter(F.col("_l.names"), lambda n, b: (F.getbit(F.col("met"), b) == 1) if hit else (F.getbit(F.col("met"), b) == 0))
+
+    return d.select(F.col("_l.id").alias("query_id"), "rank", key, "score", "order_value", named(True).alias("matched"), named(False).alias("unmet"))
 
 
 def bind(criteria: DataFrame, sorts: DataFrame | None = None, per_scan: int = QUERIES_PER_SCAN) -> Iterator[list[Query]]:

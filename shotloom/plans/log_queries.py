@@ -60,7 +60,7 @@ def decisions_by_stage(spark, sf):
     return L.decisions_by_stage(table(spark, sf, "events").withColumn("stage", c("event_type")), "click").select("event_id")
 
 
-@query("explain", sql("""SELECT event_id, printf('[%s/%s] -> %s (confidence %.2f, by %s)', event_type, 'slot_' || CAST(event_id % 20 AS VARCHAR), 's' || CAST(user_id AS VARCHAR), value / 100, 'rule_based_planner') || chr(10) || props
+@query("explain", sql("""SELECT event_id, printf('[%s/%s] -> %s (confidence %.2f, by %s)', event_type, 'slot_' || CAST(event_id % 20 AS VARCHAR), 's' || CAST(user_id AS VARCHAR), value / 97, 'rule_based_planner') || chr(10) || props
     || chr(10) || printf('alt: %s (score %.3f) %s', 's1', value / 7, 'weaker') || CASE WHEN event_id % 2 = 0 THEN chr(10) || printf('alt: %s (score %.3f) %s', 's2', value / 9, 'longer') ELSE '' END AS text FROM events"""))
 def explain(spark, sf):
     e = table(spark, sf, "events")
@@ -69,7 +69,7 @@ def explain(spark, sf):
         return F.struct(F.lit(name).alias("choice"), score.alias("score"), F.lit(why).alias("why_not"))
     two = F.array(alt("s1", c("value") / 7, "weaker"), alt("s2", c("value") / 9, "longer"))
     d = e.select("event_id", c("event_type").alias("stage"), F.concat(F.lit("slot_"), (c("event_id") % 20).cast("string")).alias("subject"), F.concat(F.lit("s"), c("user_id").cast("string")).alias("choice"),
-                 (c("value") / 100).alias("confidence"), F.lit("rule_based_planner").alias("actor"), c("props").alias("rationale"),
+                 (c("value") / 97).alias("confidence"), F.lit("rule_based_planner").alias("actor"), c("props").alias("rationale"),
                  F.slice(two, F.lit(1), F.when(c("event_id") % 2 == 0, 2).otherwise(1)).alias("alternatives"))
     return L.explain(d).select("event_id", "text")
 

@@ -112,18 +112,22 @@ def _top5(n, tests, need):
       SELECT *, ({met}) / {len(tests)}.0::DOUBLE AS score FROM shots WHERE handling <> 'reject') WHERE score > 0) WHERE r <= 5"""
 
 
-@query("coverage", sql(f"""SELECT p.query_id, CASE WHEN checked = 0 THEN 'unverifiable' WHEN coalesce(g, 0) = 0 THEN 'missing' ELSE 'likely' END AS status, checked, {r6('coalesce(near, 0)')} AS closest, coalesce(names, '') AS candidates FROM
+COVERED = f"""SELECT p.query_id, CASE WHEN checked = 0 THEN 'unverifiable' WHEN coalesce(g, 0) = 0 THEN 'missing' ELSE 'likely' END AS status, checked, {r6('coalesce(near, 0)')} AS closest, coalesce(names, '') AS candidates FROM
     (VALUES ('1', 1::BIGINT), ('2', 2::BIGINT), ('3', 2::BIGINT), ('4', 0::BIGINT), ('5', 0::BIGINT)) p(query_id, checked) LEFT JOIN (
       SELECT query_id, max(score) AS near, count(CASE WHEN good THEN 1 END) AS g, array_to_string((list(shot_id ORDER BY r) FILTER (good))[1:3], ',') AS names FROM (
         {_top5(1, ["camera_movement = 'static'"], 'greatest(0.3, 2.5 / 3 * 0.6)')} UNION ALL {_top5(2, ["camera_movement = 'static'", "sharpness > 60"], 'greatest(0.3, 1.5 / 3 * 0.6)')}
         UNION ALL {_top5(3, ["visual_energy > 0.6", "subject_motion > 3.0"], 'greatest(0.3, 30.0 / 3 * 0.6)')}
-        UNION ALL SELECT '4', shot_id, 1.0, r, false FROM (SELECT shot_id, row_number() OVER (ORDER BY technical_quality DESC, shot_id) AS r FROM shots WHERE handling <> 'reject') WHERE r = 1) GROUP BY 1) x ON x.query_id = p.query_id"""))
+        UNION ALL SELECT '4', shot_id, 1.0, r, false FROM (SELECT shot_id, row_number() OVER (ORDER BY technical_quality DESC, shot_id) AS r FROM shots WHERE handling <> 'reject') WHERE r = 1) GROUP BY 1) x ON x.query_id = p.query_id"""
+
+
+@query("coverage", sql(COVERED))
 def coverage(spark, sf):
     d = K.coverage(V.shots(spark, sf).withColumn("framing", F.lit("unknown")), SPECS)
     return d.select("query_id", "status", "checked", R(c("closest")).alias("closest"), F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("coverage_summary", sql("SELECT 1::BIGINT AS likely, 2::BIGINT AS missing, 2::BIGINT AS unverifiable, false AS ready FROM (SELECT count(*) FROM shots WHERE camera_movement = 'static')"))
+@query("coverage_summary", sql(f"""SELECT count(*) FILTER (status = 'likely') AS likely, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'unverifiable') AS unverifiable,
+    count(*) FILTER (status = 'missing') = 0 AS ready FROM ({COVERED})"""))
 def coverage_summary(spark, sf):
     return K.coverage_summary(K.coverage(V.shots(spark, sf).withColumn("framing", F.lit("unknown")), SPECS))
 
