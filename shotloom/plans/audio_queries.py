@@ -137,10 +137,10 @@ SEG = 12
 HOPS = 1.0 / 24
 _terms = ", ".join(f"sum(v * cos(a * {k})) AS c{k}, sum(v * sin(a * {k})) AS s{k}" for k in range(1, SEG // 2 + 1))
 _mag = {k: f"CASE WHEN {k} <= floor(m / 2) THEN sqrt(c{k} * c{k} + s{k} * s{k}) ELSE 0 END" for k in range(1, SEG // 2 + 1)}
-_in = " + ".join(f"CASE WHEN {k} / (m * {HOPS!r}) BETWEEN 2 AND 8 THEN {x} ELSE 0 END" for k, x in _mag.items())
+_in = " + ".join(f"CASE WHEN {k} / (m * {HOPS!r}::DOUBLE) BETWEEN 2 AND 8 THEN {x} ELSE 0 END" for k, x in _mag.items())
 MOD = [("mb", f"""SELECT *, least({SEG}, len - b * {SEG // 2}) AS m FROM (SELECT *, unnest(range(CAST(greatest(floor((n - {SEG}) / {SEG // 2}) + 1, 0) AS BIGINT), CAST(floor(n / {SEG // 2}) AS BIGINT) + 1)) AS b FROM (
           SELECT series_id, n, v, count(*) OVER (PARTITION BY series_id) AS len FROM sig))"""),
-       ("mc", f"SELECT series_id, b, m, min(v) AS lo, max(v) AS hi, {_terms} FROM (SELECT *, {-2 * math.pi!r} * (n - b * {SEG // 2}) / m AS a FROM mb WHERE m >= 8) GROUP BY 1, 2, 3"),
+       ("mc", f"SELECT series_id, b, m, min(v) AS lo, max(v) AS hi, {_terms} FROM (SELECT *, {-2 * math.pi!r}::DOUBLE * (n - b * {SEG // 2}) / m AS a FROM mb WHERE m >= 8) GROUP BY 1, 2, 3"),
        ("md", f"SELECT series_id, b, CASE WHEN hi > lo THEN ({_in}) / ({' + '.join(_mag.values())} + 1e-9) ELSE 0 END AS share FROM mc"),
        ("mm", "SELECT s.series_id, s.n, s.v, s.kind, coalesce(x.share, 0.0) AS modulation FROM sig s LEFT JOIN (SELECT series_id, n, max(share) AS share FROM mb JOIN md USING (series_id, b) WHERE m >= 8 GROUP BY 1, 2) x USING (series_id, n)")]
 
