@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
@@ -54,7 +55,7 @@ def stream_ingest(arrivals: DataFrame, store: str, version: str, checkpoint: str
         schema = StructType([StructField("fingerprint", StringType()), StructField("analysis_version", StringType()), StructField("batch", LongType())])
         try:
             done = spark.read.schema(schema).parquet(store)
-        except Exception:      # nothing stored yet
+        except AnalysisException:      # nothing stored yet
             done = spark.createDataFrame([], schema)
         done = done.filter(F.col("batch") != number)
         todo = pending_analysis(fresh, done, version).withColumn("analysis_version", F.lit(version))
