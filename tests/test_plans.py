@@ -40,7 +40,7 @@ def test_hot_copies_and_users(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
     f = A.with_fingerprint(d, "text").select("fingerprint", "doc_id")
     assert A.dedupe_by_content(f, "doc_id").count() == 2001
-    asks = spark.range(3000).select(F.lit(1).alias("user_id"), F.lit("fps").alias("concept"), F.col("id").alias("event_id"))
+    asks = spark.range(3000).select(F.when(F.col("id") >= 0, 1).otherwise(2).alias("user_id"), F.when(F.col("id") >= 0, "fps").otherwise("x").alias("concept"), F.col("id").alias("event_id"))
     assert sorted(r.event_id for r in K.teach_limit(asks).collect()) == [0, 1]
     assert "WindowGroupLimit" in plan_of(K.teach_limit(asks))[1]
     log = spark.range(3000).select(F.lit(1).alias("job_id"), F.col("id").alias("seq"), F.when(F.col("id") == 2900, "[8] critique").otherwise("…").alias("message"))
