@@ -166,6 +166,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
     single values only inside the brackets (a share of about 4 / accuracy of a large
     group) and counts the rest, so no group is ever held or sorted whole.
     """
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy).drop("_all")
     names = list(probs)
     d = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     eps = 2.0 / accuracy
@@ -182,8 +184,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
     x = F.col("_v")
     passed = F.size(F.filter(F.col("_hi"), lambda h: h < x))
     inside = F.exists(F.zip_with("_lo", "_hi", lambda a, b: (x >= a) & (x <= b)), lambda b: b)
-    counted = (d.join(sketch, list(keys)) if keys else d.crossJoin(sketch))
-    counted = (counted.select(*keys, "_n", passed.alias("_gap"), inside.alias("_in"),
+    counted = (d.join(sketch, list(keys)).select(*keys, "_n", passed.alias("_gap"), inside.alias("_in"),
                               F.when(inside, x).alias("_v"))
                       .groupBy(*keys, "_n", "_gap", "_in", "_v").agg(F.count(F.lit(1)).alias("_c")))
     w = W.partitionBy(*keys).orderBy("_gap", "_in", "_v")

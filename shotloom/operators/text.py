@@ -124,7 +124,7 @@ def context_weight(window: Column) -> Column:
 def _strength(words: Column, joined: Column) -> Column:
     w = F.lit(1.0)
     for phrase, by in D.INTENSIFIERS.items():
-        w = w * F.when(joined.rlike(rf"(?<![a-z]){re.escape(phrase)}(?![a-z])"), by).otherwise(1.0)
+        w = w * F.when(joined.contains(phrase) & joined.rlike(rf"(?<![a-z]){re.escape(phrase)}(?![a-z])"), by).otherwise(1.0)
     no = F.arrays_overlap(words, strings(D.NEGATORS))
     return F.when(no, -F.abs(w)).otherwise(w * F.when(F.array_contains(words, "too"), 1.25).otherwise(1.0))
 

@@ -130,14 +130,14 @@ def recall_at_k(spark, sf):
     return d.select("query_id", R(c("recall")).alias("recall"), "passed")
 
 
-@query("negation_check", sql("""SELECT count(*) AS both FROM (SELECT shot_id FROM shots WHERE handling <> 'reject' AND camera_movement = 'handheld'
+@query("negation_check", sql("""SELECT count(*) AS leaks FROM (SELECT shot_id FROM shots WHERE handling <> 'reject' AND camera_movement = 'handheld'
     INTERSECT SELECT shot_id FROM shots WHERE handling <> 'reject' AND camera_movement <> 'handheld')"""))
 def negation_check(spark, sf):
     lib = V.shots(spark, sf)
     t = dict(lib.dtypes)
     pos = S.usable_shots(lib).filter(S.passes(C("camera_movement", "==", "handheld"), t))
     neg = S.usable_shots(lib).filter(S.passes(C("camera_movement", "==", "handheld", "", True), t))
-    return S.negation_leaks(pos, neg).agg(F.count(F.lit(1)).alias("both"))
+    return S.negation_leaks(pos, neg).agg(F.count(F.lit(1)).alias("leaks"))
 
 
 # ------------------------------------------------------------------ identifiers and bookkeeping

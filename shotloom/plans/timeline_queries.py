@@ -8,6 +8,8 @@ from ..functions import planning as X, scores
 from ..functions.maths import on_frame, r6 as R
 from ..operators import plan as P, timeline as T
 from ..operators.blocks import block_of, framed, running
+from ..operators.peaks import keep_spaced
+from ..rules.planning import MAX_SLOTS
 from ..session import stage, table
 from ..sources import views as V
 from .oracle import r6, sql
@@ -166,7 +168,8 @@ def plan_slots(spark, sf):
     from ..operators import style as G
     e = edit(spark, sf)
     music = energy(spark, sf).select(c("series_id").alias("plan_id"), (c("t") / 86400).alias("t"), "energy")
-    beats = V.beats(spark, sf).select(c("series_id").alias("plan_id"), (c("beat") / 86400).alias("t"))
+    # Beats of one grid lie apart; that bounds what one plan can hold.
+    beats = keep_spaced(V.beats(spark, sf).select(c("series_id").alias("plan_id"), (c("beat") / 86400).alias("t")), ["plan_id"], "t", 0.05)
     pace = G.pacing_profile(e, lengths_of(e)).withColumnRenamed("style_id", "plan_id")
     arc = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(a).alias("start"), F.lit(b).alias("end")) for r, a, b in (("hook", 0.0, 3.0), ("escalation", 3.0, 20.0), ("climax", 20.0, 31.0))])
     plans = pace.withColumns({"start_offset": F.lit(1.0), "target": F.lit(24.0), "beat_interval": F.lit(0.5), "pacing": F.lit(1.0), "arc": arc, "arc_duration": F.lit(31.0),
@@ -361,8 +364,11 @@ def revise(spark, sf):
 
 @query("resnap_to_beats")
 def resnap_to_beats(spark, sf):
-    t = timeline(spark, sf).select("timeline_id", "idx", "tl_start", "dur")
-    beats = V.beats(spark, sf).select(c("series_id").alias("timeline_id"), (c("beat") / 1000).alias("beat"))
+    # A planned timeline has at most MAX_SLOTS clips: longer ones continue in further parts.
+    part = F.floor(c("idx") / MAX_SLOTS).cast("long")
+    t = timeline(spark, sf).select((c("timeline_id") * 1000000 + part).alias("timeline_id"), (c("idx") - part * MAX_SLOTS).alias("idx"), "tl_start", "dur")
+    beats = V.beats(spark, sf).select((c("series_id") * 1000000).alias("timeline_id"), (c("beat") / 1000).alias("beat"))
+    beats = keep_spaced(beats, ["timeline_id"], "beat", 0.05)
     d = T.resnap_to_beats(t, beats, 30.0)
     return d.select("timeline_id", "idx", R(c("tl_start")).alias("tl_start"), R(c("dur")).alias("dur"))
 

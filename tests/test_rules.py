@@ -188,6 +188,20 @@ def test_assignment_equals_the_full_walk(spark, small, monkeypatch):
         assert got[(p, 0)] != got[(p, 1)] and got[(p, 1)] != got[(p, 2)]
 
 
+def test_assignment_by_rounds_equals_the_walk(spark, small):
+    """Libraries too large for one task are assigned slot by slot with the same result."""
+    from shotloom.plans.measure_queries import vectors
+    from shotloom.plans.timeline_queries import KNOBS, candidates
+    d = vectors(candidates(spark, small).withColumn("plan_id", F.floor(F.col("asset_id") / 300).cast("long"))).cache()
+    pins = d.groupBy("plan_id").agg(F.min("shot_id").alias("shot_id")).filter("plan_id % 2 = 0").withColumn("slot", F.lit(1).cast("long"))
+
+    def run(knobs, diversity, rows):
+        return {(r.plan_id, r.slot): (r.shot_id, round(r.score, 9), r.pinned) for r in P.assign_greedy(d, pins, knobs, diversity, walk_rows=rows).collect()}
+
+    for knobs, diversity in ((KNOBS, 0.0), (KNOBS | {"continuity_weight": 0.5}, 1.0)):
+        assert run(knobs, diversity, 10**9) == run(knobs, diversity, 0)
+
+
 def test_eligible_falls_back(spark):
     d = spark.createDataFrame([(1, 0, 1.0, "a", 0.5), (1, 0, 1.0, "b", None), (1, 1, 2.0, "a", 0.5)], "plan_id long, slot long, slot_duration double, shot_id string, max_useful_duration double")
     assert sorted((r.slot, r.shot_id) for r in P.eligible(d).collect()) == [(0, "b"), (1, "a")]
