@@ -20,7 +20,7 @@ def bind_directives(directives: DataFrame, clips: DataFrame, key="timeline_id",
     time, the earlier on ties), otherwise the directive is lost.
     """
     anchored = c("kind").isin(*SLOT_KINDS) & c("anchor_shot_id").isNotNull()
-    here = clips.select(key, c("slot_index"), c("shot_id").alias("_here")).dropDuplicates([key, "slot_index"])
+    here = clips.groupBy(key, "slot_index").agg(F.min("shot_id").alias("_here"))
     d = directives.join(here, [key, "slot_index"], "left")
     exact = anchored & c("_here").eqNullSafe(c("anchor_shot_id"))
     probes = (d.filter(anchored & ~exact).select(key, c("anchor_shot_id").alias("shot_id"), F.coalesce("anchor_t", F.lit(0.0)).alias("_at"), "directive_id"))

@@ -118,7 +118,7 @@ def coverage(shots: DataFrame, specs: Sequence[dict], key: str = "shot_id", enou
     ``specs`` are dicts with number, criteria and duration (the recording time).  A spec
     without a measurable, measured requirement cannot be checked.
     """
-    asked = [S.Query(str(s["number"]), tuple(s["criteria"]), limit=5) for s in specs if s["criteria"]]
+    asked = [S.Query(str(s["number"]), tuple(s["criteria"])) for s in specs if s["criteria"]]
     spark = shots.sparkSession
     dead = {(r.query_id, r.criterion) for r in S.inert_criteria(shots, asked).collect()} if asked else set()
     live = {q.query_id: [k for k in q.criteria if (q.query_id, k.describe()) not in dead] for q in asked}
@@ -126,12 +126,15 @@ def coverage(shots: DataFrame, specs: Sequence[dict], key: str = "shot_id", enou
                                  "query_id string, duration_wanted double, checked long")
     if not asked:
         return plan.select("query_id", F.lit("unverifiable").alias("status"), F.array().cast("array<string>").alias("candidates"), "checked", F.lit(0.0).alias("closest"))
-    hits = S.search(shots, asked, key).join(shots.select(key, "duration"), key)
-    hits = hits.join(F.broadcast(plan), "query_id")      # one row per spec of the given list
+    hits = S.matches(shots, asked, key, ["duration"]).join(plan, "query_id")      # one row per spec of the given list
     good = (c("score") >= enough) & (c("duration") >= F.greatest(F.lit(0.3), c("duration_wanted") / 3.0 * 0.6))
-    a = hits.groupBy("query_id").agg(F.max("score").alias("_near"), F.sort_array(F.collect_list(F.when(good, F.struct("rank", F.col(key).alias("k"))))).alias("_g"))
-    d = plan.join(a, "query_id", "left")
-    names = F.transform(F.slice(F.coalesce("_g", F.array().cast("array<struct<rank:int,k:string>>")), 1, 3), lambda x: x["k"])
+    near = hits.groupBy("query_id").agg(F.max("score").alias("_near"))
+    # length and score are tested first, so a long enough shot behind many short ones is found; three names are shown
+    w = W.partitionBy("query_id").orderBy(c("score").desc(), c("order_value").desc(), c(key))
+    best = hits.filter(good).withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    best = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col(key).alias("k")))).alias("_g"))
+    d = plan.join(near, "query_id", "left").join(best, "query_id", "left")
+    names = F.transform(F.coalesce("_g", F.array().cast("array<struct<rank:int,k:string>>")), lambda x: x["k"])
     d = d.withColumn("candidates", names)
     status = F.when(c("checked") == 0, "unverifiable").when(F.size("candidates") == 0, "missing").otherwise("likely")
     return d.select("query_id", status.alias("status"), F.when(c("checked") > 0, c("candidates")).otherwise(F.slice("candidates", 1, 0)).alias("candidates"),

@@ -106,33 +106,48 @@ def search(shots: DataFrame, queries: Sequence[Query], key: str = "shot_id") ->
     return out
 
 
-def _search(shots: DataFrame, queries: Sequence[Query], key: str) -> DataFrame:
+def _tried(shots: DataFrame, queries: Sequence[Query], key: str, keep: Sequence[str] = ()) -> tuple[DataFrame, Column]:
+    """Every shot that meets something of a query, with its score, and the queries' names as a constant."""
     types = dict(shots.dtypes)
     pool = usable_shots(shots)
     # One row of flags, as many as there are criteria in these queries.
     inert = {(r.query_id, r.criterion) for r in inert_criteria(shots, queries).collect()}
-    # Per query only a number, a bit per criterion met and the order value travel through the
+    # Per query only a number, a flag per criterion and the order value travel through the
     # ranking; names are looked up for the few rows that stay.
     tries, labels = [], []
     for i, q in enumerate(queries):
         live = [c for c in q.criteria if (q.query_id, c.describe()) not in inert]
-        if len(live) > 62:
-            raise ValueError(f"query {q.query_id!r} has more than 62 criteria")
-        bits = sum((F.when(passes(c, types), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(live)), F.lit(0).cast("long"))
+        met = F.array(*[F.coalesce(passes(c, types), F.lit(False)) for c in live]).cast("array<boolean>")
         by = q.sort_by or "technical_quality"
         rank = F.coalesce(F.col(by).cast("double"), F.lit(0.0)) if by in types else F.lit(0.0)
         rank = rank if q.sort_by is None or q.sort_desc else -rank
-        tries.append(F.struct(F.lit(i).alias("q"), bits.alias("met"), F.lit(len(live)).alias("of"), F.lit(q.limit).alias("top"), rank.alias("order_value")))
+        tries.append(F.struct(F.lit(i).alias("q"), met.alias("met"), F.lit(q.limit).alias("top"), rank.alias("order_value")))
         labels.append(F.struct(F.lit(q.query_id).alias("id"), strings(c.describe() for c in live).alias("names")))
-    d = pool.select(key, F.explode(F.array(*tries)).alias("h")).select(key, "h.*").filter((F.col("met") > 0) | (F.col("of") == 0))
-    d = d.withColumn("score", F.when(F.col("of") == 0, 1.0).otherwise(F.bit_count("met") / F.col("of").cast("double")))
+    d = pool.select(key, *keep, F.explode(F.array(*tries)).alias("h")).select(key, *keep, "h.*")
+    hits, of = F.size(F.filter("met", lambda m: m)), F.size("met")
+    d = d.withColumn("score", F.when(of == 0, 1.0).otherwise(hits / of.cast("double"))).filter("score > 0")
+    return d, F.array(*labels)
+
+
+def matches(shots: DataFrame, queries: Sequence[Query], key: str = "shot_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(query_id, key, keep..., score, order_value) of every shot that meets something, not ranked and not cut."""
+    out = None
+    for at in range(0, len(queries), QUERIES_PER_SCAN):
+        d, labels = _tried(shots, queries[at:at + QUERIES_PER_SCAN], key, keep)
+        part = d.select(F.get(labels, F.col("q"))["id"].alias("query_id"), key, *keep, "score", "order_value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search(shots: DataFrame, queries: Sequence[Query], key: str) -> DataFrame:
+    d, labels = _tried(shots, queries, key)
     w = W.partitionBy("q").orderBy(F.col("score").desc(), F.col("order_value").desc(), F.col(key))
     most = max(q.limit for q in queries)
     d = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("top"))
-    d = d.withColumn("_l", F.get(F.array(*labels), F.col("q")))
+    d = d.withColumn("_l", F.get(labels, F.col("q")))
 
     def named(hit):
-        return F.filter(F.col("_l.names"), lambda n, b: (F.getbit(F.col("met"), b) == 1) if hit else (F.getbit(F.col("met"), b) == 0))
+        return F.filter(F.col("_l.names"), lambda n, b: F.get("met", b) == hit)
 
     return d.select(F.col("_l.id").alias("query_id"), "rank", key, "score", "order_value", named(True).alias("matched"), named(False).alias("unmet"))
 

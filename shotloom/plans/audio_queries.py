@@ -15,20 +15,20 @@ from .registry import query
 from .series_queries import energy, mirror_sql
 
 c = F.col
-STEP, FRAMES, RATE = 43200.0, 62, 12.0
+STEP, RATE = 43200.0, 12.0
 KINDS = ("view", "signup", "error", "click", "purchase")
 
 
 def bands(spark, sf):
-    """Dense grid of 62 frames x 5 bands per series; absent cells are silent."""
+    """Dense grid of frames x 5 bands per series, up to its last event; absent cells are silent."""
     raw = V.raw_series(spark, sf)
     e = raw.groupBy("series_id", F.floor(c("t") / STEP).cast("long").alias("n"), c("kind").alias("band")).agg((F.sum("v") / 100).alias("e"))
-    grid = raw.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long"))).alias("n"))
+    grid = raw.groupBy("series_id").agg(F.floor(F.max("t") / STEP).cast("long").alias("last")).select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), c("last"))).alias("n"))
     grid = grid.select("series_id", "n", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("band"))
     return grid.join(e, ["series_id", "n", "band"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
 
 
-BAND = [("bands", f"""SELECT g.series_id, g.n, g.band, coalesce(sum(v) / 100, 0.0) AS e FROM (SELECT series_id, unnest(range({FRAMES})) AS n, band FROM (SELECT DISTINCT series_id FROM sig), (SELECT unnest({list(KINDS)}) AS band)) g
+BAND = [("bands", f"""SELECT g.series_id, g.n, g.band, coalesce(sum(v) / 100, 0.0) AS e FROM (SELECT series_id, unnest(range(nf)) AS n, band FROM (SELECT series_id, CAST(floor(max(t) / {STEP}) AS BIGINT) + 1 AS nf FROM sig GROUP BY 1), (SELECT unnest({list(KINDS)}) AS band)) g
     LEFT JOIN sig s ON s.series_id = g.series_id AND floor(s.t / {STEP}) = g.n AND s.kind = g.band GROUP BY 1, 2, 3""")]
 ONSET = [*BAND,
          ("fx0", "SELECT series_id, n, greatest(coalesce(ln(1 + e * 100) - lag(ln(1 + e * 100)) OVER (PARTITION BY series_id, band ORDER BY n), 0), 0) AS r FROM bands"),
@@ -74,7 +74,7 @@ def phase_search(spark, sf):
 
 
 BEAT = [*PHASE, ("bt", f"""SELECT series_id, k AS beat_no, n, onset FROM (SELECT g.series_id, g.k, o.n, o.onset, row_number() OVER (PARTITION BY g.series_id, g.k ORDER BY o.onset DESC, o.n) AS r FROM (
-    SELECT series_id, period, phase, unnest(range(CAST(floor(({FRAMES} - 1 - phase) / period) AS BIGINT) + 1)) AS k FROM ph) g
+    SELECT series_id, period, phase, unnest(range(CAST(floor((nf - 1 - phase) / period) AS BIGINT) + 1)) AS k FROM ph JOIN (SELECT series_id, max(n) + 1 AS nf FROM ons GROUP BY 1) USING (series_id)) g
     JOIN ons o ON o.series_id = g.series_id AND abs(o.n - (g.phase + g.k * g.period)) <= greatest(1, floor(g.period * 0.14))) WHERE r = 1""")]
 
 
@@ -102,7 +102,7 @@ NOV = [*BAND, ("u", "SELECT series_id, n, band, ln(1 + e * 100) / (sqrt(sum(powe
        ("nv", f"""SELECT series_id, n, sum(z * z) AS nov FROM (SELECT a.series_id, a.n, a.band, sum(g * b.u) AS z FROM u a CROSS JOIN gk JOIN u b ON b.series_id = a.series_id AND b.band = a.band AND b.n = a.n + o GROUP BY 1, 2, 3) GROUP BY 1, 2""")]
 
 
-@query("novelty", sql(f"SELECT series_id, n, {r6(f'CASE WHEN n >= {REACH} AND n < {FRAMES - REACH} THEN nov ELSE 0 END')} AS novelty FROM nv", *NOV))
+@query("novelty", sql(f"SELECT series_id, n, {r6(f'CASE WHEN n >= {REACH} AND n < max(n) OVER (PARTITION BY series_id) + 1 - {REACH} THEN nov ELSE 0 END')} AS novelty FROM nv", *NOV))
 def novelty(spark, sf):
     return A.novelty(bands(spark, sf), REACH).select("series_id", "n", R(c("novelty")).alias("novelty"))
 

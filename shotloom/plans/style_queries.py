@@ -15,11 +15,16 @@ from .registry import query
 from .series_queries import SCORE, mirror_sql
 
 c = F.col
-LEN = 31.0     # one month of events played as an edit: a day is a second
+# events played as an edit: a day is a second, and an edit ends with the day of its series' last event
+ENDS = ("ends", "SELECT series_id, floor(max(t) / 86400) + 1.0 AS len FROM sig GROUP BY 1")
 
-EDIT = [("e0", "SELECT DISTINCT series_id, 0.0::DOUBLE AS s FROM cuts UNION ALL SELECT series_id, cut / 86400 FROM cuts"),
-        ("edit", f"""SELECT series_id AS style_id, row_number() OVER w - 1 AS idx, s, coalesce(lead(s) OVER w, {LEN}) AS e,
-            coalesce(lead(s) OVER w, {LEN}) - s AS d FROM e0 WINDOW w AS (PARTITION BY series_id ORDER BY s)""")]
+EDIT = [ENDS, ("e0", "SELECT DISTINCT series_id, 0.0::DOUBLE AS s FROM cuts UNION ALL SELECT series_id, cut / 86400 FROM cuts"),
+        ("edit", """SELECT series_id AS style_id, row_number() OVER w - 1 AS idx, s, coalesce(lead(s) OVER w, len) AS e,
+            coalesce(lead(s) OVER w, len) - s AS d, len FROM e0 JOIN ends USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY s)""")]
+
+
+def ends(spark, sf):
+    return V.raw_series(spark, sf).groupBy("series_id").agg((F.floor(F.max("t") / 86400) + 1.0).alias("duration"))
 
 
 def edit(spark, sf):
@@ -27,15 +32,16 @@ def edit(spark, sf):
     starts = cuts.select(c("series_id").alias("style_id"), (c("cut") / 86400).alias("start"))
     starts = starts.unionByName(starts.select("style_id", F.lit(0.0).alias("start")).distinct())
     d = neighbours(starts, ["style_id"], ["start"], block_of(c("start"), 1.0), c("start"), nxt="end")
-    d = dense_index(d.withColumn("end", F.coalesce("end", F.lit(LEN))), ["style_id"], ["start"], block_of(c("start"), 1.0), "idx")
+    d = d.join(ends(spark, sf).withColumnRenamed("series_id", "style_id"), "style_id")
+    d = dense_index(d.withColumn("end", F.coalesce("end", "duration")), ["style_id"], ["start"], block_of(c("start"), 1.0), "idx")
     return stage(d)
 
 
 def lengths_of(shots, key="style_id"):
-    return shots.select(key).distinct().withColumn("duration", F.lit(LEN))
+    return shots.select(key, "duration").distinct()
 
 
-PACE = ("pace", f"""SELECT style_id, count(*) AS shots, (count(*) - 1) / {LEN} AS cps, avg(d) AS mean, quantile_cont(d, 0.5) AS med,
+PACE = ("pace", """SELECT style_id, count(*) AS shots, (count(*) - 1) / any_value(len) AS cps, avg(d) AS mean, quantile_cont(d, 0.5) AS med,
     quantile_cont(d, 0.1) AS p10, quantile_cont(d, 0.9) AS p90, stddev_pop(d) AS sd FROM edit GROUP BY 1""")
 PACE_COLS = {"cuts_per_second": "cps", "mean_shot": "mean", "median_shot": "med", "p10_shot": "p10", "p90_shot": "p90", "shot_std": "sd"}
 
@@ -167,7 +173,7 @@ def intensity_curve(spark, sf):
     return d.select("series_id", c("i").cast("long").alias("i"), R(c("value")).alias("value"))
 
 
-ARC = [("pk1", f"""SELECT series_id, {LEN} AS dur, arg_max(n, x) * {LEN} / {PTS - 1}.0 AS peak FROM (SELECT series_id, n, round(smooth, 9) - n * 1e-12 AS x FROM cv) GROUP BY 1"""),
+ARC = [ENDS, ("pk1", f"""SELECT series_id, any_value(len) AS dur, arg_max(n, x) * any_value(len) / {PTS - 1}.0 AS peak FROM (SELECT series_id, n, round(smooth, 9) - n * 1e-12 AS x FROM cv) JOIN ends USING (series_id) GROUP BY 1"""),
        ("pk2", "SELECT *, least(dur * 0.15, 2.0) AS hook, least(dur, peak + greatest(1.0, dur * 0.2)) AS ce FROM pk1"),
        ("arc", """SELECT series_id, 'hook' AS role, 0.0 AS s, hook AS e FROM pk2 UNION ALL
         SELECT series_id, 'setup', hook, hook + (peak - hook) * 0.45 FROM pk2 WHERE peak > hook + 0.5 UNION ALL
@@ -178,7 +184,7 @@ ARC = [("pk1", f"""SELECT series_id, {LEN} AS dur, arg_max(n, x) * {LEN} / {PTS
 
 @query("segment_structure", sql(f"SELECT series_id, role, {r6('s')} AS seg_start, {r6('e')} AS seg_end FROM arc WHERE e > s + 0.05", SCORE, *CURVE, *ARC))
 def segment_structure(spark, sf):
-    cv = curves(spark, sf).withColumn("duration", F.lit(LEN)).withColumn("curve", F.transform("curve", lambda x, i: F.round(x, 9) - i * 1e-12))
+    cv = curves(spark, sf).drop("duration").join(ends(spark, sf), "series_id").withColumn("curve", F.transform("curve", lambda x, i: F.round(x, 9) - i * 1e-12))
     d = G.segment_structure(cv).select("series_id", F.inline_outer("structure"))
     return d.filter("role IS NOT NULL").select("series_id", "role", R(c("start")).alias("seg_start"), R(c("end")).alias("seg_end"))
 

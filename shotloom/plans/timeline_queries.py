@@ -9,7 +9,6 @@ from ..functions.maths import on_frame, r6 as R
 from ..operators import plan as P, timeline as T
 from ..operators.blocks import block_of, framed, running
 from ..operators.peaks import keep_spaced
-from ..rules.planning import MAX_SLOTS
 from ..session import stage, table
 from ..sources import views as V
 from .oracle import r6, sql
@@ -261,13 +260,14 @@ def choose_effects(spark, sf):
 
 REFLOW = [
     ("rf0", "SELECT *, CASE WHEN l_partkey % 53 = 0 THEN round_even((0.4 + idx % 5) * 30, 0) END AS ff FROM tl"),
-    ("rf1", """SELECT *, min(CASE WHEN ff IS NOT NULL THEN idx END) OVER (PARTITION BY timeline_id) AS fi, min(tl_start) OVER (PARTITION BY timeline_id) AS bs,
-        coalesce(sum(coalesce(ff, round_even(dur * 30, 0))) OVER (PARTITION BY timeline_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM rf0"""),
-    ("rf2", "SELECT *, coalesce(idx >= fi AND abs(round_even(bs * 30 + bf, 0) / 30 - tl_start) > 1e-6, false) AS moved, round_even(bs * 30 + bf, 0) / 30 AS ns FROM rf1"),
+    ("rf1", "SELECT *, min(CASE WHEN ff IS NOT NULL THEN idx END) OVER (PARTITION BY timeline_id) AS fi FROM rf0"),
+    ("rf2", """SELECT *, coalesce(max(CASE WHEN idx = fi - 1 THEN tl_start + dur END) OVER (PARTITION BY timeline_id), max(CASE WHEN idx = fi THEN tl_start END) OVER (PARTITION BY timeline_id)) AS bs,
+        coalesce(sum(CASE WHEN idx >= fi THEN coalesce(ff, round_even(dur * 30, 0)) ELSE 0 END) OVER (PARTITION BY timeline_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM rf1"""),
+    ("rf3", "SELECT *, (round_even(bs * 30, 0) + bf) / 30 AS ns, coalesce(idx >= fi AND abs((round_even(bs * 30, 0) + bf) / 30 - tl_start) > 1e-6, false) AS moved FROM rf2"),
 ]
 
 
-@query("reflow_durations", sql(f"SELECT timeline_id, idx, moved, {r6('CASE WHEN moved THEN ns ELSE tl_start END')} AS tl_start, {r6('CASE WHEN ff IS NOT NULL THEN ff / 30 ELSE dur END')} AS dur, beat_locked AND NOT moved AS beat_locked FROM rf2", TL, *REFLOW))
+@query("reflow_durations", sql(f"SELECT timeline_id, idx, moved, {r6('CASE WHEN moved THEN ns ELSE tl_start END')} AS tl_start, {r6('CASE WHEN ff IS NOT NULL THEN ff / 30 ELSE dur END')} AS dur, beat_locked AND NOT moved AS beat_locked FROM rf3", TL, *REFLOW))
 def reflow_durations(spark, sf):
     t = stage(timeline(spark, sf).select("timeline_id", "idx", "tl_start", "dur", "beat_locked", "l_partkey"))
     forced = t.filter("l_partkey % 53 = 0").select("timeline_id", "idx", (0.4 + c("idx") % 5).alias("forced"))
@@ -362,15 +362,21 @@ def revise(spark, sf):
     return d.select("timeline_id", "idx", "transition", names().alias("effects"))
 
 
-@query("resnap_to_beats")
+SNAP = [("bl", "SELECT series_id AS timeline_id, list(beat / 1000 ORDER BY beat) AS bl FROM beats GROUP BY 1"),
+        ("sn0", """SELECT t.timeline_id, t.idx, t.tl_start, t.dur, t.l_partkey, t.source_in, t.source_out, t.speed, list_transform(bl, lambda x: x - bl[1]) AS bs FROM tl t LEFT JOIN bl USING (timeline_id)"""),
+        ("sn", """SELECT timeline_id, 0::BIGINT AS i, 0::DOUBLE AS f FROM (SELECT DISTINCT timeline_id FROM sn0) UNION ALL
+          SELECT sn.timeline_id, i + 1, greatest(f + 1, round_even(coalesce(list_sort(list_transform(list_filter(bs, lambda x: abs(x - (f / 30 + dur)) < 0.2), lambda x: {'d': abs(x - (f / 30 + dur)), 'b': x}))[1].b, f / 30 + dur) * 30, 0))
+          FROM sn JOIN sn0 ON sn0.timeline_id = sn.timeline_id AND sn0.idx = sn.i"""),
+        ("sn1", """SELECT s.*, a.f / 30 AS a, CASE WHEN l_partkey % 9 = 0 THEN dur ELSE (b.f - a.f) / 30 END AS len FROM sn0 s JOIN sn a ON a.timeline_id = s.timeline_id AND a.i = s.idx JOIN sn b ON b.timeline_id = s.timeline_id AND b.i = s.idx + 1""")]
+
+
+@query("resnap_to_beats", sql(f"""SELECT timeline_id, idx, {r6('CASE WHEN bs IS NULL THEN tl_start ELSE a END')} AS tl_start, {r6('CASE WHEN bs IS NULL THEN dur ELSE len END')} AS dur,
+    {r6('CASE WHEN bs IS NULL THEN 0 ELSE greatest(0, len - (source_out - source_in) / speed) END')} AS hold FROM sn1""", TL, *SNAP, recursive=True))
 def resnap_to_beats(spark, sf):
-    # A planned timeline has at most MAX_SLOTS clips: longer ones continue in further parts.
-    part = F.floor(c("idx") / MAX_SLOTS).cast("long")
-    t = timeline(spark, sf).select((c("timeline_id") * 1000000 + part).alias("timeline_id"), (c("idx") - part * MAX_SLOTS).alias("idx"), "tl_start", "dur")
-    beats = V.beats(spark, sf).select((c("series_id") * 1000000).alias("timeline_id"), (c("beat") / 1000).alias("beat"))
-    beats = keep_spaced(beats, ["timeline_id"], "beat", 0.05)
-    d = T.resnap_to_beats(t, beats, 30.0)
-    return d.select("timeline_id", "idx", R(c("tl_start")).alias("tl_start"), R(c("dur")).alias("dur"))
+    t = stage(timeline(spark, sf).select("timeline_id", "idx", "tl_start", "dur", "l_partkey", "source_in", "source_out", "speed"))
+    beats = V.beats(spark, sf).select(c("series_id").alias("timeline_id"), (c("beat") / 1000).alias("beat"))
+    d = T.resnap_to_beats(t, beats, 30.0, t.filter("l_partkey % 9 = 0"))
+    return d.select("timeline_id", "idx", R(c("tl_start")).alias("tl_start"), R(c("dur")).alias("dur"), R(c("hold")).alias("hold"))
 
 
 @query("on_frame", sql(f"SELECT shot_id, {r6('round_even(duration * 24, 0) / 24')} AS t FROM shots"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField, StructType)
 
-from ..functions.ids import content_id, fingerprint
+from ..functions.ids import content_id, fingerprint, whole_fingerprint
 from ..rules.measures import ASPECTS, ASPECT_TOLERANCE, PROXY_BITRATE, PROXY_HEIGHT
 from ..operators.blocks import TIME_BLOCK, block_of, dense_index
 
@@ -22,8 +22,9 @@ def scan_media(spark: SparkSession, folder: str, extensions: Sequence[str] = ("m
     return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "modificationTime", "length")
 
 
-def with_fingerprint(df: DataFrame, content: str = "content", prefix: str = "asset") -> DataFrame:
-    d = df.withColumn("fingerprint", fingerprint(F.col(content)))
+def with_fingerprint(df: DataFrame, content: str = "content", prefix: str = "asset", head_tail: bool = False) -> DataFrame:
+    """Identity of every row's content: of the whole content, or with ``head_tail`` of its size and ends only."""
+    d = df.withColumn("fingerprint", fingerprint(F.col(content)) if head_tail else whole_fingerprint(F.col(content)))
     return d.withColumn("asset_id", content_id(prefix, F.col("fingerprint")))
 
 

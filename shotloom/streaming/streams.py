@@ -6,11 +6,11 @@ enters a stream.  State is keyed by series or job, bounded by the watermark.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
@@ -46,21 +46,24 @@ def stream_new_content(arrivals: DataFrame, lateness: str, ts: str = "ts") -> Da
 def stream_ingest(arrivals: DataFrame, store: str, version: str, checkpoint: str, analyse=None) -> StreamingQuery:
     """Analyse only content not stored yet under this version, batch by batch.
 
-    ``store`` is a Parquet table of results.  A batch is written under its own number, so a
-    repeated batch replaces its earlier output instead of doubling it.
+    ``store`` is a Parquet table of results, partitioned by run (named after ``checkpoint``) and
+    batch.  A batch that is repeated after a failure replaces its own earlier output; batches of
+    other runs are never touched.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    schema = StructType([StructField("fingerprint", StringType()), StructField("analysis_version", StringType()), StructField("run", StringType()), StructField("batch", LongType())])
+
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["fingerprint"])
-        schema = StructType([StructField("fingerprint", StringType()), StructField("analysis_version", StringType()), StructField("batch", LongType())])
-        try:
-            done = spark.read.schema(schema).parquet(store)
-        except AnalysisException:      # nothing stored yet
-            done = spark.createDataFrame([], schema)
-        done = done.filter(F.col("batch") != number)
+        path = spark._jvm.org.apache.hadoop.fs.Path(store)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        done = spark.read.schema(schema).parquet(store) if there else spark.createDataFrame([], schema)
+        done = done.filter((F.col("run") != run) | (F.col("batch") != number))
         todo = pending_analysis(fresh, done, version).withColumn("analysis_version", F.lit(version))
         todo = todo if analyse is None else analyse(todo)
-        (todo.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store))
+        (todo.withColumns({"run": F.lit(run), "batch": F.lit(number).cast("long")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run", "batch").parquet(store))
 
     return arrivals.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -69,10 +72,14 @@ MONITOR_SCHEMA = StructType([StructField("job_id", LongType()), StructField("sta
 
 
 class JobMonitor(StatefulProcessor):
-    """Latest state per job; a job silent for ``timeout_ms`` of event time is reported as interrupted."""
+    """Latest state per job; a job silent for ``timeout_ms`` of event time is reported as interrupted.
+
+    A job that has ended is remembered for ``keep_ms`` of event time, in which later events of it
+    are ignored; then its state is dropped.
+    """
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    def __init__(self, timeout_ms: int, keep_ms: int):
+        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -93,24 +100,28 @@ class JobMonitor(StatefulProcessor):
         self.last.update((str(row["state"]), float(row["progress"]), at))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if row["state"] not in TERMINAL:
-            self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000) + self.timeout_ms)
+        wait = self.keep_ms if row["state"] in TERMINAL else self.timeout_ms
+        self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000) + wait)
         yield pd.DataFrame({"job_id": [key[0]], "state": [row["state"]], "progress": [float(row["progress"])], "at": [at]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         state, progress, at = self.last.get()
+        if state in TERMINAL:
+            self.last.clear()
+            return
         self.last.update(("failed", progress, at))
+        self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000) + self.timeout_ms + self.keep_ms)
         yield pd.DataFrame({"job_id": [key[0]], "state": ["interrupted"], "progress": [progress], "at": [at]})
 
     def close(self) -> None:
         pass
 
 
-def stream_job_monitor(events: DataFrame, timeout_seconds: float, lateness: str, key: str = "job_id", ts: str = "ts") -> DataFrame:
+def stream_job_monitor(events: DataFrame, timeout_seconds: float, lateness: str, key: str = "job_id", ts: str = "ts", keep_seconds: float = 30 * 86400.0) -> DataFrame:
     """State changes of jobs (job_id, state, progress, ts); needs the RocksDB state store."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     d = events.withWatermark(ts, lateness)
-    return d.groupBy(key).transformWithStateInPandas(JobMonitor(int(timeout_seconds * 1000)), MONITOR_SCHEMA, "Append", "EventTime")
+    return d.groupBy(key).transformWithStateInPandas(JobMonitor(int(timeout_seconds * 1000), int(keep_seconds * 1000)), MONITOR_SCHEMA, "Append", "EventTime")
 
 
 def run_now(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
