@@ -81,13 +81,21 @@ def windows(h: np.ndarray, size: int, salt: int) -> np.ndarray:
             for k in range(size):
                 out += h[k:len(h) - size + 1 + k] * weight[k]
         return mix(out)
-    # a rolling polynomial: prefix sums in powers of an odd base, which has an inverse
-    base, inverse = int(weight[0]) | 1, pow(int(weight[0]) | 1, -1, 1 << 64)
+    at = np.arange(len(out))
+    return spans(h, at, at + size, salt)
+
+
+def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of the entries from ``start`` to ``end`` for any number of such spans.
+
+    A polynomial in an odd base: differences of prefix sums, moved to the origin by the inverse of the base.
+    """
+    base = int(mix(np.array([salt], U))[0]) | 1
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(len(h), base, U))
-        down = np.cumprod(np.full(len(out), inverse, U))
-        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(salt)) * up)])
-        return mix((total[size:] - total[:-size]) * down)
+        up = np.cumprod(np.full(len(h) + 1, base, U))
+        down = np.cumprod(np.full(len(h) + 1, pow(base, -1, 1 << 64), U))
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(salt)) * up[:-1])])
+        return mix((total[end] - total[start]) * down[start] ^ mix((end - start).astype(U)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

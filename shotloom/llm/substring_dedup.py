@@ -7,9 +7,12 @@ but for a few symbols at either border; ``_Parse`` follows, for every window, wh
 outside it.  From these a window takes the one with the smallest name as its anchor; equal windows have equal anchors.
 
 1. (anchor, document) rows, one for about 20 words, are counted: only anchors in two documents or more are of interest;
-2. windows under such anchors are compared as a whole by two independent 64-bit fingerprints: the smallest document of every
-   window is an aggregate with partial sums, so a passage that a third of all documents share is no hot group;
-3. the windows found in a smaller document come back as positions, and their words are left out.
+2. neighbouring windows under one such anchor form a stretch, named by two fingerprints of all its words.  The smallest
+   document of every stretch is an aggregate with partial sums, so a passage that a third of all documents share is no hot
+   group.  A stretch that a smaller document has is repeated as a whole;
+3. where an anchor has differing stretches, the windows of each stretch's first document are compared one by one, by anchor and
+   window fingerprint (two independent 64-bit names);
+4. repeated stretches and windows come back as positions, and their words are left out.
 
 A window too repetitive to have an anchor (long runs) is its own anchor, so no window is left out.
 """
@@ -95,7 +98,7 @@ def _seen(size: int):
     return run
 
 
-def _compared(size: int):
+def _stretches(size: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -110,10 +113,17 @@ def _compared(size: int):
                 for d in range(j - i):
                     s = slice(part[d], part[d + 1])
                     keep[s] = np.isin(A.signed(anchor[s]), flat[cut[i + d]:cut[i + d + 1]])
-                start, doc = start[keep], doc[keep]
+                start, doc, anchor = start[keep], doc[keep], anchor[keep]
+                new = np.ones(len(start), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+                head = np.flatnonzero(new)
+                n = np.diff(np.append(head, len(start)))
+                a, d = start[head], doc[head]
+                names = [A.signed(A.spans(h, a, a + n - 1 + size, salt)) for salt in (1, 2)]
+                window = A.signed(A.windows(h, size, 3)[start]) if len(start) else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(A.signed(A.windows(h, size, 1)[start])), pa.array(A.signed(A.windows(h, size, 2)[start])), pa.array(ids[i:][doc], pa.int64()),
-                     pa.array((start - first[doc]).astype(np.int32))], ["one", "two", "doc_id", "place"])
+                    [pa.array(A.signed(anchor[head])), *map(pa.array, names), pa.array(ids[i:][d], pa.int64()), pa.array((a - first[d]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.append(head, len(start)).astype(np.int32)), pa.array(window))], ["anchor", "one", "two", "doc_id", "place", "n", "windows"])
     return run
 
 
@@ -125,10 +135,10 @@ def _cut(size: int):
                 w = (text.as_py() or "").encode().split()
                 hit = np.zeros(len(w) + 1, np.int32)
                 if places.is_valid:
-                    p = places.values.to_numpy()
-                    p = p[p + size <= len(w)]
-                    np.add.at(hit, p, 1)
-                    np.add.at(hit, p + size, -1)
+                    p, q = (places.values.field(k).to_numpy() for k in (0, 1))
+                    fits = p + q + size - 1 <= len(w)
+                    np.add.at(hit, p[fits], 1)
+                    np.add.at(hit, p[fits] + q[fits] + size - 1, -1)
                 covered = np.cumsum(hit[:-1]) > 0
                 m = int(covered.sum())
                 n.append(len(w))
@@ -140,15 +150,27 @@ def _cut(size: int):
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, place): windows, by the number of their first word, that also start in a document with a smaller id."""
+    """(doc_id, places): runs (place, n) of windows, by the number of their first word, that also start in a smaller document."""
     docs = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
     seen = stage(docs.mapInArrow(_seen(size), "anchor long, doc_id long"))
     shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     per_doc = stage(seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    rows = stage(docs.join(per_doc, "doc_id").mapInArrow(_compared(size), "one long, two long, doc_id long, place int"))
-    release(seen, per_doc)
-    firsts = rows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("one", "two", "lo")
-    return stage(rows.join(firsts, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    release(seen)
+    rows = stage(docs.join(per_doc, "doc_id").mapInArrow(_stretches(size), "anchor long, one long, two long, doc_id long, place int, n int, windows array<long>"))
+    release(per_doc)
+    name = ["anchor", "one", "two"]
+    firsts = stage(rows.groupBy(*name).agg(F.min("doc_id").alias("lo")))
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", F.lit(True).alias("open"))
+    known = stage(rows.join(firsts.join(several, "anchor", "left"), name).where("doc_id > lo OR open")
+                  .select("anchor", "doc_id", "place", "n", F.when(F.col("doc_id") == F.col("lo"), F.col("windows")).alias("windows")))
+    release(rows, firsts)
+    single = known.where("windows IS NOT NULL").select("anchor", "doc_id", "place", F.posexplode("windows").alias("k", "window"))
+    least = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
+    found = single.join(least, ["anchor", "window"]).where("doc_id > lo").select("doc_id", (F.col("place") + F.col("k")).alias("place"), F.lit(1).alias("n"))
+    whole = known.where("windows IS NULL").select("doc_id", "place", "n")
+    out = stage(whole.union(found).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("places")))
+    release(known)
+    return out
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
