@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import release, spread, stage
 
 TRAIN_DOCS = 12_000
 TERMS = 400
@@ -187,7 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     n = known.count()
     share = min(1.0, bound / max(n, 1))
     few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(few, "doc_id")
+    sizes = {r.toxic: r["count"] for r in few.groupBy("toxic").count().collect()}
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    if not pos or not neg:
+        return Model([], np.array([0.0] * (FEATURES - 1) + [-3.0]))
+    # the sample is bounded, so its ids go to the texts and not the texts to the ids
+    held = F.broadcast(few) if pos + neg <= 2 * bound else few
+    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(held, "doc_id"))
 
     # words and beginnings per document are counted in tasks; only frequent ones come back
     def count(batches):
@@ -199,15 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
             terms = [*both[0], *both[1]]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([0] * len(both[0]) + [*both[1].values()], pa.int64()),
                                               pa.array([*both[0].values()] + [0] * len(both[1]), pa.int64())], ["term", "t", "f"])
-    sizes = {r.toxic: r["count"] for r in few.groupBy("toxic").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return Model([], np.array([0.0] * (FEATURES - 1) + [-3.0]))
     odds = F.log((F.col("t") + 0.5) / (pos + 1)) - F.log((F.col("f") + 0.5) / (neg + 1))
     terms = (rows.mapInArrow(count, "term string, t long, f long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
              .where(f"t >= {max(MIN_SUPPORT, MIN_SHARE * pos)}").withColumn("odds", odds).where(f"odds >= {MIN_LOG_ODDS}").orderBy(F.desc("odds"), "term").limit(20 * TERMS))
     chosen = choose([r.term for r in terms.select("term").collect()])
     got = rows.mapInArrow(_features(Model(chosen, np.zeros(FEATURES)), ("doc_id", "toxic")), "doc_id long, toxic int, x array<double>").select("toxic", "x").collect()
+    release(rows)
     if not got:
         return Model([], np.array([0.0] * (FEATURES - 1) + [-3.0]))
     return Model(chosen, fit(np.array([r.x for r in got]), np.array([r.toxic for r in got], float)))
