@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import spread, stage
 
 SYMBOLS = "#*$%&|<>"
+MARKS = "!?;:|/\\{}[]=+@^~_"
 MIN_WORDS = 50
 #: Documents from which on a group's own quartiles are used.
 OWN_GROUP = 200
@@ -63,8 +64,8 @@ def measures(text: str) -> tuple[int, ...]:
     w = text.encode().split()
     lines = [x for x in text.split("\n") if x.strip(_BLANK)]
     ink = len(text) - sum(map(text.count, _BLANK))
-    capitals = sum(map(str.isupper, text)) if text.upper() == text else sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return (len(w), ink, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeat_words(w), len(lines), capitals, sum(map(text.count, "!?;:|/\\{}[]=+@^~_")))
+    capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    return (len(w), ink, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeat_words(w), len(lines), capitals, sum(map(text.count, MARKS)))
 
 
 def _measured(batches):

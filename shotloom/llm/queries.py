@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import bpe_codec, decontamination, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts, token_files, toxicity
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +63,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_decontamination, op4_bpe_codec, op5_token_counts, op6_near_dedup, op7_secret_scan, op8_token_files,
                                    op9_toxicity, op10_line_dedup, pipeline)}
-#: Check SQL by query.
-ORACLES: dict[str, str] = {}
