@@ -125,50 +125,86 @@ def test_nested_assets_are_split_not_cut(spark):
     assert sorted(r.idx for r in A.flatten_shots(nested).collect()) == list(range(25))
 
 
-def brute_plan(plan, beats, et, ev, drops, arc):
-    out, t, t0 = [], plan["start_offset"], plan["start_offset"]
-    beats = np.array([b for b in beats if b >= t0])
-    while t < t0 + plan["target"] - 0.12 and len(out) < 800:
-        ref = plan["curve"][int(min((t - t0) / plan["target"], 1) * (len(plan["curve"]) - 1))]
-        i = min(int(np.searchsorted(et, t)), len(ev) - 1)
-        level = np.clip(np.clip(0.55 * ref + 0.45 * ev[i], 0, 1) * plan["intensity_gain"] + plan["intensity_offset"], 0, 1)
-        near = any(abs(t - d) < 0.6 for d in drops)
-        if near:
-            level = min(1.0, level + 0.3)
-        lo = max(0.12, plan["p10_shot"])
-        hi = max(lo + 0.05, plan["p90_shot"])
-        want = np.clip((hi - (hi - lo) * level) * plan["pacing_multiplier"], plan["min_shot_floor"], plan["max_shot_ceiling"])
-        end = t + max(1, int(round(want / plan["beat_interval"]))) * plan["beat_interval"]
-        c = beats[np.abs(beats - end) < plan["beat_interval"] * 0.55]
-        if len(c):
-            end = c[np.argmin(np.abs(c - end))]
-        end = min(end, t0 + plan["target"])
-        if end - t < 0.1:
-            break
-        if plan["p10_shot"] <= 0.45 and plan["p10_shot"] <= 0.6 * plan["median_shot"] and level >= 0.72 and end - t >= 0.6 and out:
-            out.append((t, t + 0.2, "punctuation"))
-            t += 0.2
-        out.append((t, end, next(a["role"] for a in arc if a["start"] <= (t - t0) / plan["target"] * 10 < a["end"])))
-        t = end
-    return out
-
-
-def test_plan_slots_equals_the_walk(spark):
+def test_plan_slots_by_hand(spark):
+    # level 0.5 asks for 1.7 s, three beats; near the drop it is 0.8 and asks for 0.92 s, two beats, with a flash in front
     arc = [{"role": "hook", "start": 0.0, "end": 2.0}, {"role": "climax", "start": 2.0, "end": 10.1}]
-    plan = {"plan_id": 7, "start_offset": 0.5, "target": 9.0, "beat_interval": 0.47, "p10_shot": 0.4, "median_shot": 0.9, "p90_shot": 3.0, "pacing": 1.0, "curve": [0.5, 1.0, 1.0],
-            "arc_duration": 10.0, "intensity_gain": 1.2, "intensity_offset": 0.05, "pacing_multiplier": 1.0, "min_shot_floor": 0.12, "max_shot_ceiling": 4.0, "effect_density": 0.5}
-    beats = [0.5 + 0.47 * i + (0.02 if i % 3 else 0) for i in range(25)]
-    et, ev = np.arange(0, 12, 0.1), (np.sin(np.arange(0, 12, 0.1)) + 1) / 2
-    df = spark.createDataFrame([plan | {"arc": arc}], "plan_id long, start_offset double, target double, beat_interval double, p10_shot double, median_shot double, p90_shot double, "
-                               "pacing double, curve array<double>, arc array<struct<role:string,start:double,end:double>>, arc_duration double, intensity_gain double, intensity_offset double, "
-                               "pacing_multiplier double, min_shot_floor double, max_shot_ceiling double, effect_density double")
-    b = spark.createDataFrame([(7, float(x)) for x in beats], "plan_id long, t double")
-    e = spark.createDataFrame([(7, float(t), float(v)) for t, v in zip(et, ev)], "plan_id long, t double, energy double")
-    dr = spark.createDataFrame([(7, 4.0)], "plan_id long, t double")
-    got = [(r.start, r.end, r.role) for r in P.plan_slots(df, b, e, drops=dr).orderBy("slot").collect()]
-    want = brute_plan(plan, beats, et, ev, [4.0], arc)
-    assert [g[2] for g in got] == [w[2] for w in want] and np.allclose([g[:2] for g in got], [w[:2] for w in want])
-    assert any(g[2] == "punctuation" for g in got)
+    plan = {"plan_id": 7, "start_offset": 0.0, "target": 6.0, "beat_interval": 0.5, "p10_shot": 0.4, "median_shot": 0.9, "p90_shot": 3.0, "pacing": 1.0, "curve": [0.5], "arc_duration": 10.0,
+            "intensity_gain": 1.0, "intensity_offset": 0.0, "pacing_multiplier": 1.0, "min_shot_floor": 0.12, "max_shot_ceiling": 4.0, "effect_density": 0.5}
+    schema = ("plan_id long, start_offset double, target double, beat_interval double, p10_shot double, median_shot double, p90_shot double, pacing double, curve array<double>, "
+              "arc array<struct<role:string,start:double,end:double>>, arc_duration double, intensity_gain double, intensity_offset double, pacing_multiplier double, "
+              "min_shot_floor double, max_shot_ceiling double, effect_density double")
+    # the second plan has no measured beat (120 a minute are taken) and lasts longer than 400 slots
+    long = plan | {"plan_id": 8, "beat_interval": None, "target": 900.0, "p10_shot": 0.5, "p90_shot": 3.0}
+    df = spark.createDataFrame([plan | {"arc": arc}, long | {"arc": None}], schema)
+    beats = spark.createDataFrame([(7, 0.5 * k) for k in range(13)], "plan_id long, t double")
+    energy = spark.createDataFrame([(p, float(k), 0.5) for p in (7, 8) for k in range(10)], "plan_id long, t double, energy double")
+    got = P.plan_slots(df, beats, energy, drops=spark.createDataFrame([(7, 1.9)], "plan_id long, t double")).orderBy("slot").collect()
+    want = [(0, 1.5, "hook"), (1.5, 1.7, "punctuation"), (1.7, 2.5, "climax"), (2.5, 4, "climax"), (4, 5.5, "climax"), (5.5, 6, "climax")]
+    first = [r for r in got if r.plan_id == 7]
+    assert [r.role for r in first] == [w[2] for w in want] and np.allclose([(r.start, r.end) for r in first], [w[:2] for w in want])
+    assert [r.beat_locked for r in first] == [True, False, True, True, True, True] and [r.on_drop for r in first] == [False, True, True, False, False, False]
+    second = [r for r in got if r.plan_id == 8]
+    assert len(second) == 450 and second[-1].end == 900 and not second[0].beat_locked
+
+
+def test_contents_that_differ_in_the_middle_are_two(spark):
+    one, two = "a" * (3 << 20), "a" * (3 << 19) + "b" + "a" * ((3 << 19) - 1)
+    d = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    kept = A.dedupe_by_content(A.with_fingerprint(d, "text").select("fingerprint", "doc_id"), "doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert A.with_fingerprint(d, "text", head_tail=True).select("fingerprint").distinct().count() == 1
+
+
+def test_two_ingest_runs_keep_what_each_brought(spark, tmp_path):
+    from shotloom.streaming import streams as X
+    store = str(tmp_path / "store")
+    for run, keys in enumerate((["a", "b"], ["c", "a"], ["c", "a"])):
+        src = str(tmp_path / f"in{run}")
+        spark.createDataFrame([(k,) for k in keys], "fingerprint string").write.parquet(src)
+        stream = spark.readStream.schema("fingerprint string").parquet(src)
+        X.stream_ingest(stream, store, "v1", str(tmp_path / f"ck{run}")).awaitTermination()
+    assert sorted(r.fingerprint for r in spark.read.parquet(store).collect()) == ["a", "b", "c"]
+
+
+def _row_clips(spark, rows):
+    return spark.createDataFrame([(1, *r) for r in rows], "timeline_id long, idx long, tl_start double, dur double, beat_locked boolean, source_in double, source_out double, speed double")
+
+
+def test_forced_length_moves_only_what_follows(spark):
+    d = _row_clips(spark, [(i, t, 1.0, True, 0.0, 1.0, 1.0) for i, t in enumerate((0.0, 2.0, 3.0, 4.0))])
+    got = TL.reflow_durations(d, spark.createDataFrame([(1, 2, 2.0)], "timeline_id long, idx long, forced double"), 30.0).orderBy("idx").collect()
+    assert [(r.tl_start, r.dur, r.moved, r.beat_locked, r.hold) for r in got] == [(0, 1, False, True, 0), (2, 1, False, True, 0), (3, 2, False, True, 1), (5, 1, True, False, 0)]
+
+
+def test_resnap_moves_every_clip_and_keeps_locked_lengths(spark):
+    d = _row_clips(spark, [(i, i * 0.55, 0.55, True, 0.0, 0.3, 1.0) for i in range(1000)])
+    beats = spark.createDataFrame([(1, 3.0 + 0.5 * k) for k in range(1100)], "timeline_id long, beat double")
+    got = TL.resnap_to_beats(d, beats, 30.0, d.filter("idx = 1")).orderBy("idx").collect()
+    assert len(got) == 1000 and all(abs(r.tl_start - 0.5 * r.idx) < 1e-9 for r in got)
+    assert got[1].dur == 0.55 and all(abs(r.dur - 0.5) < 1e-9 for r in got if r.idx != 1)
+    assert abs(got[1].hold - 0.25) < 1e-9 and abs(got[2].hold - 0.2) < 1e-9
+
+
+def test_missing_audio_is_reported(spark):
+    clips = spark.createDataFrame([(1, 0, "c0", 0.0, 1.0, 0.0, 1.0, 1.0, "use", [], "cut", 0.0, "a.mp4", False)],
+                                  "timeline_id long, idx long, clip_id string, tl_start double, dur double, source_in double, source_out double, speed double, handling string, "
+                                  "effects array<struct<type:string,params:map<string,double>>>, transition string, tdur double, source_path string, beat_locked boolean")
+    audio = spark.createDataFrame([(1, "t0", 0.0, 1.0, "a.mp4"), (1, "t1", 1.0, 1.0, "gone.wav")], "timeline_id long, track_id string, source_in double, source_out double, source_path string")
+    got = {(r.subject, r.code) for r in TL.validate_timeline(clips, sources=spark.createDataFrame([("a.mp4",)], "source_path string"), audio=audio).collect()}
+    assert got == {("t1", "missing_audio"), ("t1", "bad_audio_range")}
+
+
+def test_coverage_finds_a_long_shot_behind_five_short_ones(spark):
+    d = spark.createDataFrame([(f"s{k}", 0.9, "use", 1.0 - k / 10, 0.1 if k < 5 else 9.0) for k in range(6)], "shot_id string, brightness double, handling string, technical_quality double, duration double")
+    got = K.coverage(d, [{"number": 1, "criteria": (Q.Criterion("brightness", ">", 0.6, "bright"),), "duration": 6.0}]).first()
+    assert (got.status, got.candidates) == ("likely", ["s5"])
+
+
+def test_more_than_62_criteria(spark):
+    d = spark.createDataFrame([("s1", 0.9, "use"), ("s2", 0.3, "use")], "shot_id string, brightness double, handling string")
+    q = Q.Query("q", tuple(Q.Criterion("brightness", ">", k / 100, f"over {k}") for k in range(70)))
+    got = {r.shot_id: (r.score, len(r.matched), len(r.unmet)) for r in Q.search(d, [q]).collect()}
+    assert got["s1"] == (1.0, 70, 0) and got["s2"][1:] == (30, 40)
 
 
 def test_assignment_equals_the_full_walk(spark, small, monkeypatch):
