@@ -20,12 +20,13 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, texts
-from .vocab import PieceCache, default_path
+from .vocab import PieceCache, default_path, gather, slices
 
 TOKENIZER = "word_bpe_49k.json"
 _END = "\uffff"
@@ -45,14 +46,14 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    def __init__(self, path: str):
-        import ahocorasick
+    #: Pieces that a worker remembers, per generation of its cache.
+    pieces = 400_000
 
+    def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
+        self.model = spec["model"]
+        self.suffix = self.model["end_of_word_suffix"]
+        self.ids: dict[str, int] = self.model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for t, i in [*self.ids.items(), *self.special.items()]:
@@ -60,25 +61,41 @@ class Codec:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        letters = byte_letters()
-        self.letters = {i: c for i, c in enumerate(letters)}
-        # the vocabulary by whole byte-level letters; a token that ends a word ends in _END
-        self.scan = ahocorasick.Automaton()
-        self.symbols: dict[int, list[str]] = {}
-        for t, i in self.ids.items():
-            ends = t.endswith(self.suffix)
-            plain = t[:-len(self.suffix)] if ends else t
-            if plain:
-                self.scan.add_word(plain + _END * ends, (i, len(plain) + ends))
-                self.symbols[i] = [*plain[:-1], plain[-1] + self.suffix] if ends else [*plain]
-        self.scan.make_automaton()
+        self.letters = dict(enumerate(byte_letters()))
         self.size = len(self.tokens)
+        self.letters_of = pa.array(self.tokens, pa.string())
         self.whole: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
         self.failed = self.tried = 0
-        self.cache = PieceCache(self.encode_pieces)
+        self.cache = PieceCache(self.encode_pieces, self.pieces)
         self.word_cache = PieceCache(self._word_ids, 250_000)
 
+    @functools.cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        return {tuple(m): r for r, m in enumerate(self.model["merges"])}
+
+    @functools.cached_property
+    def symbols(self) -> dict[int, list[str]]:
+        """The single letters that every token is merged from; the last letter of a word carries the suffix."""
+        out = {}
+        for t, i in self.ids.items():
+            plain = t.removesuffix(self.suffix)
+            if plain:
+                out[i] = [*plain[:-1], plain[-1] + self.suffix] if plain != t else [*plain]
+        return out
+
+    @functools.cached_property
+    def scan(self):
+        """The vocabulary for longest-match scans; a token that ends a word ends in _END."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for i, letters in self.symbols.items():
+            ends = letters[-1].endswith(self.suffix)
+            out.add_word("".join(letters).removesuffix(self.suffix) + _END * ends, (i, len(letters) + ends))
+        out.make_automaton()
+        return out
+
     def merge(self, parts: list[str]) -> list[str]:
         """Exact merging: always the pair of lowest rank, the leftmost of equal ones."""
         if len(parts) <= 64:
@@ -167,6 +184,12 @@ class Codec:
 
     def words_of(self, piece: str) -> list[str | int]:
         """Words of a piece in byte-level letters, and ids of special tokens written out in it."""
+        if piece.isascii():      # most pieces: letters, perhaps with one mark behind
+            low = piece.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha():
+                return [low[:-1], low[-1]]
         out: list[str | int] = []
         for part in self.specials.split(piece) if self.specials and "<|" in piece else [piece]:
             if part in self.special:
@@ -183,17 +206,20 @@ class Codec:
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of every piece as little-endian 32-bit integers."""
         split = [self.words_of(p.decode()) for p in pieces]
-        ids = self.word_cache.table(w for ws in split for w in ws if isinstance(w, str))
+        kinds = list({w for ws in split for w in ws if isinstance(w, str)})
+        ids = dict(zip(kinds, self.word_cache.values(kinds)))
         return [b"".join([ids[w] if isinstance(w, str) else np.array([w], "<u4").tobytes() for w in ws]) for ws in split]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit integers."""
-        cut = [(t or "").encode().split() for t in texts]
-        table = self.cache.table(p for c in cut for p in c)
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after the other, and where each text's ids begin (with the end)."""
+        # upper case and a mark between a letter and white space make no difference to the words, but many more pieces
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,;:!?])(\s)", r"\1 \2\3")
+        return gather(pc.ascii_split_whitespace(texts), self.cache.values)
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts from ids: the tokens joined by one space."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), self.letters_of.take(pa.array(ids))), " ")
 
 
 @functools.cache
@@ -202,20 +228,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def small_batches(column, limit: int = 1 << 20):
-    """Slices of an Arrow text column of about ``limit`` bytes: (first row, texts)."""
-    start, held, total = 0, [], 0
-    for k, t in enumerate(column):
-        t = t.as_py()
-        held.append(t)
-        total += len(t or "")
-        if total > limit:
-            yield start, held
-            start, held, total = k + 1, [], 0
-    if held:
-        yield start, held
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of token ids), decoded (text from these ids): one row per input row.
 
@@ -227,12 +239,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for start, part in small_batches(batch.column("text")):
-                raw = c.encode(part)
-                n = np.array([len(r) // 4 for r in raw], np.int64)
-                flat = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), ids, pa.array([c.decode(r) for r in raw])], ["doc_id", "ids", "decoded"])
+            for start, part in slices(batch):
+                ids, offsets = c.encode(part)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), lists, c.decode(ids, offsets)], ["doc_id", "ids", "decoded"])
 
     return spread(texts(docs)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -17,13 +17,14 @@ import heapq
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import small_batches
 from .common import spread, texts
-from .vocab import PieceCache, default_path
+from .vocab import PieceCache, default_path, slices
 
 MODEL = "piece_bpe_32k.model"
 SAMPLE_DOCS = 20_000
@@ -66,14 +67,27 @@ class Counts:
         # a pre-token of a single space sign is an empty text to the library, which gives that no token
         return [len(x) or (not self.whole) for x in self.p.encode([x.decode() for x in pieces], num_threads=1)]
 
-    def count(self, texts: list[str | None], table: dict[bytes, int]) -> list[int]:
-        raw = [(t or "").encode() for t in texts]
+    def count(self, texts: pa.Array, table: dict[bytes, int]) -> np.ndarray:
+        """Tokens of every text."""
         if self.whole:
-            return [len(x) for x in self.p.encode([r.decode() for r in raw], num_threads=1)]
-        cut = [pre_tokens(r) for r in raw]
-        rare = self.cache.table(p for c in cut for p in c if p not in table)
-        both = rare | {p: table[p] for p in {p for c in cut for p in c} if p in table}
-        return [sum(map(both.__getitem__, c)) for c in cut]
+            return np.array([len(x) for x in self.p.encode(texts.to_pylist(), num_threads=1)], np.int64)
+        plain = pc.replace_substring(texts, "▁", " ")
+        odd = pc.or_(pc.or_(pc.match_substring(plain, "  "), pc.starts_with(plain, " ")), pc.ends_with(plain, " ")).to_numpy(zero_copy_only=False)
+        odd |= pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        # texts with single spaces only are cut by Arrow, others by the general rule
+        for rows, lists in ((np.flatnonzero(~odd), pc.split_pattern(plain.filter(pa.array(~odd)).cast(pa.large_binary()), b" ")),
+                            (np.flatnonzero(odd), pa.array([pre_tokens(t.encode()) for t in plain.filter(pa.array(odd)).to_pylist()], pa.large_list(pa.large_binary())))):
+            kinds = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+            pieces = kinds.dictionary.to_pylist()
+            size = [table.get(p) for p in pieces]
+            rare = [k for k, v in enumerate(size) if v is None]
+            for k, v in zip(rare, self.cache.values([pieces[k] for k in rare])):
+                size[k] = v
+            total = np.append(0, np.cumsum(np.array(size, np.int64)[kinds.indices.to_numpy()]) if pieces else [])
+            cut = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+            out[rows] = np.diff(total[cut])
+        return out
 
 
 @functools.cache
@@ -118,9 +132,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     def run(batches):
         c = counts(path)
         for batch in batches:
-            for start, part in small_batches(batch.column("text")):
-                n = c.count(part, table.value)
-                size = [len((t or "").encode()) for t in part]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for start, part in slices(batch):
+                size = pc.binary_length(part)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), size.cast(pa.int64()), pa.array(c.count(part, table.value))], ["doc_id", "n_bytes", "n_tokens"])
 
     return spread(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

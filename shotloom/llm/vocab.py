@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def default_path(name: str) -> str:
@@ -32,23 +36,48 @@ class PieceCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def table(self, pieces: Iterable[bytes]) -> dict:
-        """A dictionary with a value for every one of ``pieces``, distinct or not."""
+    def values(self, pieces: list[bytes]) -> list:
+        """The values of distinct pieces, in their order."""
         young, old = self.young, self.old
-        out, missing = {}, []
-        for p in set(pieces):
-            v = young.get(p)
+        out = [young.get(p) for p in pieces]
+        missing = []
+        for k, v in enumerate(out):
             if v is None:
-                v = old.get(p)
+                v = old.get(pieces[k])
                 if v is None:
-                    missing.append(p)
-                    continue
-                young[p] = v
-            out[p] = v
+                    missing.append(k)
+                else:
+                    out[k] = young[pieces[k]] = v
         if missing:
-            new = dict(zip(missing, self.encode(missing)))
-            out.update(new)
-            young.update((p, v) for p, v in new.items() if len(p) <= 64)
+            for k, v in zip(missing, self.encode([pieces[k] for k in missing])):
+                out[k] = v
+                if len(pieces[k]) <= 64:
+                    young[pieces[k]] = v
         if len(young) > self.size:
             self.old, self.young = young, {}
         return out
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+    """(first row, texts) of about ``limit`` bytes each, as large-string arrays; nulls become empty texts."""
+    col = batch.column(column).cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield i, col.slice(i, j - i)
+        i = j
+
+
+def gather(lists: pa.Array, values: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Replace every piece of lists of pieces by its ids: all ids, and for every list where its ids begin (with the end)."""
+    kinds = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+    got = values(kinds.dictionary.to_pylist())
+    size = np.fromiter((len(v) >> 2 for v in got), np.int64, len(got))
+    flat, start = np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size
+    at = kinds.indices.to_numpy()
+    n = size[at]
+    ends = np.append(0, np.cumsum(n))
+    ids = flat[np.repeat(start[at] - ends[:-1], n) + np.arange(int(ends[-1]))]
+    lengths = pc.list_value_length(lists).to_numpy()
+    return ids, ends[np.append(0, np.cumsum(lengths))]
