@@ -11,7 +11,9 @@ Only connected components are asked for, so a group of copies is never expanded
 2. under every key the members meet two centres (its smallest and its largest id): a linear number of pairs;
 3. pairs that are close by size and by a 64-bit sketch are confirmed on full sets, and confirmed links are joined up;
 4. keys whose members still belong to several components compare members of the other components with all members, so no
-   pair across components goes untested.
+   pair across components goes untested.  Heavily edited copies would make this quadratic; but a shingle that no other member
+   of these keys has lies in the union of any pair and in no intersection, so their numbers bound the similarity, and such
+   copies fall out before the comparison.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SIMILARITY_PERCENT = 75
 CHUNKS, WIDTH, ERRORS = 12, 4, 1
 #: Sketches of 64 one-bit minima differ in 8 places at a similarity of 0.75; 26 is seven standard deviations away.
 SKETCH_BITS = 26
+#: Bytes of shingle sets up to which they are broadcast.
+BROADCAST_BYTES = 24 << 20
 _PATTERNS = list(combinations(range(WIDTH), WIDTH - ERRORS))
 _A = A.mix(np.arange(CHUNKS * WIDTH, dtype=A.U)) | A.U(1)
 _B = A.mix(np.arange(CHUNKS * WIDTH, dtype=A.U) + A.U(1 << 20))
@@ -87,6 +91,14 @@ def _signatures(batches):
                  pa.array(key_lists, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "sketch", "keys"])
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for i, j, data, offsets in A.steps(batch, "text"):
+            flat, n = shingle_sets(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], n), pa.int64()), pa.array(A.signed(flat))], ["id", "shingle"])
+
+
 def _sets(batches):
     for batch in batches:
         for i, j, data, offsets in A.steps(batch, "text"):
@@ -95,7 +107,7 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([s.tobytes() for s in cut], pa.binary())], ["doc_id", "members"])
 
 
-def _confirm(batches):
+def confirm(batches):
     for batch in batches:
         a, b = batch.column("members_a"), batch.column("members_b")
         keep = []
@@ -150,9 +162,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = stage(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, members binary"))
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b")), "b"))
-    links = stage(both.mapInArrow(_confirm, "a long, b long"))
+    # many pairs among few documents: their sets go to all tasks if they are small, else pairs and sets are shuffled
+    size = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    held = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
+    both = (pairs.join(held.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a")), "a")
+            .join(held.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b")), "b"))
+    links = stage(both.mapInArrow(confirm, "a long, b long"))
     release(sets)
     return links
 
@@ -191,16 +206,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("key", F.col("m.component").alias("main")))
     open_rows = stage(named.join(most, "key"))
     release(named)
-    x = open_rows.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("component").alias("c_a"))
-    y = open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("component").alias("c_b"), "main")
-    rest = stage(_close(x.join(y, "key").where("c_a <> c_b AND (c_b = main OR a < b)")).join(pairs, ["a", "b"], "left_anti"))
+    # shingles that one member of the open keys has alone
+    members = docs.join(open_rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    alone = (members.mapInArrow(_shingle_rows, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1")
+             .groupBy("id").agg(F.count("*").cast("int").alias("u")))
+    likely = stage(open_rows.join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(f"100 * (n - u) >= {SIMILARITY_PERCENT} * n"))
+    x = likely.where("component <> main").select("key", *[F.col(c).alias(a) for c, a in (("id", "a"), ("n", "n_a"), ("s", "s_a"), ("u", "u_a"), ("component", "c_a"))])
+    y = likely.select("key", *[F.col(c).alias(a) for c, a in (("id", "b"), ("n", "n_b"), ("s", "s_b"), ("u", "u_b"), ("component", "c_b"))], "main")
+    bound = f"100 * least(n_a - u_a, n_b - u_b) >= {SIMILARITY_PERCENT} * greatest(n_a + u_b, n_b + u_a)"
+    rest = stage(_close(x.join(y, "key").where("c_a <> c_b AND (c_b = main OR a < b)").where(bound)).join(pairs, ["a", "b"], "left_anti"))
     more = _confirmed(rest, docs)
-    release(open_rows, rest, pairs, label)
+    release(open_rows, likely, rest, pairs, label)
     # all links, and from every document with a repeated set to the one that stands for it
     final = components(links.union(more))
     release(links, more)
     return (sign.select("doc_id", "n_shingles", "set_id")
             .join(sets.select("set_id", "rep"), "set_id", "left")
             .join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -139,7 +139,7 @@ def without_lines(rows):
     for i, t in sorted(rows):
         keep, n, gone = [], 0, 0
         for line in (t or "").split("\n"):
-            w = [x for x in re.split(r"[ \t\v\f\r]+", line.lower()) if x]
+            w = [x for x in re.split(r"[ \t\v\f\r]+", lower(line)) if x]
             if not w:
                 keep.append(line)
                 continue
