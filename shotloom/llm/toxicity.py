@@ -2,7 +2,7 @@
 
 1. Lexicon.  From a bounded sample of labelled training rows (``TRAIN_DOCS``, picked by a hash of the id), words and word
    beginnings that are much more frequent in toxic than in other documents become terms (at most ``TERMS``); a beginning
-   matches inflected forms.
+   matches inflected forms, a whole word is taken besides its beginning and matches misspelled forms.
 2. Matching.  The terms form a trie.  The trie and the Levenshtein automata of its terms are walked together: a state is the
    set of (trie node, edits so far), and states are made as words need them.  As most words leave the trie after two or three
    letters, one dictionary step per letter is enough, and misspelled terms are found with the exact ones.
@@ -48,7 +48,10 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Matcher:
-    """Lazily built automaton of a trie of terms under Levenshtein distance 1.  Terms ending in ``*`` match beginnings."""
+    """Lazily built automaton of a trie of terms under Levenshtein distance 1.  Terms ending in ``*`` match beginnings.
+
+    ``wide`` also counts two neighbours swapped as one error, and allows the error in the first letter.
+    """
     terms: list[str]
     nodes: list[dict] = field(default_factory=lambda: [{}])
     final: dict[int, tuple[bool, bool]] = field(default_factory=dict)   # node -> (is a whole term, is a beginning)
@@ -58,9 +61,11 @@ class Matcher:
     hits: list[int] = field(default_factory=list)
     #: States are dropped and built anew beyond this number, so unusual letters cannot fill the memory.
     limit: int = 50_000
+    wide: bool = False
 
     def __post_init__(self):
-        self.fuzzy = set()
+        # nodes on the way to a term that may be misspelled, and nodes deep enough to end one
+        self.fuzzy, self.deep = ({0} if self.wide else set()), set()
         for t in self.terms:
             word, stem, at = t.rstrip("*"), t.endswith("*"), 0
             for k, ch in enumerate(word):
@@ -70,6 +75,8 @@ class Matcher:
                 at = self.nodes[at][ch]
                 if len(word) >= FUZZY_FROM:
                     self.fuzzy.add(at)
+                    if k + 1 >= FUZZY_FROM:
+                        self.deep.add(at)
             whole, begin = self.final.get(at, (False, False))
             self.final[at] = (whole or not stem, begin or stem)
         self.reset()
@@ -78,10 +85,15 @@ class Matcher:
         self.states, self.names, self.keys, self.hits = [], {}, [], []
         self.start = self._state({(0, 0)})
 
-    def _state(self, items: set[tuple[int, int]]) -> int:
+    def _ends(self, node: int, edits: int, begin: int) -> bool:
+        """Whether a whole term (0) or a beginning (1) ends at ``node``; short ones end without edits only."""
+        return self.final.get(node, (False, False))[begin] and (not edits or node in self.deep)
+
+    def _state(self, items: set[tuple]) -> int:
         """Number of a set of (node, edits), closed under skipping a letter of the term.
 
-        Negative nodes are marks: a beginning was matched with so many edits, whatever follows.
+        Negative nodes are marks: a beginning was matched with so many edits, whatever follows.  Pairs (node, letter) in place
+        of a node are half a swap: that letter leads to the node.
         """
         todo, best = list(items), {}
         while todo:
@@ -89,37 +101,44 @@ class Matcher:
             if best.get(node, 9) <= edits:
                 continue
             best[node] = edits
-            if node >= 0:
-                if self.final.get(node, (0, 0))[1]:
+            if not isinstance(node, tuple) and node >= 0:
+                if self._ends(node, edits, 1):
                     todo.append((-1, edits))
-                if edits == 0 and node:
+                if edits == 0 and (node or self.wide):
                     todo += [(n, 1) for n in self.nodes[node].values() if n in self.fuzzy]
         key = frozenset(best.items())
         if key not in self.names:
             self.names[key] = len(self.states)
             self.states.append({})
             self.keys.append(key)
-            whole = min((e for n, e in best.items() if n < 0 or self.final.get(n, (0, 0))[0]), default=None)
+            whole = min((e for n, e in best.items() if not isinstance(n, tuple) and (n < 0 or self._ends(n, e, 0))), default=None)
             self.hits.append(0 if whole is None else 2 - whole)
         return self.names[key]
 
     def _step(self, state: int, ch: str) -> int:
         out = set()
         for node, edits in self.keys[state]:
+            if isinstance(node, tuple):
+                if node[1] == ch:
+                    out.add((node[0], edits))
+                continue
             if node < 0:
                 out.add((node, edits))
                 continue
             to = self.nodes[node].get(ch)
             if to is not None:
                 out.add((to, edits))
-            if edits == 0 and node:      # the first letter must be right
+            if edits == 0 and (node or self.wide):      # else the first letter must be right
                 out |= {(n, 1) for n in self.nodes[node].values() if n in self.fuzzy}
                 if node in self.fuzzy:
                     out.add((node, 1))
+            if edits == 0 and self.wide:
+                swaps = ((self.nodes[n].get(ch), first) for first, n in self.nodes[node].items() if first != ch)
+                out |= {((n, first), 1) for n, first in swaps if n in self.fuzzy}
         return self._state(out) if out else -1
 
     def match(self, word: str) -> int:
-        """2: a term, 1: a term with one letter wrong, missing or too many, 0: none."""
+        """2: a term, 1: a term with one letter wrong, missing or too many (or a swap, if ``wide``), 0: none."""
         at, states = self.start, self.states
         for ch in word:
             to = states[at].get(ch)
@@ -207,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
                                               pa.array([*both[0].values()] + [0] * len(both[1]), pa.int64())], ["term", "t", "f"])
     odds = F.log((F.col("t") + 0.5) / (pos + 1)) - F.log((F.col("f") + 0.5) / (neg + 1))
     terms = (rows.mapInArrow(count, "term string, t long, f long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
-             .where(f"t >= {max(MIN_SUPPORT, MIN_SHARE * pos)}").withColumn("odds", odds).where(f"odds >= {MIN_LOG_ODDS}").orderBy(F.desc("odds"), "term").limit(20 * TERMS))
+             .where(f"t >= {max(MIN_SUPPORT, MIN_SHARE * pos)}").withColumn("odds", odds).where(f"odds >= {MIN_LOG_ODDS}").orderBy(F.desc("odds"), F.col("term").endswith("*"), "term").limit(20 * TERMS))
     chosen = choose([r.term for r in terms.select("term").collect()])
     got = rows.mapInArrow(_features(Model(chosen, np.zeros(FEATURES)), ("doc_id", "toxic")), "doc_id long, toxic int, x array<double>").select("toxic", "x").collect()
     release(rows)
@@ -217,12 +236,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
 
 
 def choose(ranked: list[str]) -> list[str]:
-    """The first ``TERMS`` terms that no beginning taken before them matches."""
+    """The first ``TERMS`` terms, without beginnings of which a shorter one is taken already.
+
+    Of words, only those too short to be misspelled are left out for their beginning: it matches the longer ones just as they
+    are, and not misspelled.
+    """
     chosen: list[str] = []
     seen: set[str] = set()
     for t in ranked:
         word = t.rstrip("*")
-        if not any(word[:k] + "*" in seen for k in STEMS if k <= len(word)):
+        if (t == word and len(word) >= FUZZY_FROM) or not any(word[:k] + "*" in seen for k in STEMS if k <= len(word)):
             chosen.append(t)
             seen.add(t)
         if len(chosen) == TERMS:
@@ -240,7 +263,7 @@ def _features(model: Model, carry: tuple[str, ...], score: bool = False):
         key = tuple(terms)
         if key not in _MATCHERS:
             _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(list(terms))
+            _MATCHERS[key] = Matcher(list(terms), wide=True)
         m = _MATCHERS[key]
         for batch in batches:
             x = [features(t.as_py() or "", m) for t in batch.column("text")]

@@ -238,3 +238,38 @@ def test_lines_without_id(spark):
                                  lambda d: toxicity.toxicity(d, d.selectExpr("doc_id", "1 toxic")), lambda d: decontamination.contaminated(d, d.selectExpr("doc_id item_id", "text"))])
 def test_empty_tables(nothing, run):
     assert run(nothing).isEmpty()
+
+
+def test_misspelled_beginnings_of_a_trained_model(spark):
+    plain = lambda k: " ".join(f"word{(k * 7 + j) % 90}" for j in range(40))
+    rows = [(k, plain(k) + (" you blockhead and nitwit" if k % 5 == 0 else "")) for k in range(400)]
+    wrong = ["bolckhead", "blokchead", "bockhead", "blackhead", "lockhead", "plockhead", "ntiwit", "intwit"]
+    rows += [(1000 + k, plain(k) + f" you {w} {w}") for k, w in enumerate(wrong)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+    assert {"blockhead", "nitwit", "bloc*", "nitw*"} <= set(model.terms)
+    m = toxicity.Matcher(list(model.terms), wide=True)
+    assert [m.match(w) for w in [*wrong, "blockhead", "blocks", "blohcs", "bolck", "head"]] == [1] * len(wrong) + [2, 2, 0, 0, 0]
+
+
+def test_swaps_and_first_letters():
+    def near(a, t):
+        """Whether one letter wrong, missing or too many, or one swap of neighbours, turns ``t`` into ``a``."""
+        cut = {t[:k] + t[k + 1:] for k in range(len(t))}
+        return a in cut or t in {a[:k] + a[k + 1:] for k in range(len(a))} or (len(a) == len(t) and sum(x != y for x, y in zip(a, t)) == 1) \
+            or a in {t[:k] + t[k + 1] + t[k] + t[k + 2:] for k in range(len(t) - 1)}
+
+    r = np.random.default_rng(7)
+    terms = ["moron", "idiot", "abcab", "cab", "caba*"]
+    m = toxicity.Matcher(list(terms), wide=True)
+    for _ in range(4000):
+        base = list(terms[r.integers(4)])
+        for _ in range(r.integers(0, 3)):
+            k = r.integers(0, len(base) + 1)
+            if r.integers(2):
+                base[k:k + 2] = base[k:k + 2][::-1]
+            else:
+                base[k:k + r.integers(0, 2)] = ["abcdiomnrt"[x] for x in r.integers(0, 10, r.integers(0, 2))]
+        w = "".join(base)
+        exact = w in terms or w.startswith("caba")
+        assert m.match(w) == (2 if exact else int(any(near(w, t) for t in terms[:3]))), w
