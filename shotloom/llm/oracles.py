@@ -107,4 +107,25 @@ broken AS (SELECT r.doc_id, list({names}[r.rule + 1] ORDER BY r.rule) AS bad FRO
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad IS NULL AS kept, coalesce(array_to_string(bad, ','), '') AS rejected_by FROM f LEFT JOIN broken USING (doc_id)"""
 
 
-ORACLES = {"op1_substring_dedup": REPEATS, "op2_quality_rules": _quality(), "op3_decontamination": _leaks(), "op6_near_dedup": NEAR, "op7_secret_scan": _secrets(), "op10_line_dedup": LINES}
+#: Every document against every order: no intervals, no sums over ranks.
+FILTERS = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
+early AS (SELECT t, min(doc_id) AS lo FROM w GROUP BY 1),
+mark AS (SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > lo THEN 'E' END) AS bad
+    FROM w JOIN early USING (t) LEFT JOIN mark USING (doc_id)),
+c AS (SELECT part, bad, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT c.*, filter_order, CASE WHEN bad = '' THEN 6 ELSE list_min(list_transform(string_split(bad, ''), lambda x: instr(filter_order, x))) END AS gone FROM c, o),
+g AS (SELECT part, s.filter_order, s.step, s.filter_order[s.step] AS x, sum(CASE WHEN gone > s.step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = s.step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone < s.step AND contains(bad, s.filter_order[s.step]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN bad = s.filter_order[s.step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = s.step AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN gone = s.step AND toxic THEN n ELSE 0 END) AS toxic_lost
+    FROM r JOIN s ON r.filter_order = s.filter_order GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g"""
+
+
+ORACLES = {"op1_substring_dedup": REPEATS, "op2_quality_rules": _quality(), "op3_decontamination": _leaks(), "op6_near_dedup": NEAR, "op7_secret_scan": _secrets(), "op10_line_dedup": LINES, "op12_filter_audit": FILTERS}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe_codec, decontamination, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts, token_files, toxicity
+from . import bpe_codec, conversation_repair, decontamination, filter_audit, line_dedup, near_dedup, quality_rules, secret_scan, sharding, substring_dedup, token_counts, token_files, toxicity
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -55,6 +55,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     sys.path[:0] = [p for p in [os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))] if p not in sys.path]
     import corpus_pipeline
@@ -62,4 +74,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_decontamination, op4_bpe_codec, op5_token_counts, op6_near_dedup, op7_secret_scan, op8_token_files,
-                                   op9_toxicity, op10_line_dedup, pipeline)}
+                                   op9_toxicity, op10_line_dedup, op11_conversation_repair, op12_filter_audit, op13_sharding, pipeline)}
