@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_point
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
 # At this size these find nothing; the larger tables do.
 MAY_BE_EMPTY = {"drops", "level_jumps", "duration_drift", "stream_job_monitor", "negated_terms", "beats_in", "speech_overlap", "voice_tracks", "inert_criteria"}
 
