@@ -10,10 +10,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.maths import strings
+from . import cells
 
 QUERIES_PER_SCAN = 256
 VECTORS_PER_SCAN = 1024
@@ -173,67 +173,47 @@ def _query_groups(queries: DataFrame, vec: str, per_scan: int) -> Iterator[tuple
         d = queries if groups == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
         rows = d.orderBy("query_id").collect()
         if rows:
-            yield [r["query_id"] for r in rows], np.asarray([r[vec] for r in rows], float), [r["exclude"] for r in rows]
+            yield [r["query_id"] for r in rows], np.asarray([r["vector"] for r in rows], float), [r["exclude"] for r in rows]
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding",
                 normalize_stored: bool = False, per_scan: int = VECTORS_PER_SCAN) -> DataFrame:
-    """The ``k`` stored vectors with the largest dot product with each normalised query.
+    """The ``k`` stored vectors with the largest dot product with each normalised query, by one scan per group of queries.
 
-    ``queries`` has (query_id, vector, exclude), exclude being one key to skip or null.  A
-    bounded group of query vectors travels to the scan; each batch of stored vectors is
-    multiplied with it at once and keeps only what can still be among the best ``k``.
-    Similarities are compared at nine decimals, ties by key.
+    For few queries and a library that is searched once; ``cells`` keeps an index for many.  ``queries`` has (query_id,
+    vector, exclude), exclude being one key to skip or null.  A bounded group of query vectors travels to the scan; a task
+    keeps the best ``k`` of each query over all its batches.  Similarities are compared at nine decimals, ties by key.
     """
     types = dict(vectors.dtypes)
-    qtype = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {qtype}, {key} {types[key]}, similarity double"
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {types[key]}, similarity double"
     src = vectors.filter(F.col(vec).isNotNull()).select(key, vec)
     out = None
-    for ids, mat, skip in _query_groups(queries, vec, per_scan):
-        lengths = np.linalg.norm(mat, axis=1)
-        mat = mat / np.where(lengths == 0, 1.0, lengths)[:, None]
+    for ids, mat, skip in _query_groups(cells.prepare(queries, vec), vec, per_scan):
 
         def best(batches, ids=ids, mat=mat, skip=skip):
+            held = cells._Best(k)
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.stack(pdf[vec].to_numpy()).astype(float)
-                if normalize_stored:
-                    ln = np.linalg.norm(m, axis=1)
-                    m = m / np.where(ln == 0, 1.0, ln)[:, None]
-                sims, names = np.round(m @ mat.T, 9), pdf[key].to_numpy()
-                for j, qid in enumerate(ids):
-                    s = sims[:, j]
-                    ok = np.ones(len(s), bool) if skip[j] is None else names != skip[j]
-                    s, nm = s[ok], names[ok]
-                    if len(s) > k:
-                        edge = np.partition(s, len(s) - k)[len(s) - k]
-                        s, nm = s[s >= edge], nm[s >= edge]
-                        first = np.lexsort((nm, -s))[:k]
-                        s, nm = s[first], nm[first]
-                    if len(s):
-                        yield pd.DataFrame({"query_id": qid, key: nm, "similarity": s})
+                if len(pdf):
+                    m = cells._matrix(pdf[vec])
+                    cells.score_group(held, cells._unit(m) if normalize_stored else m, pdf[key].to_numpy(), ids, mat, skip)
+            if held.found:
+                yield held.rows(key)
 
         part = src.mapInPandas(best, schema)
         out = part if out is None else out.unionByName(part)
-    w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(key))
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cells.top(out, k, key)
 
 
-def find_similar(vectors: DataFrame, ids: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Nearest stored vectors of the stored vectors named in ``ids``, themselves left out."""
+def find_similar(vectors: DataFrame, ids: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", index: cells.Index | None = None) -> DataFrame:
+    """Nearest stored vectors of the stored vectors named in ``ids``, themselves left out; any number of them."""
     q = vectors.join(ids, key, "left_semi").select(F.col(key).alias("query_id"), vec, F.col(key).alias("exclude"))
-    return vector_topk(vectors, q, k, key, vec)
+    return cells.search(index or cells.build(vectors, key, vec), q, k, key, vec)[0]
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "shot_id",
-                    vec: str = "semantic_embedding") -> DataFrame:
+                    vec: str = "semantic_embedding", index: cells.Index | None = None) -> DataFrame:
     """Cosine search over externally computed vectors; refuses a library without any."""
-    have = vectors.filter(F.col(vec).isNotNull())
-    if have.isEmpty():
-        raise ValueError("no shot in this library carries a semantic vector; embed the library first")
-    return vector_topk(have, queries, k, key, vec, normalize_stored=True)
+    return cells.search(index or cells.build(vectors, key, vec, unit=True), queries, k, key, vec)[0]
 
 
 def recall_at_k(results: DataFrame, truth: DataFrame, key: str = "shot_id", enough: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_id
 from ..functions.maths import r6 as R
-from ..operators import search as S
+from ..operators import cells as X, search as S
 from ..operators.search import Criterion as C, Query
 from ..session import checkpoint_dir, table
 from ..sources import media as A, views as V
@@ -120,6 +120,31 @@ def semantic_search(spark, sf):
     return d.select("query_id", "vec_id", R(c("similarity")).alias("similarity"), c("rank").cast("long").alias("rank"))
 
 
+NEIGHBOURS = f"""SELECT * FROM (SELECT query_id, vec_id, {r6('sim')} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
+    / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)) WHERE rank <= 10"""
+
+
+def _hundredths(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e, e.filter("vec_id % 100 = 0").select(c("vec_id").alias("query_id"), "embedding", c("vec_id").alias("exclude"))
+
+
+@query("cell_neighbours", sql(NEIGHBOURS))
+def cell_neighbours(spark, sf):
+    """Ten nearest by cosine of every hundredth vector, by cells."""
+    e, q = _hundredths(spark, sf)
+    d, _ = X.search(X.build(e, unit=True), q, 10)
+    return d.select("query_id", "vec_id", R(c("similarity")).alias("similarity"), c("rank").cast("long").alias("rank"))
+
+
+@query("cell_visits")
+def cell_visits(spark, sf):
+    """How many cells and vectors each of these queries had to look at."""
+    e, q = _hundredths(spark, sf)
+    return X.search(X.build(e, unit=True), q, 10)[1]
+
+
 @query("recall_at_k", sql(f"""SELECT query_id, {r6('avg(CASE WHEN shot_id IN (SELECT f.shot_id FROM found f WHERE f.query_id = t.query_id) THEN 1.0 ELSE 0 END)')} AS recall,
     avg(CASE WHEN shot_id IN (SELECT f.shot_id FROM found f WHERE f.query_id = t.query_id) THEN 1.0 ELSE 0 END) >= 0.5 AS passed
     FROM (SELECT 'lively_pans' AS query_id, shot_id FROM shots WHERE camera_movement LIKE 'pan%' AND duration >= 5 AND faces > 0) t GROUP BY 1""", ("found", FOUND)))
