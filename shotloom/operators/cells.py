@@ -218,7 +218,8 @@ def plan_visits(index: Index, q: DataFrame, k: int, types: dict, floors: DataFra
                 floor = np.nan_to_num(pdf["floor"].to_numpy(float), nan=-np.inf)
                 go = ~first & (like + radii[None, :] + SLACK >= floor[:, None])
             row, cell = np.nonzero(go & (sizes > 0)[None, :])
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "cell": cell.astype(np.int32), "vector": list(m[row]), "exclude": pdf["exclude"].to_numpy()[row]})
+            if len(row):
+                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "cell": cell.astype(np.int32), "vector": list(m[row]), "exclude": pdf["exclude"].to_numpy()[row]})
     return d.mapInPandas(run, f"query_id {types['query_id']}, cell int, vector array<double>, exclude {types['exclude']}")
 
 
