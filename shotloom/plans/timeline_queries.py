@@ -154,7 +154,19 @@ def rank_alternatives(spark, sf):
     return d.select("plan_id", "slot", "choice", R(c("score")).alias("score"), "close_call", F.get("alternatives", F.lit(0))["shot"].alias("second"), F.size("alternatives").cast("long").alias("alternatives"))
 
 
-@query("assign_greedy")
+GREEDY = sql(f"""SELECT plan_id, slot, shot_id, {r6('score')} AS score, pinned FROM pick WHERE slot >= 0""", *CAND[:4],
+    ("plans", "SELECT *, asset_id // 40 AS plan_id FROM prt"),
+    ("pins", "SELECT plan_id, min(shot_id) AS pin FROM plans WHERE plan_id % 3 = 0 GROUP BY 1"),
+    ("pick", f"""SELECT DISTINCT plan_id, CAST(-1 AS BIGINT) AS slot, CAST(NULL AS VARCHAR) AS shot_id, CAST(0 AS DOUBLE) AS score, false AS pinned, CAST([] AS VARCHAR[]) AS shots_used, CAST([] AS BIGINT[]) AS assets_used FROM plans
+        UNION ALL SELECT plan_id, slot, shot_id, score, pinned, list_append(shots_used, shot_id), list_append(assets_used, asset_id) FROM (
+        SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY NOT pinned, shot_id IS NOT DISTINCT FROM before, round(score, 9) DESC, shot_id) AS place FROM (
+        SELECT n.plan_id, CAST(n.slot AS BIGINT) AS slot, n.shot_id, CAST(n.asset_id AS BIGINT) AS asset_id, b.shot_id AS before, n.slot = 1 AND x.pin IS NOT DISTINCT FROM n.shot_id AS pinned, b.shots_used, b.assets_used,
+          (0.22 * e + 0.16 * m + 0.12 * l + 0.14 * 0.8 * n.technical_quality + 0.12 * n.creative_value + 0.18 * 1.3 * {cont_sql('p', 'n')} + 0.06 * rf)
+          / (0.22 + 0.16 + 0.12 + 0.14 * 0.8 + 0.12 + 0.18 * 1.3 + 0.06) * hf * CASE WHEN list_contains(b.shots_used, n.shot_id) THEN 0.66 ELSE 1 END * CASE WHEN list_contains(b.assets_used, n.asset_id) THEN 0.93 ELSE 1 END AS score
+        FROM pick b JOIN plans n ON n.plan_id = b.plan_id AND n.slot = b.slot + 1 LEFT JOIN shots p ON p.shot_id = b.shot_id LEFT JOIN pins x ON x.plan_id = n.plan_id)) WHERE place = 1"""), recursive=True)
+
+
+@query("assign_greedy", GREEDY)
 def assign_greedy(spark, sf):
     """Library of each customer-sized group of assets, three slots each."""
     d = candidates(spark, sf).withColumn("plan_id", F.floor(c("asset_id") / 40).cast("long"))

@@ -224,18 +224,65 @@ def test_assignment_equals_the_full_walk(spark, small, monkeypatch):
         assert got[(p, 0)] != got[(p, 1)] and got[(p, 1)] != got[(p, 2)]
 
 
-def test_assignment_by_rounds_equals_the_walk(spark, small):
-    """Libraries too large for one task are assigned slot by slot with the same result."""
+def walked(rows, pins, knobs, diversity):
+    """The rule itself, slot after slot: rows of (slot, {shot fields}) of one plan, with the operator's own part scores."""
+    from shotloom.rules import planning as R
+    kw, qw = (knobs or {}).get("continuity_weight", 1.0), (knobs or {}).get("quality_weight", 1.0)
+    total = sum(v * {"continuity": kw, "quality": qw}.get(k, 1.0) for k, v in R.WEIGHTS.items())
+    wc = R.WEIGHTS["continuity"] * kw / total
+    again, same = 1 - min(0.85, R.REUSE_PENALTY * (1 + diversity)), 1 - min(0.5, R.SAME_ASSET_PENALTY * (1 + diversity))
+    prev, shots, assets, out = None, set(), set(), []
+    for s in sorted({r["slot"] for r in rows}):
+        g = [r for r in rows if r["slot"] == s]
+        held = [r for r in g if (s, r["shot_id"]) in pins]
+        if not held and prev is not None and len(g) > 1:
+            g = [r for r in g if r["shot_id"] != prev["shot_id"]]
+        best = None
+        for r in held or g:
+            if prev is None:
+                cont = 0.6
+            else:
+                tone = min(max(1 - (abs(prev["brightness"] - r["brightness"]) + abs(prev["warmth"] - r["warmth"]) * 0.5) / 0.9, 0), 1)
+                gap = abs((prev["flow_direction_deg"] - r["flow_direction_deg"] + 180) % 360 - 180)
+                a, b = prev["camera_movement"], r["camera_movement"]
+                move = ((0.45 if a == "static" else 1.0 if gap < 45 else 0.72 if gap > 135 else 0.4) if a == b else 0.85 if a == "static" else 0.7 if b == "static" else 0.6)
+                near = abs(prev["subject_x"] - r["subject_x"]) + abs(prev["subject_y"] - r["subject_y"]) < 0.08
+                frame = 1.0 if prev["shot_size"] != r["shot_size"] else 0.18 if near else 0.45
+                cont = min(max(0.34 * tone + 0.42 * move + 0.24 * frame, 0), 1)
+            score = r["_base"] + wc * cont + (wc * (1 - 2 * cont) * 0.8 if knobs and kw < 0.7 else 0)
+            score *= r["_f"] * (again if r["shot_id"] in shots else 1) * (same if r["asset_id"] in assets else 1)
+            if diversity > 0 and prev is not None:
+                x, y = np.array(r["embedding"]), np.array(prev["embedding"])
+                sim = float(x @ y) / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-12)
+                score *= max(0.15, 1 - diversity * (sim - 0.9) * 8) if sim > 0.9 else 1
+            key = (-round(score, 9), r["shot_id"])
+            best = min(best, (key, score, r), key=lambda x: x[0]) if best else (key, score, r)
+        prev = best[2]
+        shots.add(prev["shot_id"])
+        assets.add(prev["asset_id"])
+        out.append((s, prev["shot_id"], round(best[1], 8), bool(held)))
+    return out
+
+
+def test_assignment_in_waves_equals_the_walk(spark, small):
     from shotloom.plans.measure_queries import vectors
     from shotloom.plans.timeline_queries import KNOBS, candidates
     d = vectors(candidates(spark, small).withColumn("plan_id", F.floor(F.col("asset_id") / 300).cast("long"))).cache()
-    pins = d.groupBy("plan_id").agg(F.min("shot_id").alias("shot_id")).filter("plan_id % 2 = 0").withColumn("slot", F.lit(1).cast("long"))
-
-    def run(knobs, diversity, rows):
-        return {(r.plan_id, r.slot): (r.shot_id, round(r.score, 9), r.pinned) for r in P.assign_greedy(d, pins, knobs, diversity, walk_rows=rows).collect()}
-
+    # a longer plan: twelve slots over one small library, so that reuse, repeats and continuity reach far
+    long = d.filter("slot = 0 AND asset_id < 12").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("slot", F.col("slot").cast("long"))
+    long = long.withColumns({"plan_id": F.lit(-1).cast("long"), "intensity": (F.col("slot") * 7 % 10) / 10.0,
+                             "role": F.get(F.array(*[F.lit(x) for x in ("hook", "setup", "escalation", "climax", "release")]), (F.col("slot") % 5).cast("int"))})
+    d = d.filter("asset_id < 600").unionByName(long).cache()
+    pins = d.groupBy("plan_id").agg(F.min("shot_id").alias("shot_id")).filter("plan_id % 2 = 0 OR plan_id = -1").withColumn("slot", F.lit(1).cast("long"))
+    held = {(r.plan_id, r.slot, r.shot_id) for r in pins.collect()}
     for knobs, diversity in ((KNOBS, 0.0), (KNOBS | {"continuity_weight": 0.5}, 1.0)):
-        assert run(knobs, diversity, 10**9) == run(knobs, diversity, 0)
+        got = {(r.plan_id, r.slot): (r.shot_id, round(r.score, 8), r.pinned) for r in P.assign_greedy(d, pins, knobs, diversity).collect()}
+        scored = P.contenders(d.withColumn("_pin", F.lit(True)), knobs, diversity).collect()
+        for plan in {r.plan_id for r in scored}:
+            rows = [r.asDict() for r in scored if r.plan_id == plan]
+            for s, shot, score, pinned in walked(rows, {(s, i) for p, s, i in held if p == plan}, knobs, diversity):
+                assert got.pop((plan, s)) == (shot, score, pinned), (plan, s)
+        assert not got
 
 
 def test_eligible_falls_back(spark):
