@@ -76,44 +76,53 @@ def colourfulness(pixels: DataFrame, keys=("shot_id",)) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.least(F.lit(1.0), (spread + 0.3 * mean) / 110.0).alias("colorfulness"))
 
 
+ROUNDS_AT_ONCE = 5      # rounds of one plan before its centres are written down
+
+
 def palette(pixels: DataFrame, k: int = 3, keys=("shot_id",), rounds: int = 10) -> DataFrame:
-    """``k`` colour centres per key with their share of the pixels, heaviest first.
+    """``k`` colour centres per key with their share of the pixels, heaviest first; fewer where a key has fewer colours.
 
-    Pixels are first counted in a 32-level colour cube, so a task sees at most 32^3
-    weighted colours of a key, however many pixels it has.
+    Equal colours are counted first.  The first centre is the most frequent colour, each further one the colour with the
+    largest product of frequency and squared distance to the centres so far (ties: the more frequent, then the darker).  Then
+    come up to ``rounds`` rounds: colours go to their nearest centre (squared distances at six decimals, the earlier centre on
+    ties) and centres to the mean of their pixels, for all keys at once and by sums with partial results.
     """
     keys = list(keys)
-    cells = pixels.groupBy(*keys, *[F.floor(F.col(ch) / 8).alias(f"_{ch}") for ch in "rgb"]).agg(
-        F.count(F.lit(1)).cast("double").alias("w"), *[F.avg(ch).alias(ch) for ch in "rgb"])
-    fields = [f for f in pixels.schema.fields if f.name in keys]
-    schema = StructType([*fields, StructField("rank", LongType()), *[StructField(ch, DoubleType()) for ch in "rgb"],
-                         StructField("weight", DoubleType())])
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["w", "r", "g", "b"], ascending=[False, True, True, True])
-        x, w = pdf[["r", "g", "b"]].to_numpy(), pdf["w"].to_numpy()
-        centres = [x[0]]
-        while len(centres) < min(k, len(x)):
-            gap = np.min([((x - m) ** 2).sum(1) for m in centres], axis=0)
-            if gap.max() == 0:
-                break
-            centres.append(x[int(np.argmax(gap * w))])
-        m = np.asarray(centres)
-        for _ in range(rounds):
-            near = ((x[:, None, :] - m[None]) ** 2).sum(2).argmin(1)
-            new = np.array([np.average(x[near == i], axis=0, weights=w[near == i]) if (near == i).any() else m[i] for i in range(len(m))])
-            if np.abs(new - m).max() < 1e-6:
+    colours = stage(pixels.groupBy(*keys, *[F.col(ch).cast("double").alias(ch) for ch in "rgb"]).agg(F.count("*").cast("double").alias("w")))
+    here = F.struct("r", "g", "b")
+
+    def gaps(ms: Column) -> Column:
+        return F.transform(ms, lambda m: F.round(sum(((F.col(ch) - m[ch]) * (F.col(ch) - m[ch]) for ch in "gb"), (F.col("r") - m["r"]) * (F.col("r") - m["r"])), 6))
+
+    order = [F.col("w"), *[-F.col(ch) for ch in "rgb"]]
+    centres = colours.groupBy(*keys).agg(F.array(F.max_by(here, F.struct(*order))).alias("ms"))
+    for _ in range(k - 1):
+        far = F.array_min(gaps(F.col("ms"))) * F.col("w")
+        centres = colours.join(centres, keys).groupBy(*keys).agg(F.any_value("ms").alias("ms"), F.max(far).alias("_f"), F.max_by(here, F.struct(far, *order)).alias("_m"))
+        centres = stage(centres.select(*keys, F.when(F.col("_f") > 0, F.concat("ms", F.array("_m"))).otherwise(F.col("ms")).alias("ms")))
+
+    def nearest() -> DataFrame:
+        d = colours.join(centres, keys).withColumn("_d", gaps(F.col("ms")))
+        return d.withColumn("_j", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
+
+    def summed(i: int, what: Column) -> Column:
+        return F.sum(F.when(F.col("_j") == i, what))
+
+    for n in range(rounds):
+        sums = [F.struct(*[(summed(i, F.col("w") * F.col(ch)) / summed(i, F.col("w"))).alias(ch) for ch in "rgb"]).alias(f"_m{i}") for i in range(k)]
+        moved = nearest().groupBy(*keys).agg(F.any_value("ms").alias("ms"), *sums)
+        new = F.transform("ms", lambda m, i: F.when(F.get(F.array(*[F.col(f"_m{j}.r") for j in range(k)]), i).isNull(), m).otherwise(F.get(F.array(*[F.col(f"_m{j}") for j in range(k)]), i)))
+        still = F.aggregate(F.zip_with("ms", new, lambda a, b: F.greatest(*[F.abs(a[ch] - b[ch]) for ch in "rgb"])), F.lit(0.0), lambda x, y: F.greatest(x, y)) < 1e-9
+        centres = moved.select(*keys, new.alias("ms"), still.alias("_still"))
+        if n % ROUNDS_AT_ONCE == ROUNDS_AT_ONCE - 1 or n == rounds - 1:
+            centres = stage(centres)
+            if centres.filter(~F.col("_still")).isEmpty():
                 break
-            m = new
-        near = ((x[:, None, :] - m[None]) ** 2).sum(2).argmin(1)
-        share = np.array([w[near == i].sum() for i in range(len(m))]) / w.sum()
-        order = np.argsort(-share, kind="stable")
-        out = pd.DataFrame(m[order], columns=list("rgb")).assign(weight=share[order], rank=np.arange(len(m)))
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out
-
-    return cells.groupBy(*keys).applyInPandas(cluster, schema)
+        centres = centres.drop("_still")
+    share = nearest().groupBy(*keys).agg(F.any_value("ms").alias("ms"), F.sum("w").alias("_all"), *[F.coalesce(summed(i, F.col("w")), F.lit(0.0)).alias(f"_w{i}") for i in range(k)])
+    ranked = F.array_sort(F.transform("ms", lambda m, i: F.struct((-F.get(F.array(*[F.col(f"_w{j}") for j in range(k)]), i) / F.col("_all")).alias("less"), i.alias("i"), m.alias("m"))))
+    return share.select(*keys, F.posexplode(ranked).alias("rank", "x")).select(
+        *keys, F.col("rank").cast("long").alias("rank"), *[F.col(f"x.m.{ch}").alias(ch) for ch in "rgb"], (-F.col("x.less")).alias("weight"))
 
 
 def weighted_centroid(points: DataFrame, keys=("shot_id",), x="x", y="y", weight="w") -> DataFrame:

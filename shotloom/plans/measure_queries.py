@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.maths import r6 as R
-from ..operators import measures as M
+from ..operators import frames as FR, measures as M
 from ..rules.measures import MOVES
 from ..sources import views as V
 from .oracle import r6, sql
@@ -111,11 +111,32 @@ def colourfulness(spark, sf):
     return _rounded(M.colourfulness(V.spark_sql(spark, sf, PIXEL_SQL)), ("shot_id",), ("colorfulness",))
 
 
-@query("palette")
+GAP = "round((c.r - m.r) * (c.r - m.r) + (c.g - m.g) * (c.g - m.g) + (c.b - m.b) * (c.b - m.b), 6)"
+NEXT = f"""SELECT shot_id, CASE WHEN max(far) > 0 THEN list_append(any_value(ms), arg_max({{{{'r': r, 'g': g, 'b': b}}}}, {{{{'f': far, 'w': w, 'r': -r, 'g': -g, 'b': -b}}}})) ELSE any_value(ms) END AS ms
+    FROM (SELECT c.*, ms, list_min(list_transform(ms, lambda m: {GAP})) * w AS far FROM colour c JOIN {{}} USING (shot_id)) GROUP BY 1"""
+MEANS = ", ".join(f"CASE WHEN sum(w) FILTER (j = {i}) IS NULL THEN ms[{i}] ELSE {{'r': sum(w * r) FILTER (j = {i}) / sum(w) FILTER (j = {i}), 'g': sum(w * g) FILTER (j = {i}) / sum(w) FILTER (j = {i}), 'b': sum(w * b) FILTER (j = {i}) / sum(w) FILTER (j = {i})}} END" for i in (1, 2, 3))
+NEAR = f"(SELECT c.*, n, ms, list_transform(ms, lambda m: {GAP}) AS ds, list_position(list_transform(ms, lambda m: {GAP}), list_min(list_transform(ms, lambda m: {GAP}))) AS j FROM colour c JOIN lloyd USING (shot_id))"
+LLOYD = [
+    ("px", _duck(PIXEL_SQL)), ("colour", "SELECT shot_id, r, g, b, CAST(count(*) AS DOUBLE) AS w FROM px GROUP BY ALL"),
+    ("one", "SELECT shot_id, [arg_max({'r': r, 'g': g, 'b': b}, {'w': w, 'r': -r, 'g': -g, 'b': -b})] AS ms FROM colour GROUP BY 1"),
+    ("two", NEXT.format("one")), ("three", NEXT.format("two")),
+    ("lloyd", f"SELECT shot_id, 0 AS n, ms FROM three UNION ALL SELECT shot_id, n + 1, ([{MEANS}])[:len(ms)] FROM {NEAR} WHERE n < 10 GROUP BY shot_id, n, ms"),
+    ("ended", f"SELECT shot_id, j, any_value(ms) AS ms, sum(w) AS w FROM {NEAR} WHERE n = 10 GROUP BY 1, 2"),
+]
+
+
+@query("palette", sql(f"""SELECT shot_id, row_number() OVER (PARTITION BY shot_id ORDER BY weight DESC, i) - 1 AS rank, {r6('r')} AS r, {r6('g')} AS g, {r6('b')} AS b, {r6('weight')} AS weight FROM (
+    SELECT l.shot_id, i, l.ms[i].r AS r, l.ms[i].g AS g, l.ms[i].b AS b, coalesce(e.w, 0) / sum(coalesce(e.w, 0)) OVER (PARTITION BY l.shot_id) AS weight
+    FROM (SELECT shot_id, ms, unnest(range(1, len(ms) + 1)) AS i FROM lloyd WHERE n = 10) l LEFT JOIN ended e ON e.shot_id = l.shot_id AND e.j = l.i)""", *LLOYD, recursive=True))
 def palette(spark, sf):
     return _rounded(M.palette(V.spark_sql(spark, sf, PIXEL_SQL)), ("shot_id", "rank"), ("r", "g", "b", "weight"))
 
 
+@query("palette_mean", sql(f"SELECT shot_id, 0::BIGINT AS rank, {r6('avg(r)')} AS r, {r6('avg(g)')} AS g, {r6('avg(b)')} AS b, {r6('1.0::DOUBLE')} AS weight FROM px GROUP BY 1", ("px", _duck(PIXEL_SQL))))
+def palette_mean(spark, sf):
+    return _rounded(M.palette(V.spark_sql(spark, sf, PIXEL_SQL), 1), ("shot_id", "rank"), ("r", "g", "b", "weight"))
+
+
 @query("weighted_centroid", sql(f"""SELECT asset_id, {r6('sx')} AS subject_x, {r6('sy')} AS subject_y,
     {r6('greatest(0.0, 1 - (least(abs(sx - 1/3), abs(sx - 2/3)) + least(abs(sy - 1/3), abs(sy - 2/3))) / 0.33)')} AS thirds FROM (
     SELECT asset_id, sum(subject_x * duration) / sum(duration) AS sx, sum(subject_y * duration) / sum(duration) AS sy FROM shots GROUP BY 1)"""))
@@ -190,6 +211,42 @@ def frame_quality(spark, sf):
     return _rounded(d, ("series_id",), ("sharpness", "noise", "blockiness", "exposure_health", "dynamic_range"))
 
 
+#: Frames of 24 columns from the order lines of each supplier; the last line of pixels is filled up with black.
+FRAME_PX = """SELECT l_suppkey AS shot_id, CAST((i - 1) % 24 AS BIGINT) AS x, CAST((i - 1) DIV 24 AS BIGINT) AS y, CAST((l_partkey % 9) * 4 + (l_orderkey % 40) * 5 + l_linenumber AS BIGINT) AS luma FROM
+    (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i FROM {lineitem})"""
+FRAME = [
+    ("fp0", FRAME_PX.replace("{lineitem}", "lineitem").replace("DIV", "//")),
+    ("fsz", "SELECT shot_id, 24 AS w, max(y) + 1 AS h FROM fp0 GROUP BY 1"),
+    ("fpx", """SELECT shot_id, w, h, g.x, g.y, coalesce(luma, 0) AS v FROM (SELECT shot_id, w, h, unnest(range(w)) AS x, y FROM (SELECT *, unnest(range(h)) AS y FROM fsz)) g LEFT JOIN fp0 USING (shot_id, x, y)"""),
+    ("off9", "SELECT unnest([-1, 0, 1]) AS d"),
+    ("fmd", """SELECT p.shot_id, p.x, p.y, any_value(p.w) AS w, any_value(p.h) AS h, any_value(p.v) AS v, list_sort(list(q.v))[5] AS md FROM fpx p CROSS JOIN off9 a CROSS JOIN off9 b
+        JOIN fpx q ON q.shot_id = p.shot_id AND q.x = least(greatest(p.x + a.d, 0), p.w - 1) AND q.y = least(greatest(p.y + b.d, 0), p.h - 1) GROUP BY 1, 2, 3"""),
+    ("four", "SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(dx, dy)"),
+    ("flp", """SELECT p.shot_id, p.x, p.y, any_value(p.v) AS v, any_value(p.md) AS md, sum(q.v) - 4 * any_value(p.v) AS curve, abs(sum(q.md) - 4 * any_value(p.md)) AS edge FROM fmd p CROSS JOIN four
+        JOIN fmd q ON q.shot_id = p.shot_id AND q.x = CASE WHEN p.x + dx < 0 THEN least(1, p.w - 1) WHEN p.x + dx >= p.w THEN greatest(p.w - 2, 0) ELSE p.x + dx END
+          AND q.y = CASE WHEN p.y + dy < 0 THEN least(1, p.h - 1) WHEN p.y + dy >= p.h THEN greatest(p.h - 2, 0) ELSE p.y + dy END GROUP BY 1, 2, 3"""),
+    ("fst", """SELECT p.shot_id, avg(CASE WHEN p.x % 8 = 7 THEN abs(q.v - p.v) END) AS xon, avg(CASE WHEN p.x % 8 <> 7 THEN abs(q.v - p.v) END) AS xoff, avg(CASE WHEN p.y % 8 = 7 THEN abs(r.v - p.v) END) AS yon,
+        avg(CASE WHEN p.y % 8 <> 7 THEN abs(r.v - p.v) END) AS yoff FROM fpx p LEFT JOIN fpx q ON q.shot_id = p.shot_id AND q.x = p.x + 1 AND q.y = p.y LEFT JOIN fpx r ON r.shot_id = p.shot_id AND r.x = p.x AND r.y = p.y + 1 GROUP BY 1"""),
+    ("fcut", "SELECT shot_id, quantile_cont(edge, 0.25) AS cut FROM flp GROUP BY 1"),
+]
+
+
+@query("frame_quality_2d", sql(f"""SELECT shot_id, any_value(CAST(w AS BIGINT)) AS width, any_value(CAST(h AS BIGINT)) AS height, {r6('least(1.0, var_pop(curve) / 450.0)')} AS sharpness,
+    {r6('CASE WHEN count(CASE WHEN edge < cut THEN 1 END) < 100 THEN 0 ELSE least(1.0, stddev_pop(CASE WHEN edge < cut THEN v - md END) / 12.0) END')} AS noise,
+    {r6('any_value(least(greatest((xon / CASE WHEN xoff = 0 THEN 1e-6 ELSE xoff END - 1) / 0.6, 0), 1))')} AS blockiness,
+    {r6('CASE WHEN any_value(h) - 1 < 16 OR any_value(yon) IS NULL THEN 0 ELSE any_value(least(greatest((yon / CASE WHEN yoff = 0 THEN 1e-6 ELSE yoff END - 1) / 0.6, 0), 1)) END')} AS blockiness_down,
+    {r6('1 - least(1.0, 4 * (avg(CASE WHEN v > 252 THEN 1.0 ELSE 0 END) + avg(CASE WHEN v < 3 THEN 1.0 ELSE 0 END)))')} AS exposure_health,
+    {r6('(quantile_cont(v, 0.98) - quantile_cont(v, 0.02)) / 255.0')} AS dynamic_range
+    FROM flp JOIN fcut USING (shot_id) JOIN fst USING (shot_id) JOIN fsz USING (shot_id) GROUP BY 1""", *FRAME))
+def frame_quality_2d(spark, sf):
+    px = V.spark_sql(spark, sf, FRAME_PX)
+    rows = px.groupBy("shot_id").agg((F.max("y") + 1).alias("h"))
+    grid = rows.select("shot_id", F.explode(F.sequence(F.lit(0), c("h") - 1)).alias("y")).select("shot_id", "y", F.explode(F.expr("sequence(0L, 23L)")).alias("x"))
+    full = grid.join(px, ["shot_id", "x", "y"], "left").withColumn("luma", F.coalesce("luma", F.lit(0)))
+    d = FR.frame_quality(full, ("shot_id",), tile=16)
+    return _rounded(d, ("shot_id", "width", "height"), ("sharpness", "noise", "blockiness", "blockiness_down", "exposure_health", "dynamic_range"))
+
+
 VERDICT = [
     ("h0", """SELECT *, CASE WHEN technical_quality < 0.10 AND creative_value < 0.30 THEN 'reject'
         WHEN technical_quality < 0.28 AND creative_value >= 0.55 THEN 'use_briefly' WHEN technical_quality < 0.30 THEN 'replace'
