@@ -10,7 +10,7 @@ package therefore goes through the helpers below, which cut a series into blocks
 * ``running``  – aggregates from the start of the series.  One partial per block, a
   prefix over the (few) partials, then a window inside each block.
 * ``asof``     – previous / next / nearest match in time, built on ``running``.
-* ``quantiles``– exact percentiles from a bounded sketch and one counting pass.
+* ``quantiles``– exact percentiles from brackets refined to a bounded number of rows and one counting pass.
 
 Blocks over a dense index hold exactly ``BLOCK`` rows.  Blocks over time hold
 (sampling rate x width) rows, so the width is chosen from the rate of the data.
@@ -22,6 +22,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import stage
+
 BLOCK = 65536          # rows of a dense index per block
 TIME_BLOCK = 86400.0   # seconds per block where only a time is known
 
@@ -155,32 +157,48 @@ def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], probe_time:
                       *[F.col(f"_m.{c}").alias(prefix + c) for c in extra])
 
 
-SMALL_GROUP = 20000    # groups up to this many rows are ranked whole
+BRACKET_ROWS = 20000   # values that may lie between two bounds of a wanted rank
+BINS = 1024            # parts into which a wider bracket is cut per round
+
 
+def _brackets(d: DataFrame, keys: Sequence[str], probs: Sequence[float], rows: int) -> DataFrame:
+    """Per key the count ``_n`` and, for each wanted rank, bounds ``_lo`` and ``_hi`` with at most ``rows`` values between them
+    or with one value only.
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float],
-              accuracy: int = 10000) -> DataFrame:
+    Brackets start as wide as the group.  While one holds too many values it is cut into ``BINS`` equal parts, which are
+    counted for all keys at once; the part with the wanted rank, drawn in to its smallest and largest value, takes its place.
+    """
+    x = F.col("_v")
+    whole = d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ranks = F.array(*[f(F.lit(float(p)) * (F.col("_n") - 1)).cast("long") for f in (F.floor, F.ceil) for p in probs])
+    state = stage(whole.select(*keys, "_n", "_lo", "_hi", F.posexplode(ranks).alias("_i", "_rank")).withColumns({"_below": F.lit(0).cast("long"), "_inside": F.col("_n")}))
+    wide = (F.col("_inside") > rows) & (F.col("_lo") < F.col("_hi"))
+    while not state.filter(wide).isEmpty():
+        low, high = F.greatest("_lo", F.lit(-1.7e308)) / 2, F.least("_hi", F.lit(1.7e308)) / 2      # halves, so that a span stays finite
+        part = F.when(F.isnan(x), BINS - 1).otherwise(F.greatest(F.least(F.floor((x / 2 - low) / (high - low) * BINS), F.lit(BINS - 1)), F.lit(0)))
+        todo = state.filter(wide)
+        counts = (d.join(todo, list(keys)).filter((x >= F.col("_lo")) & (x <= F.col("_hi"))).withColumn("_part", part).groupBy(*keys, "_i", "_part")
+                   .agg(F.count("_v").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+        upto = F.sum("_c").over(W.partitionBy(*keys, "_i").orderBy("_part"))
+        found = counts.withColumn("_upto", upto).join(todo, [*keys, "_i"]).withColumn("_before", F.col("_below") + F.col("_upto") - F.col("_c"))
+        found = found.filter((F.col("_before") <= F.col("_rank")) & (F.col("_below") + F.col("_upto") > F.col("_rank")))
+        narrowed = found.select(*keys, "_n", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_i", "_rank", F.col("_before").alias("_below"), F.col("_c").alias("_inside"))
+        state = stage(state.filter(~wide).unionByName(narrowed))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_lo", "_hi")))
+    return state.groupBy(*keys, "_n").agg(ordered.alias("_s")).select(*keys, "_n", F.col("_s._lo").alias("_lo"), F.col("_s._hi").alias("_hi"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], rows: int = BRACKET_ROWS) -> DataFrame:
     """Exact linearly interpolated percentiles per key, one column per entry of ``probs``.
 
-    A bounded sketch brackets every wanted rank; one counting aggregation then keeps
-    single values only inside the brackets (a share of about 4 / accuracy of a large
-    group) and counts the rest, so no group is ever held or sorted whole.
+    Every wanted rank gets a bracket of at most ``rows`` values (``_brackets``).  One counting aggregation keeps single values
+    only inside the brackets and counts the rest, so what is ranked per key is bounded, however large the group.
     """
     if not keys:
-        return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy).drop("_all")
+        return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, rows).drop("_all")
     names = list(probs)
     d = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    eps = 2.0 / accuracy
-    marks = [max(0.0, probs[n] - eps) for n in names] + [min(1.0, probs[n] + eps) for n in names]
-    k = len(names)
-    sketch = d.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("_q"))
-    inf = float("inf")
-    whole = F.col("_n") <= SMALL_GROUP
-    lows = [F.when(whole, F.lit(-inf)).otherwise(F.col("_q")[i]) for i in range(k)]
-    highs = [F.when(whole, F.lit(inf)).otherwise(F.col("_q")[k + i]) for i in range(k)]
-    sketch = sketch.select(*keys, "_n", F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi"))
+    sketch = _brackets(d, keys, list(probs.values()), rows)
     x = F.col("_v")
     passed = F.size(F.filter(F.col("_hi"), lambda h: h < x))
     inside = F.exists(F.zip_with("_lo", "_hi", lambda a, b: (x >= a) & (x <= b)), lambda b: b)

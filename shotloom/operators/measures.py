@@ -76,7 +76,7 @@ def colourfulness(pixels: DataFrame, keys=("shot_id",)) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.least(F.lit(1.0), (spread + 0.3 * mean) / 110.0).alias("colorfulness"))
 
 
-ROUNDS_AT_ONCE = 5      # rounds of one plan before its centres are written down
+ROUNDS_AT_ONCE = 2      # rounds of one plan before its centres are written down
 
 
 def palette(pixels: DataFrame, k: int = 3, keys=("shot_id",), rounds: int = 10) -> DataFrame:

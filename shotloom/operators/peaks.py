@@ -173,8 +173,10 @@ def thin_by_height(peaks: DataFrame, distance: int, keys=("series_id",), pos="n"
                    block: int | None = None) -> DataFrame:
     """Highest-first suppression, exact for series of any length.
 
-    Blocks with a wide border decide almost every peak.  The few whose fate hangs on
-    peaks beyond the border are settled afterwards, together with their decided neighbours.
+    A peak waits for the higher ones nearer than ``distance``.  Blocks with a border of several distances settle whatever
+    hangs on peaks that they see; the rest waits for the next round, in which blocks with open peaks run again with what their
+    neighbours settled.  The highest open peak of a series waits for nobody, so every round settles some; a run of rising
+    peaks takes one round per block.  No task ever sees more than a block and its borders.
     """
     keys = list(keys)
     if distance <= 1:
@@ -182,12 +184,9 @@ def thin_by_height(peaks: DataFrame, distance: int, keys=("series_id",), pos="n"
     block = block or max(BLOCK, 64 * distance)
     border = min(block, 16 * distance)
     p = F.col(pos)
-    cut = (peaks.select(*keys, pos, F.col(value).cast("double").alias(value))
-                .withColumn("_home", block_of(p, block))
-                .withColumn("_blk", F.explode(F.sequence(block_of(p - border, block), block_of(p + border, block)))))
     key_fields = [f for f in peaks.schema.fields if f.name in keys]
     schema = StructType([*key_fields, StructField(pos, LongType()), StructField(value, DoubleType()),
-                         StructField("_state", LongType())])
+                         StructField("_home", LongType()), StructField("_state", LongType())])
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
@@ -195,23 +194,17 @@ def thin_by_height(peaks: DataFrame, distance: int, keys=("series_id",), pos="n"
         blk = int(pdf["_blk"].iloc[0])
         lo, hi = blk * block - border, (blk + 1) * block + border
         sure = (x - distance >= lo) & (x + distance < hi)
-        state = _settle(x, v, np.zeros(len(x), int), sure, distance)
-        out = pdf[keys + [pos, value]].assign(_state=state)
+        state = _settle(x, v, pdf["_state"].to_numpy(), sure, distance)
+        out = pdf[[*keys, pos, value, "_home"]].assign(_state=state)
         return out[(pdf["_home"] == blk).to_numpy()]
 
-    first = stage(cut.groupBy(*keys, "_blk").applyInPandas(decide, schema))
-    # Open peaks and the decided ones around them, grouped per key: normally no rows at all.
-    open_keys = first.filter(F.col("_state") == UNKNOWN)
-    around = open_keys.select(*keys, F.explode(F.sequence(
-        F.floor((F.col(pos) - distance) / distance), F.floor((F.col(pos) + distance) / distance))).alias("_bin")).distinct()
-    second_in = first.withColumn("_bin", F.floor(F.col(pos) / distance)).join(around, [*keys, "_bin"], "left_semi")
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        state0 = pdf["_state"].to_numpy()
-        state = _settle(pdf[pos].to_numpy(), pdf[value].to_numpy(float), state0,
-                        np.ones(len(pdf), bool), distance)
-        return pdf[keys + [pos, value]].assign(_state=state)[state0 == UNKNOWN]
-
-    second = second_in.drop("_bin").groupBy(*keys).applyInPandas(finish, schema)
-    return first.unionByName(second).filter(F.col("_state") == KEPT).select(*keys, pos, value)
+    seen = F.explode(F.sequence(block_of(p - border, block), block_of(p + border, block)))
+    state = peaks.select(*keys, p.cast("long").alias(pos), F.col(value).cast("double").alias(value), block_of(p, block).alias("_home"), F.lit(UNKNOWN).cast("long").alias("_state"))
+    state = stage(state.withColumn("_blk", seen).groupBy(*keys, "_blk").applyInPandas(decide, schema))
+    while True:
+        waiting = state.filter(F.col("_state") == UNKNOWN).select(*keys, F.col("_home").alias("_blk")).distinct()
+        if waiting.isEmpty():
+            return state.filter(F.col("_state") == KEPT).select(*keys, pos, value)
+        again = state.withColumn("_blk", seen).join(waiting, [*keys, "_blk"], "left_semi").groupBy(*keys, "_blk").applyInPandas(decide, schema)
+        rest = state.join(waiting.withColumnRenamed("_blk", "_home"), [*keys, "_home"], "left_anti")
+        state = stage(again.unionByName(rest))

@@ -227,7 +227,17 @@ def local_maxima(spark, sf):
     return d.select("series_id", "n", R(F.col("v")).alias("v"))
 
 
-@query("find_peaks")
+def thinned(values: str, distance: int, height: str) -> list[tuple[str, str]]:
+    """CTEs for local maxima of ``values`` (series_id, n, v) with at least ``height``, thinned highest first: table ``thin``."""
+    return [
+        ("turns", f"SELECT series_id, n, v, sum(CASE WHEN v = p THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY n) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY series_id ORDER BY n) AS p FROM {values})"),
+        ("levels", "SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM (SELECT series_id, run, any_value(v) AS v, (min(n) + max(n)) // 2 AS n FROM turns GROUP BY 1, 2) WINDOW w AS (PARTITION BY series_id ORDER BY run)"),
+        ("thinning", f"""SELECT series_id, list({{'n': n, 'v': v}} ORDER BY v DESC, n DESC) AS todo, [any_value({{'n': n, 'v': v}})][:0] AS held FROM levels WHERE v > before AND v > after AND v >= {height} GROUP BY 1
+            UNION ALL SELECT series_id, list_filter(todo[2:], lambda x: abs(x.n - todo[1].n) >= {distance}), list_append(held, todo[1]) FROM thinning WHERE len(todo) > 0"""),
+        ("thin", "SELECT series_id, x.n AS n, x.v AS v FROM (SELECT series_id, unnest(held) AS x FROM thinning WHERE len(todo) = 0)")]
+
+
+@query("find_peaks", sql(f"SELECT series_id, CAST(n AS BIGINT) AS n, {r6('v')} AS v FROM thin", *thinned("sig", 6, "8.0"), recursive=True))
 def find_peaks(spark, sf):
     d = peaks.find_peaks(V.series(spark, sf, stored=True), 6, 8.0)
     return d.select("series_id", "n", R(F.col("v")).alias("v"))

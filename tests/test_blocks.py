@@ -74,16 +74,23 @@ def test_asof(spark, skewed, how):
             assert got[(s, q)] == want
 
 
-def test_quantiles_exact_beyond_the_sketch(skewed, monkeypatch):
+@pytest.mark.parametrize("bins", [4, 1024])
+def test_quantiles_exact_beyond_a_bracket(skewed, monkeypatch, bins):
     df, rows = skewed
-    monkeypatch.setattr(B, "SMALL_GROUP", 20)
-    q = {r.series_id: r for r in B.quantiles(df, ["series_id"], F.col("v") * F.col("t"), {"a": 0.5, "b": 0.02, "c": 0.992}, accuracy=100).collect()}
+    monkeypatch.setattr(B, "BINS", bins)
+    q = {r.series_id: r for r in B.quantiles(df, ["series_id"], F.col("v") * F.col("t"), {"a": 0.5, "b": 0.02, "c": 0.992}, rows=20).collect()}
     for s, items in by_series(rows).items():
         x = [t * v for _, t, v in items]
         for k, p in (("a", 50), ("b", 2), ("c", 99.2)):
             assert abs(q[s][k] - np.percentile(x, p)) < 1e-9
 
 
+def test_quantiles_of_extreme_values(spark):
+    x = [float("-inf")] * 3 + [-1.7e308, 1.7e308, 0.0, 1e-300] + [5.0] * 90 + [float(k) ** 9 for k in range(60)]
+    got = B.quantiles(spark.createDataFrame([(1, v) for v in x] + [(1, None), (2, 4.0)], "k long, v double"), ["k"], F.col("v"), {"m": 0.5, "hi": 0.99}, rows=5).orderBy("k").collect()
+    assert got[0].m == np.percentile(x, 50) and abs(got[0].hi / np.percentile(x, 99) - 1) < 1e-12 and (got[1].m, got[1].hi) == (4.0, 4.0)
+
+
 @pytest.mark.parametrize("gap,width", [(2.0, 9.0), (7.5, 7.5), (4.0, None)])
 def test_debounce(skewed, gap, width):
     df, rows = skewed
@@ -98,6 +105,13 @@ def test_debounce(skewed, gap, width):
     assert got == sorted(want)
 
 
+def test_a_run_of_rising_peaks_crosses_blocks(spark):
+    # every peak hangs on the next one, so the last decides and the rest follows back through all blocks of the hot series
+    rows = [(1, 2 * k, float(k)) for k in range(900)] + [(2, 5, 1.0), (2, 7, 1.0)]
+    got = sorted((r.series_id, r.n) for r in P.thin_by_height(spark.createDataFrame(rows, "series_id long, n long, v double"), 3, block=192).collect())
+    assert got == sorted([(1, 2 * k) for k in range(899, -1, -2)] + [(2, 7)])
+
+
 @pytest.mark.parametrize("distance,block", [(5, 40), (12, 48), (1, None)])
 def test_peak_thinning(skewed, distance, block):
     df, rows = skewed
