@@ -12,7 +12,7 @@ from ..session import stage
 from ..sources import views as V
 from .oracle import r6, sql
 from .registry import query
-from .series_queries import energy, mirror_sql
+from .series_queries import energy, mirror_sql, thinned
 
 c = F.col
 STEP, RATE = 43200.0, 12.0
@@ -91,7 +91,9 @@ def downbeats(spark, sf):
     return A.downbeats(A.snap_to_peak(o, p, RATE)).select("series_id", "beat_no", "n")
 
 
-@query("onset_times")
+@query("onset_times", sql(f"SELECT series_id, CAST(n AS BIGINT) AS n, {r6('v')} AS onset FROM thin", *ONSET, ("ov", "SELECT series_id, n, onset AS v FROM ons"),
+                          ("floors", "SELECT series_id, greatest(0.12, avg(v) * 2.2) AS least FROM ov GROUP BY 1"),
+                          *thinned("ov", 4, "(SELECT least FROM floors f WHERE f.series_id = levels.series_id)"), recursive=True))
 def onset_times(spark, sf):
     return A.onset_times(stage(onsets(spark, sf)), 50.0).select("series_id", "n", R(c("onset")).alias("onset"))
 
@@ -127,7 +129,8 @@ def level_jumps(spark, sf):
     return A.level_jumps(low, 5.0, suppress=False).select("series_id", "n", R(c("before")).alias("before"), R(c("after")).alias("after"))
 
 
-@query("drops")
+@query("drops", sql(f"SELECT series_id, CAST(n AS BIGINT) AS n, {r6('n / 5.0')} AS t FROM thin JOIN jd USING (series_id, n) WHERE post > pre * 1.22", *JUMP, ("jv", "SELECT series_id, n, d AS v FROM jd"),
+                    *thinned("jv", 15, "(SELECT h FROM jq WHERE jq.series_id = levels.series_id)"), recursive=True))
 def drops(spark, sf):
     low = stage(V.series(spark, sf).select("series_id", "n", F.log1p("v").alias("low")))
     return A.level_jumps(low, 5.0).select("series_id", "n", R(c("t")).alias("t"))
@@ -167,7 +170,13 @@ def voice_band(spark, sf):
     return A.voice_band(d, low=5.0, high=20.0).select("series_id", "n", R(c("in_band")).alias("in_band"), R(c("total")).alias("total"))
 
 
-@query("speech_windows")
+SPOKEN = [*MOD,
+          ("vm", "SELECT series_id, n, v / (v + 1.0 + 1e-9) >= 0.45 AND modulation >= 0.14 AND v > greatest(max(v) OVER (PARTITION BY series_id) * 0.06, 1e-6) AS voiced FROM mm"),
+          ("vr", "SELECT series_id, CAST(min(n) AS DOUBLE) AS s, max(n) + 1.0::DOUBLE AS e FROM (SELECT series_id, n, n - row_number() OVER (PARTITION BY series_id ORDER BY n) AS g FROM vm WHERE voiced) GROUP BY series_id, g"),
+          ("vj", "SELECT *, sum(CASE WHEN s - before <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY s) AS g FROM (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY s) AS before FROM vr)")]
+
+
+@query("speech_windows", sql("SELECT series_id, min(s) AS w_start, max(e) AS w_end FROM vj GROUP BY series_id, g HAVING max(e) - min(s) >= 2", *SPOKEN))
 def speech_windows(spark, sf):
     d = stage(_modulated(spark, sf)).withColumns({"in_band": c("envelope"), "total": c("envelope") + 1.0})
     w = S.mask_to_windows(stage(A.voiced_mask(d)), c("voiced"), 1.0)
