@@ -26,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, texts
-from .vocab import PieceCache, default_path, gather, slices
+from .vocab import PieceCache, default_path, gather, resident, slices
 
 TOKENIZER = "word_bpe_49k.json"
 _END = "\uffff"
 #: White space as the Unicode property has it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pairs whose compatibility a worker remembers.
-PAIRS = 2_000_000
+#: Slots for pairs whose compatibility a worker remembers (8 bytes each); a new pair takes the place of another one.
+PAIR_SLOTS = 1 << 20
+#: Bytes that remembered pieces and words may take in a worker.
+PIECE_BYTES, WORD_BYTES = 48 << 20, 24 << 20
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -46,14 +50,14 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    #: Pieces that a worker remembers, per generation of its cache.
-    pieces = 400_000
+    #: Pieces that a worker remembers, per generation of its cache, and bytes for them in all.
+    pieces, piece_bytes = 400_000, PIECE_BYTES
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        self.model = spec["model"]
-        self.suffix = self.model["end_of_word_suffix"]
-        self.ids: dict[str, int] = self.model["vocab"]
+        self.path = path
+        self.suffix = spec["model"]["end_of_word_suffix"]
+        self.ids: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for t, i in [*self.ids.items(), *self.special.items()]:
@@ -65,24 +69,20 @@ class Codec:
         self.size = len(self.tokens)
         self.letters_of = pa.array(self.tokens, pa.string())
         self.whole: dict[int, bool] = {}
-        self.fits: dict[int, bool] = {}
+        self.fits = np.zeros(PAIR_SLOTS, np.uint64)      # pair + 1 and its verdict in the lowest bit
         self.failed = self.tried = 0
-        self.cache = PieceCache(self.encode_pieces, self.pieces)
-        self.word_cache = PieceCache(self._word_ids, 250_000)
+        self.cache = PieceCache(self.encode_pieces, self.pieces, self.piece_bytes)
+        self.word_cache = PieceCache(self._word_ids, 250_000, WORD_BYTES)
 
     @functools.cached_property
     def ranks(self) -> dict[tuple[str, str], int]:
-        return {tuple(m): r for r, m in enumerate(self.model["merges"])}
+        return {tuple(m): r for r, m in enumerate(json.load(open(self.path, encoding="utf-8"))["model"]["merges"])}
 
-    @functools.cached_property
-    def symbols(self) -> dict[int, list[str]]:
-        """The single letters that every token is merged from; the last letter of a word carries the suffix."""
-        out = {}
-        for t, i in self.ids.items():
-            plain = t.removesuffix(self.suffix)
-            if plain:
-                out[i] = [*plain[:-1], plain[-1] + self.suffix] if plain != t else [*plain]
-        return out
+    def symbols(self, i: int) -> list[str]:
+        """The single letters that a token is merged from; the last letter of a word carries the suffix."""
+        t = self.tokens[i]
+        plain = t.removesuffix(self.suffix)
+        return [*plain[:-1], plain[-1] + self.suffix] if plain != t and plain else [*plain]
 
     @functools.cached_property
     def scan(self):
@@ -90,7 +90,9 @@ class Codec:
         import ahocorasick
 
         out = ahocorasick.Automaton()
-        for i, letters in self.symbols.items():
+        for i in self.ids.values():
+            if not (letters := self.symbols(i)):
+                continue
             ends = letters[-1].endswith(self.suffix)
             out.add_word("".join(letters).removesuffix(self.suffix) + _END * ends, (i, len(letters) + ends))
         out.make_automaton()
@@ -130,26 +132,23 @@ class Codec:
 
     def _is_whole(self, i: int) -> bool:
         if i not in self.whole:
-            self.whole[i] = len(self.merge(self.symbols[i])) == 1
+            self.whole[i] = len(self.merge(self.symbols(i))) == 1
         return self.whole[i]
 
     def _fit(self, code: int) -> bool:
         a, b = divmod(code, self.size)
-        return self.merge(self.symbols[a] + self.symbols[b]) == ["".join(self.symbols[a]), "".join(self.symbols[b])]
+        return self.merge(self.symbols(a) + self.symbols(b)) == ["".join(self.symbols(a)), "".join(self.symbols(b))]
 
     def compatible(self, code: np.ndarray) -> np.ndarray:
         """For pairs a * size + b of neighbours: may they stand side by side?"""
         kinds, at = np.unique(code, return_inverse=True)
-        if len(self.fits) > PAIRS:
-            self.fits = {}
-        known = self.fits
-        ok = np.empty(len(kinds), bool)
-        for k, c in enumerate(kinds.tolist()):
-            f = known.get(c)
-            if f is None:
-                f = known[c] = self._fit(c)
-            ok[k] = f
-        return ok[at]
+        kinds = kinds.astype(np.uint64)
+        slot = (kinds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (PAIR_SLOTS.bit_length() - 1))
+        held = self.fits[slot]
+        new = np.flatnonzero(held >> np.uint64(1) != kinds + np.uint64(1))
+        found = (kinds[new] + np.uint64(1)) << np.uint64(1) | np.fromiter(map(self._fit, kinds[new].tolist()), np.uint64, len(new))
+        held[new] = self.fits[slot[new]] = found
+        return (held & np.uint64(1)).astype(bool)[at]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words given in byte-level letters."""
@@ -222,10 +221,9 @@ class Codec:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), self.letters_of.take(pa.array(ids))), " ")
 
 
-@functools.cache
 def codec(path: str) -> Codec:
     """One codec per worker, so that its caches outlive a task."""
-    return Codec(path)
+    return resident(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -239,7 +237,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for start, part in slices(batch):
+            for start, part in slices(batch, limit=SLICE_BYTES):
                 ids, offsets = c.encode(part)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), lists, c.decode(ids, offsets)], ["doc_id", "ids", "decoded"])

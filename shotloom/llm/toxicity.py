@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, spread, stage
+from .vocab import resident, slices
 
 TRAIN_DOCS = 12_000
 TERMS = 400
@@ -253,18 +254,11 @@ def choose(ranked: list[str]) -> list[str]:
     return chosen
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
-
-
 def _features(model: Model, carry: tuple[str, ...], score: bool = False):
     terms, weights = model.terms, model.weights
 
     def run(batches):
-        key = tuple(terms)
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(list(terms), wide=True)
-        m = _MATCHERS[key]
+        m = resident(("matcher", *terms), lambda: Matcher(list(terms), wide=True))
         for batch in batches:
             x = [features(t.as_py() or "", m) for t in batch.column("text")]
             if score:
@@ -295,8 +289,9 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         score = _features(Model(terms, weights), ("text",), True)
-        for batch in batches:
-            text = batch.column("text").cast(pa.string())
-            got = next(score(iter([pa.RecordBatch.from_arrays([text], ["text"])])))
-            yield batch.filter(pa.compute.less(got.column("score"), THRESHOLD)).select(names)
+        for whole in batches:
+            for lo, part in slices(whole):
+                batch = whole.slice(lo, len(part))
+                got = next(score(iter([pa.RecordBatch.from_arrays([part], ["text"])])))
+                yield batch.filter(pa.compute.less(got.column("score"), THRESHOLD)).select(names)
     return docs.mapInArrow(run, docs.schema)

@@ -25,16 +25,34 @@ def library(path: str):
     return t
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What a worker keeps between tasks: one thing at a time.
+
+    A worker serves one stage after another; tables and caches of an earlier one would stay beside those of the next.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class PieceCache:
     """piece -> value with two generations: a full young one becomes the old one, whose entries move up again on use.
 
-    Bounded by ``size`` entries per generation and by leaving out pieces over 64 bytes.
+    Bounded by ``size`` entries per generation, by ``most`` bytes in both together if given (pieces, values and what Python
+    adds to them), and by leaving out pieces over 64 bytes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], size: int = 400_000):
-        self.encode, self.size = encode, size
+    ENTRY = 200     # bytes of a dict entry and two objects beside their content
+
+    def __init__(self, encode: Callable[[list[bytes]], list], size: int = 400_000, most: int | None = None):
+        self.encode, self.size, self.most = encode, size, most
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0
 
     def values(self, pieces: list[bytes]) -> list:
         """The values of distinct pieces, in their order."""
@@ -53,8 +71,9 @@ class PieceCache:
                 out[k] = v
                 if len(pieces[k]) <= 64:
                     young[pieces[k]] = v
-        if len(young) > self.size:
-            self.old, self.young = young, {}
+                    self.held += len(pieces[k]) + (len(v) if self.most else 0)
+        if len(young) > self.size or (self.most and self.held + self.ENTRY * len(young) > self.most // 2):
+            self.old, self.young, self.held = young, {}, 0
         return out
 
 
