@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.maths import clip, lookup, strings
@@ -88,116 +91,136 @@ def unmatched_terms(parsed: DataFrame, key: str = "query_id") -> DataFrame:
 # ------------------------------------------------------------------ briefs
 
 RANKED = sorted(D.LEXICON, key=lambda t: -len(t))
-LOOK_BACK = 60
-SEGMENTS_BACK = LOOK_BACK // 3 + 1      # every earlier segment but the first starts with a term of three letters or more
-
-
-def _deltas() -> Column:
-    """term -> changes as (rank, mode, field, number, text)."""
-    def rows(term):
-        out = []
-        for k, v in D.LEXICON[term].items():
-            if k[0] in "*+":
-                mode, field, num, txt = k[0], k[1:], float(v), None
-            elif k.startswith("transition:"):
-                mode, field, num, txt = "bias", k.split(":")[1], float(v), None
-            elif isinstance(v, bool):
-                mode, field, num, txt = "bool", k, 1.0 if v else 0.0, None
-            elif isinstance(v, str):
-                mode, field, num, txt = "text", k, None, v
-            else:
-                mode, field, num, txt = "cap", k, float(v), None
-            out.append(F.struct(F.lit(RANKED.index(term)).alias("rank"), F.lit(mode).alias("mode"), F.lit(field).alias("field"),
-                                F.lit(num).cast("double").alias("num"), F.lit(txt).cast("string").alias("txt")))
-        return F.array(*out)
-    return F.create_map(*[x for t in D.LEXICON for x in (F.lit(t), rows(t))])
-
-
-def context_weight(window: Column) -> Column:
-    """Signed strength from the last three words of the clause before a term."""
-    breaks = r"(?s)^.*(?:[,.;:!?]|\b(?:" + "|".join(D.CLAUSE_WORDS) + r")\b)"
-    words = F.regexp_extract_all(F.regexp_replace(window, breaks, ""), F.lit("([a-z0-9'-]+)"), F.lit(1))
-    tail = F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
-    return F.struct(tail.alias("words"), F.concat(F.lit(" "), F.array_join(tail, " "), F.lit(" ")).alias("joined"))
-
-
-def _strength(words: Column, joined: Column) -> Column:
-    w = F.lit(1.0)
+_RUN, _WORD = re.compile("[a-z]+"), re.compile("[a-z0-9'-]+")
+_BREAK = re.compile(r"[,.;:!?]|\b(?:" + "|".join(D.CLAUSE_WORDS) + r")\b")
+#: Terms by their first run of letters: (what must follow, rank).  A term ends where no letter follows.
+_TERMS: dict[str, list[tuple[str, int]]] = {}
+for _rank, _term in enumerate(RANKED):
+    _TERMS.setdefault(_RUN.match(_term).group(), []).append((_term[_RUN.match(_term).end():], _rank))
+
+
+def _changes() -> list[list[tuple]]:
+    """Per rank the changes of a term as (mode, field, value): * scales, + shifts, the others set."""
+    def change(k, v):
+        if k[0] in "*+":
+            return k[0], k[1:], float(v)
+        if k.startswith("transition:"):
+            return "bias", k.split(":")[1], float(v)
+        return ("bool" if isinstance(v, bool) else "text" if isinstance(v, str) else "cap"), k, v
+    return [[change(k, v) for k, v in D.LEXICON[t].items()] for t in RANKED]
+
+
+CHANGES = _changes()
+
+
+def words_before(low: str, at: int, count: int = 3) -> tuple[str, ...]:
+    """The last ``count`` words before a place, within its clause, however long they are."""
+    reach = 64
+    while True:
+        begin = low.rfind(" ", 0, max(0, at - reach)) + 1
+        window, last = low[begin:at], 0
+        for m in _BREAK.finditer(window):
+            last = m.end()
+        found = _WORD.findall(window, last)
+        if begin == 0 or last or len(found) >= count:
+            return tuple(found[-count:])
+        reach *= 4
+
+
+@functools.lru_cache(65_536)
+def context_weight(words: tuple[str, ...]) -> float:
+    """Signed strength that the words before a term give to it."""
+    joined, w = " ".join(words), 1.0
     for phrase, by in D.INTENSIFIERS.items():
-        w = w * F.when(joined.contains(phrase) & joined.rlike(rf"(?<![a-z]){re.escape(phrase)}(?![a-z])"), by).otherwise(1.0)
-    no = F.arrays_overlap(words, strings(D.NEGATORS))
-    return F.when(no, -F.abs(w)).otherwise(w * F.when(F.array_contains(words, "too"), 1.25).otherwise(1.0))
+        if phrase in joined and re.search(rf"(?<![a-z]){re.escape(phrase)}(?![a-z])", joined):
+            w *= by
+    if any(x in D.NEGATORS for x in words):
+        return -abs(w)
+    return w * 1.25 if "too" in words else w
+
+
+def _hits(low: str) -> list[tuple[int, int, float]]:
+    """(rank, how many hits came before, weight) of every term in a text, by one pass over its runs of letters."""
+    out = []
+    for m in _RUN.finditer(low):
+        for rest, rank in _TERMS.get(m.group(), ()):
+            if low.startswith(rest, m.end()) and not _RUN.match(low, m.end() + len(rest)):
+                out.append((rank, len(out), context_weight(words_before(low, m.start()))))
+    return out
 
 
 def term_hits(df: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
-    """Every whole-word occurrence of every lexicon term with its signed weight.
+    """Every whole-word occurrence of every lexicon term, with its rank and its signed weight.
 
-    Single words and phrases are found in two passes over the text, so that a word
-    inside a phrase counts as well.
+    Texts of any length are read once, by runs of letters, so a word inside a phrase counts as well; the weight comes from the
+    three words before, within the clause.
     """
-    d = df.select(key, padded(c(text)).alias("_t"))
-    passes = {"a": [t for t in RANKED if " " not in t], "b": [t for t in RANKED if " " in t]}
-    for n, terms in passes.items():
-        pat = r"(?<![a-z])(" + "|".join(re.escape(t) for t in terms) + r")(?![a-z])"
-        d = d.withColumns({f"_m{n}": F.regexp_extract_all("_t", F.lit(pat), F.lit(1)),
-                           f"_s{n}": F.split(F.regexp_replace("_t", pat, "\u0001$1"), "\u0001")})
-    d = d.filter((F.size("_ma") > 0) | (F.size("_mb") > 0))
-
-    def found(n):
-        segs = c(f"_s{n}")
-        return F.transform(f"_m{n}", lambda term, i: F.struct(term.alias("term"), i.alias("occ"), F.right(F.array_join(
-            F.slice(segs, F.greatest(i + 2 - SEGMENTS_BACK, F.lit(1)), F.least(i + 1, F.lit(SEGMENTS_BACK))), ""), F.lit(LOOK_BACK)).alias("window")))
-
-    d = d.select(key, F.explode_outer(F.concat(found("a"), found("b"))).alias("h")).filter("h IS NOT NULL")
-    d = d.select(key, c("h.term").alias("term"), c("h.occ").alias("occ"), context_weight(c("h.window")).alias("_c"))
-    return d.select(key, "term", "occ", _strength(c("_c.words"), c("_c.joined")).alias("weight"))
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        names = pa.array(RANKED)
+        for batch in batches:
+            at, ranks, occ, weights = [], [], [], []
+            for k, low in enumerate(batch.column("low").to_pylist()):
+                for rank, n, w in _hits(low):
+                    at.append(k)
+                    ranks.append(rank)
+                    occ.append(n)
+                    weights.append(w)
+            if at:
+                rank = pa.array(ranks, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), names.take(rank), rank, pa.array(occ, pa.int32()), pa.array(weights, pa.float64())],
+                                                 [key, "term", "rank", "occ", "weight"])
+    return df.select(key, padded(c(text)).alias("low")).mapInArrow(run, f"{key} {kind}, term string, rank int, occ int, weight double")
 
 
 BIASES = ("cut", "whip", "flash", "dissolve")
+SWITCHES = {"allow_shake": True, "allow_grain": False}
+
+
+def _knobs(n: int, at: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Knobs of ``n`` texts from the hits of all of them, each hit with the number of its text; longest terms act first."""
+    order = np.lexsort((np.arange(len(at)), rank, at))
+    rows = [(a, mode, f, x, w) for a, r, w in zip(at[order].tolist(), rank[order].tolist(), weight[order].tolist()) for mode, f, x in CHANGES[r]]
+    by_field: dict[str, list] = {}
+    for a, mode, f, x, w in rows:
+        by_field.setdefault(f, []).append((a, mode, x, w))
+    out: dict[str, np.ndarray] = {f: np.full(n, float(neutral)) for f, (neutral, _, _) in KNOBS.items()}
+    out |= {f"bias_{b}": np.ones(n) for b in BIASES} | {f: np.full(n, v) for f, v in SWITCHES.items()}
+    out |= {"max_effects_per_clip": np.full(n, 4.0), "shot_size_preference": np.full(n, None, object), "matched": np.bincount(at, minlength=n).astype(np.int64)}
+    for f, found in by_field.items():
+        v = out[f"bias_{f}" if f in BIASES else f]
+        for a, mode, x, w in found:
+            if mode == "*":
+                v[a] *= max(0.05, 1.0 + (x - 1.0) * w)
+            elif mode == "+":
+                v[a] += x * w
+            elif mode == "bias":
+                v[a] = max(0.0, 1.0 + (x - 1.0) * w)
+            elif mode == "bool":
+                v[a] = x if w > 0 else not x
+            elif w > 0:
+                v[a] = min(v[a], x) if mode == "cap" else x
+    return out
 
 
 def interpret_brief(df: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
-    """Constraint knobs of every text, clamped; texts without known terms keep the neutral values."""
-    h = term_hits(df, key, text).withColumn("_d", _deltas()[c("term")])
-    h = h.select(key, "occ", "weight", F.explode_outer("_d").alias("d")).select(key, "occ", "weight", "d.*")
-    w = c("weight")
-    at = F.struct("rank", "occ")
-    factor = F.greatest(F.lit(0.05), 1.0 + (c("num") - 1.0) * w)
-
-    def only(mode, field, value):
-        return F.when((c("mode") == mode) & (c("field") == field), value)
-
-    mult = sorted({k[1:] for v in D.LEXICON.values() for k in v if k[0] == "*"})
-    plus = sorted({k[1:] for v in D.LEXICON.values() for k in v if k[0] == "+"})
-    both = [f for f in mult if f in plus]
-    aggs = [F.product(only("*", f, factor)).alias(f"_m_{f}") for f in mult if f not in both]
-    aggs += [F.sum(only("+", f, c("num") * w)).alias(f"_a_{f}") for f in plus if f not in both]
-    # a field that is both scaled and shifted follows the order of the terms
-    aggs += [F.sort_array(F.collect_list(F.when((c("field") == f) & c("mode").isin("*", "+"), F.struct(
-        at.alias("at"), (c("mode") == "*").alias("scale"), F.when(c("mode") == "*", factor).otherwise(c("num") * w).alias("x"))))).alias(f"_o_{f}") for f in both]
-    aggs += [F.max_by(F.greatest(F.lit(0.0), 1.0 + (c("num") - 1.0) * w), only("bias", b, at)).alias(f"_b_{b}") for b in BIASES]
-    aggs += [F.max_by(F.when(w > 0, c("num")).otherwise(1.0 - c("num")), only("bool", f, at)).alias(f"_f_{f}") for f in ("allow_shake", "allow_grain")]
-    aggs += [F.max_by("txt", F.when((c("mode") == "text") & (w > 0), at)).alias("shot_size_preference"),
-             F.min(F.when((c("mode") == "cap") & (w > 0), c("num"))).alias("_cap"), F.count_distinct("rank", "occ").alias("matched")]
-    d = df.select(key).join(h.groupBy(key).agg(*aggs), key, "left")
-    out = {}
-    for f, (neutral, _, _) in KNOBS.items():
-        v = F.lit(float(neutral))
-        if f in both:
-            v = F.aggregate(F.coalesce(f"_o_{f}", F.array().cast("array<struct<at:struct<rank:int,occ:int>,scale:boolean,x:double>>")), v,
-                            lambda s, o: F.when(o["scale"], s * o["x"]).otherwise(s + o["x"]))
-        else:
-            if f in mult:
-                v = v * F.coalesce(f"_m_{f}", F.lit(1.0))
-            if f in plus:
-                v = v + F.coalesce(f"_a_{f}", F.lit(0.0))
-        out[f] = v
-    out["max_effects_per_clip"] = F.least(F.lit(4.0), F.coalesce("_cap", F.lit(4.0)))
-    d = d.withColumns(out)
-    d = d.withColumns({f"bias_{b}": F.coalesce(f"_b_{b}", F.lit(1.0)) for b in BIASES})
-    d = d.withColumns({"allow_shake": F.coalesce(c("_f_allow_shake") > 0.5, F.lit(True)), "allow_grain": F.coalesce(c("_f_allow_grain") > 0.5, F.lit(False)),
-                       "matched": F.coalesce("matched", F.lit(0))})
-    return clamp(d.drop(*[x for x in d.columns if x.startswith("_")]))
+    """Constraint knobs of every text, clamped; texts without known terms keep the neutral values.
+
+    One row per row, without a shuffle: a text's hits are folded into its knobs where it is read.
+    """
+    types = {**{f: "double" for f in KNOBS}, **{f"bias_{b}": "double" for b in BIASES}, **{f: "boolean" for f in SWITCHES},
+             "max_effects_per_clip": "double", "shot_size_preference": "string", "matched": "long"}
+    kinds = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
+
+    def run(batches):
+        for batch in batches:
+            hits = [(k, rank, w) for k, low in enumerate(batch.column("low").to_pylist()) for rank, _, w in _hits(low)]
+            at, rank, weight = (np.array(x, t) for x, t in zip(zip(*hits) if hits else ((), (), ()), (np.int64, np.int64, float)))
+            got = _knobs(len(batch), at, rank, weight)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[f], kinds[t]) for f, t in types.items())], [key, *types])
+    schema = ", ".join(f"{n} {t}" for n, t in {key: dict(df.dtypes)[key], **types}.items())
+    return clamp(df.select(key, padded(c(text)).alias("low")).mapInArrow(run, schema))
 
 
 def clamp(df: DataFrame) -> DataFrame:

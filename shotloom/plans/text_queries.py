@@ -73,12 +73,37 @@ def interpret_brief(spark, sf):
     return T.interpret_brief(briefs(spark, sf)).select("text_id", *[R(c(f)).alias(f) for f in OUT])
 
 
-@query("context_weight", sql(f"SELECT shot_id AS text_id, term, {r6('w')} AS weight FROM oc JOIN wt USING (how)", *BRIEF[1:3]))
+SAID = f"""(SELECT unnest({_arr(WHAT)}) AS term, unnest({_arr(WHAT)}) AS said UNION ALL VALUES {', '.join(f"('{a}', '{b}')" for a in WHAT for b in T.RANKED if b != a and b in a.split(' '))})"""
+
+
+@query("context_weight", sql(f"""SELECT shot_id AS text_id, x.said AS term, {r6('w')} AS weight FROM oc JOIN wt USING (how)
+    JOIN {SAID} x USING (term)""", *BRIEF[1:3]))
 def context_weight(spark, sf):
-    d = T.term_hits(briefs(spark, sf)).filter(c("term").isin(*WHAT))
+    d = T.term_hits(briefs(spark, sf))
     return d.select("text_id", "term", R(c("weight")).alias("weight"))
 
 
+def _asked(text, n):
+    """A whole text that closes with a request made from a number."""
+    return F.concat(F.coalesce(text, F.lit("")), F.lit(". "), _pick(HOW, n % 8), F.lit(" "), _pick(WHAT, n % 16), F.lit("."))
+
+
+@query("document_terms", sql(f"SELECT doc_id, said AS term, {r6('w')} AS weight FROM (SELECT doc_id, {_arr(HOW)}[CAST(doc_id % 8 AS INT) + 1] AS how, {_arr(WHAT)}[CAST(doc_id % 16 AS INT) + 1] AS term FROM documents) JOIN wt USING (how) JOIN {SAID} USING (term)", BRIEF[1]))
+def document_terms(spark, sf):
+    """Style terms, with their weight, in whole documents that close with a request."""
+    d = table(spark, sf, "documents").withColumn("text", _asked(c("text"), c("doc_id")))
+    return T.term_hits(d, "doc_id").select("doc_id", "term", R(c("weight")).alias("weight"))
+
+
+@query("conversation_briefs", sql(f"""SELECT conv_id, turn, {r6(_knob("pacing_multiplier", KNOBS["pacing_multiplier"][0]))} AS pacing_multiplier, {r6(_knob("warmth_delta", KNOBS["warmth_delta"][0]))} AS warmth_delta, count(DISTINCT said) AS matched FROM (
+    SELECT conv_id, turn, said, w, mode, field, num FROM (SELECT conv_id, turn, {_arr(HOW)}[CAST((conv_id * 7 + turn) % 8 AS INT) + 1] AS how, {_arr(WHAT)}[CAST((conv_id * 7 + turn) % 16 AS INT) + 1] AS term FROM conversations)
+    JOIN wt USING (how) JOIN {SAID} USING (term) LEFT JOIN (SELECT DISTINCT rank, mode, field, num, term FROM lx) l USING (term)) GROUP BY 1, 2""", *BRIEF[:2]))
+def conversation_briefs(spark, sf):
+    """What the turns of conversations ask for; every turn closes with a request."""
+    d = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), _asked(c("text"), c("conv_id") * 7 + c("turn")).alias("text"))
+    return T.interpret_brief(d, "at").select("at.conv_id", "at.turn", R(c("pacing_multiplier")).alias("pacing_multiplier"), R(c("warmth_delta")).alias("warmth_delta"), "matched")
+
+
 @query("clamp_knobs", sql(f"""SELECT shot_id, {r6('least(greatest(duration, 0.35), 3.0)')} AS pacing_multiplier, {r6('least(greatest(shake, 0.10), 1.5)')} AS min_shot_floor,
     {r6('least(greatest(flow_magnitude * 2, least(greatest(shake, 0.10), 1.5) + 0.1), 8.0)')} AS max_shot_ceiling, {r6('least(greatest(warmth, -0.6), 0.6)')} AS warmth_delta, {r6('least(greatest(subject_motion, 0), 4)')} AS bias_whip FROM shots"""))
 def clamp_knobs(spark, sf):

@@ -61,10 +61,14 @@ def test_brief_terms_and_context(spark):
     assert s["b"] == "no strong preferences detected" and "hard cuts" in s["a"]
 
 
-def test_context_far_back_is_not_read(spark):
-    d = spark.createDataFrame([("a", "very " + "x" * 70 + " warm"), ("b", "very one two three warm"), ("c", "very one two warm")], "text_id string, text string")
-    w = {r.text_id: r.weight for r in T.term_hits(d).collect()}
-    assert w == {"a": 1.0, "b": 1.0, "c": 1.6}
+def test_three_words_before_a_term_are_read(spark):
+    texts = {"a": "very " + "x" * 700 + " warm", "b": "very one two three warm", "c": "very one two warm", "d": "very, warm", "e": "no brand warm", "f": "very and warm", "g": "not too warm", "h": "x" * 90_000 + " . a bit warm",
+             "i": "very warm-hearted; die-hard cuts, hardcuts", "j": None, "k": "isn't that " + "y-" * 200 + " warm"}
+    w = {}
+    for r in T.term_hits(spark.createDataFrame(list(texts.items()), "text_id string, text string")).collect():
+        w.setdefault(r.text_id, {})[r.term] = r.weight
+    assert {k: v["warm"] for k, v in w.items()} == {"a": 1.6, "b": 1.0, "c": 1.6, "d": 1.0, "e": -1.0, "f": 1.0, "g": -1.0, "h": 0.5, "i": 1.6, "k": -1.0}
+    assert w["i"]["hard cuts"] == 1.0
 
 
 CLIPS = [(1, 0, 0, "sA", 1.0, 0.2, 0.50), (1, 1, 1, "sB", 1.2, 3.9, 0.45), (1, 2, 2, "sC", 0.8, 0.1, 0.12), (1, 3, 3, "sD", 1.5, 0.3, 0.60)]
