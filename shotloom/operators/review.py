@@ -182,8 +182,11 @@ def instantiate_specs(styles: DataFrame, sequence: str) -> DataFrame:
     return d.withColumn("record_seconds", F.bround(F.greatest("shortest", cut * 3.0 + 1.0), 1))
 
 
-def teach_limit(asks: DataFrame, known: DataFrame | None = None, most: int = D.EXPLAIN_LIMIT, user="user_id", concept="concept", order="event_id") -> DataFrame:
-    """The first ``most`` explanations per user and concept; none of known concepts or for users who want it minimal."""
+def teach_limit(asks: DataFrame, known: DataFrame | None = None, most: int = D.EXPLAIN_LIMIT, user="user_id", concept="concept", order="event_id",
+                explained: Sequence[str] = D.CONCEPTS) -> DataFrame:
+    """The first ``most`` explanations per user and concept; none of concepts that nothing explains or that the user knows, and
+    none for users who want it minimal."""
+    asks = asks.filter(c(concept).isin(*explained))
     d = asks if known is None else asks.join(known.select(user, concept), [user, concept], "left_anti")
     if "level" in asks.columns:
         d = d.filter(c("level") != "minimal")

@@ -68,12 +68,13 @@ def finish_review(spark, sf):
     return d.select("timeline_id", R(c("effects_per_clip")).alias("effects_per_clip"), R(c("sharpness_cv")).alias("sharpness_cv"), R(c("brightness_std")).alias("brightness_std"), "over_processed", "quality_inconsistent", "exposure_inconsistent")
 
 
-@query("critique_score", sql(f"""SELECT s.s_suppkey AS timeline_id, coalesce(k, 0) AS issues, {r6('least(greatest(6.5 + 2.2 * (s.s_suppkey % 10) / 10.0 - coalesce(p, 0), 0), 10)')} AS score FROM supplier s LEFT JOIN (
-    SELECT l_suppkey, count(*) AS k, sum(CASE l_partkey % 3 WHEN 0 THEN 1.8 WHEN 1 THEN 1.0 ELSE 0.4 END) AS p FROM lineitem WHERE l_quantity = 1 AND l_discount > 0.04 GROUP BY 1) i ON i.l_suppkey = s.s_suppkey"""))
+@query("critique_score", sql(f"""SELECT o.o_orderkey AS timeline_id, coalesce(k, 0) AS issues, {r6('least(greatest(6.5 + 2.2 * (o.o_orderkey % 10) / 10.0 - coalesce(p, 0), 0), 10)')} AS score FROM orders o LEFT JOIN (
+    SELECT l_orderkey, count(*) AS k, sum(CASE l_partkey % 3 WHEN 0 THEN 1.8 WHEN 1 THEN 1.0 ELSE 0.4 END) AS p FROM lineitem GROUP BY 1) i ON i.l_orderkey = o.o_orderkey"""))
 def critique_score(spark, sf):
-    k = c("s_suppkey")
-    t = table(spark, sf, "supplier").select(k.alias("timeline_id"), ((k % 10) / 10.0).alias("alignment"))
-    i = table(spark, sf, "lineitem").filter("l_quantity = 1 AND l_discount > 0.04").select(c("l_suppkey").alias("timeline_id"), F.when(c("l_partkey") % 3 == 0, "high").when(c("l_partkey") % 3 == 1, "medium").otherwise("low").alias("severity"))
+    """Every order a timeline, every line of it an issue."""
+    k = c("o_orderkey")
+    t = table(spark, sf, "orders").select(k.alias("timeline_id"), ((k % 10) / 10.0).alias("alignment"))
+    i = table(spark, sf, "lineitem").select(c("l_orderkey").alias("timeline_id"), F.when(c("l_partkey") % 3 == 0, "high").when(c("l_partkey") % 3 == 1, "medium").otherwise("low").alias("severity"))
     return K.critique_score(t, i).select("timeline_id", "issues", R(c("score")).alias("score"))
 
 
@@ -153,19 +154,20 @@ def instantiate_specs(spark, sf):
 
 
 @query("teach_limit", sql("""SELECT series_id AS user_id, concept, event_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY series_id, concept ORDER BY event_id) AS nth FROM (
-    SELECT *, [""" + ", ".join(f"'{x}'" for x in CONCEPTS) + """][CAST(event_id % 8 AS INT) + 1] AS concept FROM sig) WHERE concept <> 'fps' AND series_id % 10 <> 0) WHERE nth <= 2"""))
+    SELECT *, ['fps', 'pre_post_roll', 'low_angle', 'headroom', 'handheld', 'locked_off', 'tracking', 'white_balance', 'bokeh', NULL][CAST(event_id % 10 AS INT) + 1] AS concept FROM sig)
+    WHERE concept NOT IN ('fps', 'bokeh') AND series_id % 10 <> 0) WHERE nth <= 2"""))
 def teach_limit(spark, sf):
-    d = V.raw_series(spark, sf).select(c("series_id").alias("user_id"), F.get(F.array(*[F.lit(x) for x in CONCEPTS]), (c("event_id") % 8).cast("int")).alias("concept"), "event_id",
+    d = V.raw_series(spark, sf).select(c("series_id").alias("user_id"), F.get(F.array(*[F.lit(x) for x in (*CONCEPTS, "bokeh", None)]), (c("event_id") % 10).cast("int")).alias("concept"), "event_id",
                                        F.when(c("series_id") % 10 == 0, "minimal").otherwise("normal").alias("level"))
     known = d.select("user_id").distinct().withColumn("concept", F.lit("fps"))
     return K.teach_limit(d, known).select("user_id", "concept", "event_id", c("nth").cast("long").alias("nth"))
 
 
 @query("revision_knobs", sql(f"""SELECT timeline_id, {r6('coalesce(1 / (arg_min(f, o) FILTER (a = 0)), 1) * coalesce(1 / (arg_min(f, o) FILTER (a = 1)), 1)')} AS pacing_bias,
-    CASE WHEN count(*) FILTER (a = 2) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS diversity_step FROM (SELECT series_id AS timeline_id, event_id AS o, event_id % 90 AS a, 1 + v / 50 AS f FROM sig) WHERE a < 3 GROUP BY 1"""))
+    CASE WHEN count(*) FILTER (a = 2) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS diversity_step FROM (SELECT series_id AS timeline_id, event_id AS o, event_id % 3 AS a, 1 + v / 50 AS f FROM sig) GROUP BY 1"""))
 def revision_knobs(spark, sf):
-    a = c("event_id") % 90
-    d = V.raw_series(spark, sf).filter(a < 3).select(c("series_id").alias("timeline_id"), c("event_id").alias("ord"), (1 + c("v") / 50).alias("factor"),
+    a = c("event_id") % 3
+    d = V.raw_series(spark, sf).select(c("series_id").alias("timeline_id"), c("event_id").alias("ord"), (1 + c("v") / 50).alias("factor"),
                                                      F.when(a == 0, "increase_cut_density").when(a == 1, "decrease_cut_density").otherwise("increase_visual_contrast").alias("action"))
     return K.revision_knobs(d).select("timeline_id", R(c("pacing_bias")).alias("pacing_bias"), "diversity_step")
 

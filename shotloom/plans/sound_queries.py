@@ -22,19 +22,19 @@ def voice_tracks(spark, sf):
 
 
 def _mix(spark, sf):
-    lines = V.shots(spark, sf).withColumn("timeline_id", c("l_suppkey"))
-    voices = lines.filter("faces = 2 AND duration > 4.9").select("timeline_id", c("start").alias("tl_start"), c("shake").alias("source_in"), (c("shake") + c("duration") - c("noise") * 15).alias("source_out"))
-    k = c("s_suppkey")
-    tl = table(spark, sf, "supplier").select(k.alias("timeline_id"), (k % 40 + 1.0).alias("duration"), (k % 9 / 4.0).alias("continuity_weight"), (k % 7 / 5.0).alias("pacing_multiplier"),
+    lines = V.shots(spark, sf).withColumn("timeline_id", c("asset_id"))
+    voices = lines.select("timeline_id", c("start").alias("tl_start"), c("shake").alias("source_in"), (c("shake") + c("duration") - c("noise") * 15).alias("source_out"))
+    k = c("o_orderkey")
+    tl = table(spark, sf, "orders").select(k.alias("timeline_id"), (k % 40 + 1.0).alias("duration"), (k % 9 / 4.0).alias("continuity_weight"), (k % 7 / 5.0).alias("pacing_multiplier"),
                                              F.when(k % 6 == 0, 40.0).alias("music_gain_db"))
     return M.plan_mix(tl, voices)
 
 
 MIX = [
-    ("vc", """SELECT l_suppkey AS timeline_id, 'vox' || lpad(CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY start, shake) - 1 AS VARCHAR), 2, '0') AS track_id, shake AS source_in, shake + duration - noise * 15 AS source_out
-        FROM shots WHERE faces = 2 AND duration > 4.9"""),
-    ("mx", """SELECT s_suppkey AS timeline_id, s_suppkey % 40 + 1.0 AS duration, s_suppkey % 9 / 4.0 AS cw, s_suppkey % 7 / 5.0 AS pm, CASE WHEN s_suppkey % 6 = 0 THEN 40.0 ELSE 0 END AS mg,
-        s_suppkey IN (SELECT timeline_id FROM vc) AS hv FROM supplier"""),
+    ("vc", """SELECT asset_id AS timeline_id, 'vox' || lpad(CAST(row_number() OVER (PARTITION BY asset_id ORDER BY start, shake) - 1 AS VARCHAR), 2, '0') AS track_id, shake AS source_in, shake + duration - noise * 15 AS source_out
+        FROM shots"""),
+    ("mx", """SELECT o_orderkey AS timeline_id, o_orderkey % 40 + 1.0 AS duration, o_orderkey % 9 / 4.0 AS cw, o_orderkey % 7 / 5.0 AS pm, CASE WHEN o_orderkey % 6 = 0 THEN 40.0 ELSE 0 END AS mg,
+        o_orderkey IN (SELECT timeline_id FROM vc) AS hv FROM orders"""),
     ("pl", """SELECT *, CASE WHEN hv THEN least(greatest(9 + CASE WHEN cw > 1.5 THEN 3 ELSE 0 END - CASE WHEN pm < 0.8 THEN 2 ELSE 0 END, 3), 18) ELSE 6 END AS depth FROM mx"""),
 ]
 
