@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.maths import r6 as R
 from ..session import checkpoint_dir, table
 from ..sources import media as A
+from ..sources.snapshots import Snapshots
 from ..streaming import streams as X
 from .oracle import r6, sql
 from .registry import query
@@ -68,7 +69,7 @@ def stream_ingest(spark, sf):
     store = os.path.join(root, "store")
     for turn in (1, 2):     # the second run sees the same arrivals and must add nothing
         X.stream_ingest(_arrivals(spark, sf), store, "v2", os.path.join(root, f"ck{turn}")).awaitTermination()
-    return spark.read.parquet(store).select("fingerprint", "analysis_version")
+    return Snapshots(spark, store, "fingerprint").read().select("fingerprint", "analysis_version")
 
 
 @query("stream_new_content", sql(f"SELECT count(DISTINCT {FP}) AS contents FROM documents"))

@@ -11,6 +11,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, Stru
 from ..functions.ids import content_id, fingerprint, whole_fingerprint
 from ..rules.measures import ASPECTS, ASPECT_TOLERANCE, PROXY_BITRATE, PROXY_HEIGHT
 from ..operators.blocks import TIME_BLOCK, block_of, dense_index
+from .snapshots import Snapshots
 
 NAMESPACES = ("raw", "proxy", "analysis", "render", "output")
 
@@ -138,19 +139,25 @@ def needs_proxy(df: DataFrame) -> DataFrame:
     return df.filter((F.col("height") > PROXY_HEIGHT * 1.4) | (F.col("bitrate") > PROXY_BITRATE))
 
 
-def write_table(df: DataFrame, root: str, namespace: str, name: str, by: str | None = None) -> str:
-    """Store a table under its namespace.  With ``by`` only the touched partitions are replaced."""
+def _stored(spark: SparkSession, root: str, namespace: str, name: str, by: str) -> Snapshots:
     if namespace not in NAMESPACES:
         raise ValueError(f"unknown namespace {namespace!r}")
-    path = os.path.join(root, namespace, name)
-    w = df.write.mode("overwrite")
+    return Snapshots(spark, os.path.join(root, namespace, name), by)
+
+
+def write_table(df: DataFrame, root: str, namespace: str, name: str, by: str | None = None) -> Snapshots:
+    """Store a table under its namespace, seen by readers only once it is whole.
+
+    With ``by`` only rows with the same values of that column are replaced; a table keeps the column it began with.
+    """
+    store = _stored(df.sparkSession, root, namespace, name, by or df.columns[0])
     if by:
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(by)
-    w.parquet(path)
-    return path
+        store.replace(df)
+    else:
+        store.overwrite(df)
+    return store
 
 
-def read_table(spark: SparkSession, root: str, namespace: str, name: str) -> DataFrame:
-    if namespace not in NAMESPACES:
-        raise ValueError(f"unknown namespace {namespace!r}")
-    return spark.read.parquet(os.path.join(root, namespace, name))
+def read_table(spark: SparkSession, root: str, namespace: str, name: str, by: str = "") -> DataFrame | None:
+    """The newest whole version of a table, None before the first."""
+    return _stored(spark, root, namespace, name, by).read()

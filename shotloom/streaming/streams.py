@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..rules.delivery import TERMINAL
 from ..sources.media import pending_analysis
+from ..sources.snapshots import Snapshots
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,24 +47,20 @@ def stream_new_content(arrivals: DataFrame, lateness: str, ts: str = "ts") -> Da
 def stream_ingest(arrivals: DataFrame, store: str, version: str, checkpoint: str, analyse=None) -> StreamingQuery:
     """Analyse only content not stored yet under this version, batch by batch.
 
-    ``store`` is a Parquet table of results, partitioned by run (named after ``checkpoint``) and
-    batch.  A batch that is repeated after a failure replaces its own earlier output; batches of
-    other runs are never touched.
+    ``store`` holds the results as ``Snapshots`` by fingerprint: a batch reads the fingerprints of its own buckets, and its
+    results become visible as a whole.  A batch repeated after a failure replaces its own earlier output (by run, named after
+    ``checkpoint``, and batch number); batches of other runs are never touched.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    schema = StructType([StructField("fingerprint", StringType()), StructField("analysis_version", StringType()), StructField("run", StringType()), StructField("batch", LongType())])
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        table, token = Snapshots(batch.sparkSession, store, "fingerprint"), f"{run}-{number}"
         fresh = batch.dropDuplicates(["fingerprint"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        done = spark.read.schema(schema).parquet(store) if there else spark.createDataFrame([], schema)
-        done = done.filter((F.col("run") != run) | (F.col("batch") != number))
-        todo = pending_analysis(fresh, done, version).withColumn("analysis_version", F.lit(version))
-        todo = todo if analyse is None else analyse(todo)
-        (todo.withColumns({"run": F.lit(run), "batch": F.lit(number).cast("long")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("run", "batch").parquet(store))
+        done = table.read(table.buckets_of(fresh), without=token)
+        if done is None:
+            done = batch.sparkSession.createDataFrame([], "fingerprint string, analysis_version string")
+        todo = pending_analysis(fresh, done.select("fingerprint", "analysis_version"), version).withColumn("analysis_version", F.lit(version))
+        table.append(todo if analyse is None else analyse(todo), token)
 
     return arrivals.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

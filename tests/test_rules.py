@@ -8,6 +8,7 @@ from shotloom.functions import ids, scores
 from shotloom.operators import logs as L, plan as P, review as K, search as Q, sound as M, style as G, text as T, timeline as TL
 from shotloom.rules import planning as RP
 from shotloom.sources import media as A, views as V
+from shotloom.sources.snapshots import Snapshots
 
 
 def test_query_with_negation_and_synonyms(spark):
@@ -167,7 +168,37 @@ def test_two_ingest_runs_keep_what_each_brought(spark, tmp_path):
         spark.createDataFrame([(k,) for k in keys], "fingerprint string").write.parquet(src)
         stream = spark.readStream.schema("fingerprint string").parquet(src)
         X.stream_ingest(stream, store, "v1", str(tmp_path / f"ck{run}")).awaitTermination()
-    assert sorted(r.fingerprint for r in spark.read.parquet(store).collect()) == ["a", "b", "c"]
+    table = Snapshots(spark, store, "fingerprint")
+    assert sorted(r.fingerprint for r in table.read().collect()) == ["a", "b", "c"] and len(table.manifest()["commits"]) == 3
+    # a repeated batch replaces what it brought; a table rewritten as one commit says the same
+    table.append(table.read().filter("fingerprint = 'c'"), table.manifest()["commits"][1]["token"])
+    table.compact()
+    assert sorted(r.fingerprint for r in table.read().collect()) == ["a", "b", "c"] and table.vacuum() == 4
+    assert sorted(r.fingerprint for r in table.read().collect()) == ["a", "b", "c"] and len(table.versions()) == 1
+
+
+def test_a_commit_cut_short_is_not_seen(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    t = Snapshots(spark, root, "k", 8)
+    assert t.read() is None
+    t.overwrite(spark.createDataFrame([(k, f"old{k}") for k in range(20)] + [(None, "none")], "k long, v string"))
+    new = spark.createDataFrame([(3, "new"), (3, "new too"), (None, "new none"), (77, "more")], "k long, v string")
+    with monkeypatch.context() as m:     # files written, version not published
+        m.setattr(Snapshots, "_publish", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        for act in (t.replace, t.append, t.overwrite):
+            try:
+                act(new)
+            except OSError:
+                pass
+    (tmp_path / "t" / "versions" / "0000000002.json.part").write_text("{half")
+    assert t.read().count() == 21 and t.versions() == [1]
+    t.replace(new)
+    got = {(r.k, r.v) for r in t.read().collect()}
+    assert got == {(k, f"old{k}") for k in range(20) if k != 3} | {(3, "new"), (3, "new too"), (None, "new none"), (77, "more")}
+    assert t.read(version=1).count() == 21
+    some = t.buckets_of(spark.createDataFrame([(5,)], "k long"))
+    assert (5, "old5") in {(r.k, r.v) for r in t.read(some).collect()} and t.read(some).count() < 21
+    assert t.vacuum() == 3 and t.read().count() == len(got)
 
 
 def _row_clips(spark, rows):
