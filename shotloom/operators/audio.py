@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.maths import clip
@@ -216,6 +216,9 @@ def voice_band(spectrum: DataFrame, keys=("series_id",), pos="n", freq="freq", m
     return spectrum.groupBy(*keys, pos).agg(F.sum(F.when(c(freq).between(low, high), c(magnitude)).otherwise(0.0)).alias("in_band"), F.sum(magnitude).alias("total"))
 
 
+FRAMES_AT_ONCE = 4096
+
+
 def band_energies(chunks: DataFrame, rate: float, keys=("series_id",), no="chunk", pcm="pcm", nfft: int = NFFT, hop: int = HOP, bands: int = BANDS,
                   low: float = 40.0, high: float = 8000.0, width: int = 256) -> DataFrame:
     """Log-spaced band energies of every frame of chunked samples.
@@ -228,9 +231,11 @@ def band_energies(chunks: DataFrame, rate: float, keys=("series_id",), no="chunk
     types = dict(chunks.dtypes)
     head = F.slice(c(pcm), F.lit(1), F.lit(nfft))
     d = framed(chunks.withColumn("_head", head), keys, no, 0, 1, {"_next": lambda w: F.lead("_head").over(w)}, width)
-    d = d.withColumn("_size", F.size(pcm))
     full = chunks.filter(c(no) == 0).select(*keys, F.size(pcm).alias("_full"))
-    d = d.join(full, keys).select(*keys, no, pcm, "_next", "_full")
+    own = F.transform(pcm, lambda x: x.cast("double"))
+    rest = F.coalesce(F.transform("_next", lambda x: x.cast("double")), F.array().cast("array<double>"))
+    first = (c(no) * c("_full") / hop).cast("long")
+    d = d.join(full, keys).select(*keys, first.alias("_first"), F.size(pcm).alias("_own"), F.concat(own, rest).alias("_x"))
     edges = np.logspace(np.log10(low), np.log10(min(high, rate / 2)), bands + 1)
     freqs = np.fft.rfftfreq(nfft, 1.0 / rate)
     member = np.array([(freqs >= edges[i]) & (freqs < edges[i + 1]) for i in range(bands)], float)
@@ -239,22 +244,23 @@ def band_energies(chunks: DataFrame, rate: float, keys=("series_id",), no="chunk
     scale = 1.0 / taper.sum()
 
     def spectra(batches):
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                own = np.asarray(r[pcm], float)
-                nxt = r["_next"]
-                more = [] if nxt is None or np.ndim(nxt) == 0 else np.asarray(nxt, float)
-                x = np.concatenate([own, more])
-                starts = np.arange(0, min(len(own), len(x) - nfft + 1), hop)
-                if not len(starts):
-                    continue
-                frames = np.stack([x[s:s + nfft] for s in starts]) * taper
-                e = (np.abs(np.fft.rfft(frames, axis=1)) * scale) @ share.T
-                first = int(r[no]) * int(r["_full"]) // hop
-                yield pd.DataFrame({**{k: r[k] for k in keys}, "n": np.repeat(first + np.arange(len(starts)), bands),
-                                    "band": np.tile(np.arange(bands), len(starts)), "e": e.reshape(-1)})
-
-    return d.mapInPandas(spectra, ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, band long, e double")
+        for batch in batches:
+            x = batch.column("_x")
+            flat, size = x.flatten().to_numpy(zero_copy_only=False), x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(size) - size
+            frames = np.maximum(0, -(-np.minimum(batch.column("_own").to_numpy(), size - nfft + 1) // hop))
+            of = np.repeat(np.arange(len(size)), frames)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(frames) - frames, frames)
+            # all frames of a batch are transformed together, a bounded number at a time
+            for lo in range(0, len(of), FRAMES_AT_ONCE):
+                row, nth = of[lo:lo + FRAMES_AT_ONCE], inside[lo:lo + FRAMES_AT_ONCE]
+                cut = flat[(begin[row] + nth * hop)[:, None] + np.arange(nfft)] * taper
+                e = (np.abs(np.fft.rfft(cut, axis=1)) * scale) @ share.T
+                at = pa.array(np.repeat(row, bands))
+                n = np.repeat(batch.column("_first").to_numpy()[row] + nth, bands)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(n), pa.array(np.tile(np.arange(bands), len(row))), pa.array(e.reshape(-1))], [*keys, "n", "band", "e"])
+
+    return d.mapInArrow(spectra, ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, band long, e double")
 
 
 def chunked(samples: DataFrame, size: int, keys=("series_id",), pos="n", value="v") -> DataFrame:

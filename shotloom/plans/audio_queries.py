@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.maths import r6 as R
@@ -184,7 +185,15 @@ def speech_windows(spark, sf):
     return w.select("series_id", "w_start", "w_end")
 
 
-@query("band_energies")
+_edges = np.logspace(np.log10(0.5), np.log10(8.0), 5)      # one bin per hertz; a band without a bin is silent
+MEMBERS = [(b, k) for b in range(4) for k in ([k for k in range(9) if _edges[b] <= k < _edges[b + 1]] or [-1])]
+SPECTRUM = [
+    ("bf", f"""SELECT series_id, f AS n, n - f * 8 AS i, v * (0.5 - 0.5 * cos({2 * math.pi!r}::DOUBLE * (n - f * 8) / 16)) / 8 AS v FROM (SELECT *, unnest([n // 8 - 1, n // 8]) AS f, count(*) OVER (PARTITION BY series_id) AS len FROM sig) WHERE f >= 0 AND f * 8 + 16 <= len"""),
+    ("bk", f"""SELECT series_id, n, k, sqrt(power(sum(v * cos({2 * math.pi!r}::DOUBLE * i * k / 16)), 2) + power(sum(v * sin({2 * math.pi!r}::DOUBLE * i * k / 16)), 2)) AS mag FROM bf CROSS JOIN (SELECT unnest(range(9)) AS k) GROUP BY 1, 2, 3"""),
+    ("bb", "SELECT * FROM (VALUES " + ", ".join(f"({b}::BIGINT, {k}::BIGINT)" for b, k in MEMBERS) + ") v(band, k)")]
+
+
+@query("band_energies", sql(f"SELECT series_id, n, band, {r6('coalesce(avg(mag), 0)')} AS energy FROM (SELECT DISTINCT series_id, n FROM bf) CROSS JOIN bb LEFT JOIN bk USING (series_id, n, k) GROUP BY 1, 2, 3", *SPECTRUM))
 def band_energies(spark, sf):
     pcm = A.chunked(V.series(spark, sf), 32)
     d = A.band_energies(pcm, 16.0, nfft=16, hop=8, bands=4, low=0.5, high=8.0)
