@@ -13,7 +13,7 @@ from ..session import stage
 from ..sources import views as V
 from .oracle import r6, sql
 from .registry import query
-from .series_queries import energy, mirror_sql, thinned
+from .series_queries import DUR, ENERGY, energy, mirror_sql, thinned
 
 c = F.col
 STEP, RATE = 43200.0, 12.0
@@ -110,7 +110,18 @@ def novelty(spark, sf):
     return A.novelty(bands(spark, sf), REACH).select("series_id", "n", R(c("novelty")).alias("novelty"))
 
 
-@query("novelty_sections")
+SECTIONS = [*NOV, *ENERGY, DUR,
+    ("nz", f"SELECT series_id, n, CASE WHEN n >= {REACH} AND n < max(n) OVER w + 1 - {REACH} AND max(n) OVER w + 1 > {4 * REACH} THEN nov ELSE 0 END AS novelty FROM nv WINDOW w AS (PARTITION BY series_id)"),
+    *mirror_sql("nz", "novelty", 16, "ns"), ("nd", "SELECT series_id, n, greatest(novelty - smooth, 0) AS d FROM ns"),
+    ("nvv", "SELECT series_id, n, CASE WHEN max(d) OVER w > 0 THEN d / max(d) OVER w ELSE d END AS v FROM nd WINDOW w AS (PARTITION BY series_id)"), *thinned("nvv", 4, "0.25"),
+    ("nb", f"SELECT series_id, 0.0::DOUBLE AS s FROM dur UNION ALL SELECT series_id, n * {STEP!r}::DOUBLE FROM thin JOIN dur USING (series_id) WHERE n > 0 AND n * {STEP!r}::DOUBLE < duration"),
+    ("nsg", f"""SELECT * FROM (SELECT series_id, s, coalesce(lead(s) OVER w, duration) AS e, row_number() OVER w - 1 AS idx FROM nb JOIN dur USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY s)) WHERE e - s >= {STEP!r}::DOUBLE"""),
+    ("nsp", "SELECT series_id, idx, s, e, s + (e - s) * i / 7.0::DOUBLE AS at FROM nsg CROSS JOIN (SELECT unnest(range(8)) AS i)"),
+    ("nse", """SELECT p.series_id, p.idx, p.s, p.e, avg(coalesce(x.e, l.last, 0.5)) AS energy FROM nsp p ASOF LEFT JOIN energy x ON x.series_id = p.series_id AND x.t >= p.at
+        LEFT JOIN (SELECT series_id, arg_max(e, t) AS last FROM energy GROUP BY 1) l ON l.series_id = p.series_id GROUP BY 1, 2, 3, 4""")]
+
+
+@query("novelty_sections", sql(f"SELECT series_id, idx, {r6('s')} AS sec_start, {r6('e')} AS sec_end, {r6('energy')} AS energy, CASE WHEN energy > 0.66 THEN 'high' WHEN energy < 0.33 THEN 'low' ELSE 'mid' END AS label FROM nse", *SECTIONS, recursive=True))
 def novelty_sections(spark, sf):
     e = stage(energy(spark, sf).select("series_id", "t", "energy"))
     dur = V.raw_series(spark, sf).groupBy("series_id").agg(F.max("t").alias("duration"))
