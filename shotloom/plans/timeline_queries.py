@@ -14,8 +14,8 @@ from ..sources import views as V
 from .oracle import r6, sql
 from .registry import query
 from .measure_queries import VERDICT
-from .series_queries import energy
-from .style_queries import edit, lengths_of
+from .series_queries import ENERGY, energy
+from .style_queries import EDIT, PACE, edit, lengths_of
 
 c = F.col
 WIDE = 86400.0 * 30
@@ -174,7 +174,27 @@ def assign_greedy(spark, sf):
     return P.assign_greedy(d, pins, KNOBS).select("plan_id", "slot", "shot_id", R(c("score")).alias("score"), "pinned")
 
 
-@query("plan_slots")
+SLOTTED = [
+    *EDIT, PACE, *[(n.replace("ends", "lv_ends"), t.replace("JOIN ends", "JOIN lv_ends")) for n, t in ENERGY],
+    ("bt", "SELECT series_id, t / 86400 AS t FROM sig WHERE kind = 'click'"),
+    ("bk", "SELECT series_id, min(t) AS t FROM bt GROUP BY 1 UNION ALL SELECT k.series_id, min(p.t) FROM bk k JOIN bt p ON p.series_id = k.series_id AND p.t - k.t >= 0.05 GROUP BY k.series_id, k.t"),
+    ("bl", "SELECT series_id, list(t ORDER BY t) FILTER (t >= 1.0) AS grid FROM bk GROUP BY 1"),
+    ("en", "SELECT series_id, list({'t': t / 86400, 'e': e} ORDER BY t) AS heard, arg_max(e, t) AS last FROM energy GROUP BY 1"),
+    ("pln", """SELECT *, greatest(0.05, CASE WHEN coalesce(p90, 0) = 0 THEN 1.2 ELSE p90 END - short) AS span FROM (SELECT style_id AS plan_id, p10, med, p90, greatest(0.12, CASE WHEN coalesce(p10, 0) = 0 THEN 0.3 ELSE p10 END) AS short,
+        coalesce(grid, []) AS grid, heard, last FROM pace LEFT JOIN bl ON bl.series_id = style_id LEFT JOIN en ON en.series_id = style_id)"""),
+    ("stp", """SELECT plan_id, CAST(-1 AS BIGINT) AS k, 0.0::DOUBLE AS here, 1.0::DOUBLE AS fin, 0.0::DOUBLE AS level FROM pln UNION ALL
+        SELECT plan_id, k + 1, here, fin, level FROM (SELECT *, least(CASE WHEN abs(near - goal) < 0.275 THEN near ELSE goal END, 25.0) AS fin FROM (
+          SELECT *, list_sort(list_transform(grid, lambda b: {'d': abs(b - goal), 'b': b}))[1].b AS near FROM (
+            SELECT *, here + greatest(1, round_even(least(greatest((short + span - span * level) * 0.8, 0.12), 4.0) / 0.5, 0)) * 0.5 AS goal FROM (
+              SELECT p.*, k, here, least(greatest((0.55 * [0.2, 0.5, 0.9, 0.7][CAST(floor(3 * least(greatest((here - 1) / 24, 0), 1)) AS INT) + 1] + 0.45 * coalesce(list_filter(heard, lambda h: h.t >= here)[1].e, last, 0.5)) * 1.1 + 0.05, 0), 1) AS level
+              FROM (SELECT plan_id, k, fin AS here FROM stp WHERE fin < 24.88) JOIN pln p USING (plan_id))))) WHERE fin - here >= 0.1"""),
+    ("fls", """SELECT s.*, p10 > 0 AND p10 <= 0.45 AND p10 <= 0.6 * coalesce(med, 0) AND k > 0 AND level >= 0.72 AND fin - here >= 3 * 0.2 AS flash FROM stp s JOIN pln USING (plan_id) WHERE k >= 0"""),
+    ("slt", """SELECT plan_id, CASE WHEN flash THEN here + 0.2 ELSE here END AS a, fin AS b, false AS p, level FROM fls UNION ALL SELECT plan_id, here, here + 0.2, true, least(1.0, level + 0.15) FROM fls WHERE flash"""),
+]
+
+
+@query("plan_slots", sql(f"""SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY a) - 1 AS slot, {r6('a')} AS slot_start, {r6('b')} AS slot_end,
+    CASE WHEN p THEN 'punctuation' WHEN (a - 1) * 31.0::DOUBLE / 24 < 3 THEN 'hook' WHEN (a - 1) * 31.0::DOUBLE / 24 < 20 THEN 'escalation' ELSE 'climax' END AS role, {r6('level')} AS intensity FROM slt""", *SLOTTED, recursive=True))
 def plan_slots(spark, sf):
     from ..operators import style as G
     e = edit(spark, sf)
