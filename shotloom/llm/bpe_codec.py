@@ -35,7 +35,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Slots for pairs whose compatibility a worker remembers (8 bytes each); a new pair takes the place of another one.
 PAIR_SLOTS = 1 << 20
 #: Bytes that remembered pieces and words may take in a worker.
-PIECE_BYTES, WORD_BYTES = 48 << 20, 24 << 20
+PIECE_BYTES, WORD_BYTES = 88 << 20, 56 << 20
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 2 << 20
 
