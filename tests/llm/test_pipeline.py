@@ -16,7 +16,8 @@ def tables(spark, tmp_path_factory):
     rows = corpus(72)
     rows += [(3000 + k, f"this number {k} is such a blockhead and a nitwit at {k * k}") for k in range(40)]
     rows += [(4000, "x y " + ITEM + " z"), (4001, ITEM.replace("eta ", "other ", 1)), (None, "no id at all"), (None, None)]
-    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, words string")
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), "extra", "many", None, "was") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int, words string, n_lines string, n_removed string, _gone string")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 0 if i < 3000 else 1) for i, _ in rows if i is not None and i < 4000], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -35,7 +36,7 @@ def test_stages(spark, tables):
         if name != "encoding":
             assert docs.columns == columns
             rows = [(r.doc_id, r.text) for r in docs.collect()]
-            assert all(r.n_chars == len(r.text or "") for r in docs.collect()) and all(r.words == "extra" for r in docs.collect())
+            assert all(r.n_chars == len(r.text or "") for r in docs.collect()) and {(r.words, r.n_lines, r.n_removed, r._gone) for r in docs.collect()} == {("extra", "many", None, "was")}
             seen[name] = (before, rows)
             before = rows
     with_id = lambda rows: {i: t for i, t in rows if i is not None}
