@@ -205,9 +205,12 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
 
 def find_similar(vectors: DataFrame, ids: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", index: cells.Index | None = None) -> DataFrame:
-    """Nearest stored vectors of the stored vectors named in ``ids``, themselves left out; any number of them."""
+    """Nearest stored vectors of the stored vectors named in ``ids``, themselves left out.
+
+    With an ``index`` any number of them; without, by scans, which suit a few.
+    """
     q = vectors.join(ids, key, "left_semi").select(F.col(key).alias("query_id"), vec, F.col(key).alias("exclude"))
-    return cells.search(index or cells.build(vectors, key, vec), q, k, key, vec)[0]
+    return vector_topk(vectors, q, k, key, vec) if index is None else cells.search(index, q, k, key, vec)[0]
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "shot_id",

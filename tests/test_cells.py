@@ -50,7 +50,7 @@ def test_cells_equal_the_full_scan(spark, unit, kind, monkeypatch):
 
 def test_few_vectors_and_many_wanted(spark):
     lib = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    got = search.find_similar(lib, lib.select("vec_id"), 10).groupBy("query_id").count().collect()
+    got = search.find_similar(lib, lib.select("vec_id"), 10, index=cells.build(lib)).groupBy("query_id").count().collect()
     assert sorted((r["query_id"], r["count"]) for r in got) == [(1, 2), (2, 2), (3, 2)]
     with pytest.raises(ValueError):
         search.semantic_search(lib.filter("false"), lib.selectExpr("vec_id query_id", "embedding", "null exclude"), 1, "vec_id", "embedding")
@@ -62,5 +62,5 @@ def test_a_saved_index_answers_alike(spark, tmp_path):
     index = cells.build(lib)
     cells.save(index, f"{tmp_path}/index")
     again = cells.load(spark, f"{tmp_path}/index")
-    a, b = (search.find_similar(lib, lib.filter("vec_id % 50 = 0").select("vec_id"), 3, index=i).orderBy("query_id", "rank").collect() for i in (index, again))
-    assert a == b and len(a) == 24
+    a, b, scan = (search.find_similar(lib, lib.filter("vec_id % 50 = 0").select("vec_id"), 3, index=i).orderBy("query_id", "rank").collect() for i in (index, again, None))
+    assert a == b == scan and len(a) == 24
