@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .common import release, spread, stage, texts
+from .vocab import make_room
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
@@ -60,6 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _signatures(batches):
+    make_room()
     for batch in batches:
         for i, j, data, offsets in A.steps(batch, "text"):
             flat, n = shingle_sets(data, offsets)
@@ -95,6 +97,7 @@ def _signatures(batches):
 
 
 def _shingle_rows(batches):
+    make_room()
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j, data, offsets in A.steps(batch, "text"):
@@ -104,6 +107,7 @@ def _shingle_rows(batches):
 
 def _fine_signatures(batches):
     """512 minima of two bits each, as FINE longs."""
+    make_room()
     a = A.mix(np.arange(32 * FINE, dtype=A.U) + A.U(7 << 20)) | A.U(1)
     b = A.mix(a)
     for batch in batches:
@@ -119,6 +123,7 @@ def _fine_signatures(batches):
 
 
 def _sets(batches):
+    make_room()
     for batch in batches:
         for i, j, data, offsets in A.steps(batch, "text"):
             flat, n = shingle_sets(data, offsets)
@@ -127,6 +132,7 @@ def _sets(batches):
 
 
 def confirm(batches):
+    make_room()
     for batch in batches:
         a, b = batch.column("members_a"), batch.column("members_b")
         keep = []

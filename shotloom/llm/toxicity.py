@@ -61,7 +61,7 @@ class Matcher:
     keys: list[frozenset] = field(default_factory=list)
     hits: list[int] = field(default_factory=list)
     #: States are dropped and built anew beyond this number, so unusual letters cannot fill the memory.
-    limit: int = 50_000
+    limit: int = 20_000
     wide: bool = False
 
     def __post_init__(self):

@@ -39,6 +39,12 @@ def resident(key, make: Callable):
     return _RESIDENT[key]
 
 
+def make_room() -> None:
+    """Let go of what earlier stages left in this worker, before work that needs memory of its own."""
+    _RESIDENT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class PieceCache:
     """piece -> value with two generations: a full young one becomes the old one, whose entries move up again on use.
 
