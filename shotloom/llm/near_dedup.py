@@ -35,9 +35,9 @@ SIMILARITY_PERCENT = 75
 CHUNKS, WIDTH, ERRORS = 12, 4, 1
 #: Sketches of 64 one-bit minima differ in 8 places at a similarity of 0.75; 26 is seven standard deviations away.
 SKETCH_BITS = 26
-#: Longs of the fine signature.  Of its 512 components 96 differ at a similarity of 0.75, with a deviation of 8.5; a true pair
-#: has more than FINE_BITS differing ones with a probability of about one in a million.
-FINE, FINE_BITS = 16, 138
+#: Longs of the fine signature.  Of its 512 components 96 differ at a similarity of 0.75, with a deviation of 8.8; FINE_BITS is
+#: seven standard deviations away, as for the sketch.
+FINE, FINE_BITS = 16, 158
 #: Bytes of shingle sets up to which they are broadcast.
 BROADCAST_BYTES = 24 << 20
 _PATTERNS = list(combinations(range(WIDTH), WIDTH - ERRORS))
