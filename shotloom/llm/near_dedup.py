@@ -35,9 +35,9 @@ SIMILARITY_PERCENT = 75
 CHUNKS, WIDTH, ERRORS = 12, 4, 1
 #: Sketches of 64 one-bit minima differ in 8 places at a similarity of 0.75; 26 is seven standard deviations away.
 SKETCH_BITS = 26
-#: Longs of the fine signature.  Of its 512 components 96 differ at a similarity of 0.75, with a deviation of 8.8; FINE_BITS is
-#: seven standard deviations away, as for the sketch.
-FINE, FINE_BITS = 16, 158
+#: Longs of the fine signature.  Of its 1024 components 192 differ at a similarity of 0.75, with a deviation of 12.5; FINE_BITS
+#: is seven standard deviations away, as for the sketch.
+FINE, FINE_BITS = 32, 280
 #: Bytes of shingle sets up to which they are broadcast.
 BROADCAST_BYTES = 24 << 20
 _PATTERNS = list(combinations(range(WIDTH), WIDTH - ERRORS))
@@ -106,7 +106,7 @@ def _shingle_rows(batches):
 
 
 def _fine_signatures(batches):
-    """512 minima of two bits each, as FINE longs."""
+    """Minima of two bits each, 32 to a long."""
     make_room()
     a = A.mix(np.arange(32 * FINE, dtype=A.U) + A.U(7 << 20)) | A.U(1)
     b = A.mix(a)
