@@ -1,7 +1,10 @@
 """Rules on small literal inputs: search, briefs, notes, planning, timelines, logs, reviews."""
 
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shotloom.functions import ids, scores
@@ -414,3 +417,25 @@ def test_shot_keys_are_unique(spark, small):
 
 def test_effect_tables_agree():
     assert set(k.split(".")[0] for k in RP.PARAM_RANGES) <= set(RP.EFFECT_TYPES) and set(RP.STAGE_ORDER) <= set(RP.EFFECT_TYPES)
+
+
+def test_resnap_in_blocks_equals_one_walk(spark):
+    rng = random.Random(5)
+    rows = [(k, i, f"c{i}", 0.0, rng.choice([0.001, 0.3, 0.5, 0.77, 1.3])) for k, n in (("a", 400), ("b", 33), ("none", 20)) for i in range(n)]
+    clips = spark.createDataFrame(rows, "timeline_id string, idx long, clip_id string, tl_start double, dur double")
+    at = {"a": [3.0 + 0.45 * i for i in range(300)], "b": [9.0, 9.5]}      # the beats of both end before their clips do
+    beats = spark.createDataFrame([(k, b) for k, bs in at.items() for b in bs], "timeline_id string, beat double")
+    want = {}
+    for k, i, _, start, dur in rows:
+        if k not in at:
+            want[k, i] = (start, dur)
+            continue
+        frame = want[k, i - 1][2] if i else 0
+        goal = frame / 30.0 + dur
+        best = min((b - at[k][0] for b in at[k]), key=lambda b: (abs(b - goal), b))
+        end = max(frame + 1, round((best if abs(best - goal) < 0.2 else goal) * 30.0))
+        want[k, i] = (frame / 30.0, (end - frame) / 30.0, end)
+    for width in (7, 65536):
+        got = {(r.timeline_id, r.idx): (r.tl_start, r.dur) for r in TL.resnap_to_beats(clips, beats, 30.0, width=width).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k][:2], abs=1e-9) for k in want)
