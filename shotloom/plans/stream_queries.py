@@ -24,9 +24,11 @@ c = F.col
 
 
 def _source(spark, sf, name):
-    """The Parquet file as a stream; a stream reads folders, so the name becomes a filter."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream, be it one Parquet file or a folder of them.
+
+    A stream refuses the plain path of a file; a pattern that only the table's own name matches stands for either.
+    """
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(os.path.join(sf, f"{name}.parque[t]"))
 
 
 def _events(spark, sf):
@@ -69,7 +71,10 @@ def stream_ingest(spark, sf):
     store = os.path.join(root, "store")
     for turn in (1, 2):     # the second run sees the same arrivals and must add nothing
         X.stream_ingest(_arrivals(spark, sf), store, "v2", os.path.join(root, f"ck{turn}")).awaitTermination()
-    return Snapshots(spark, store, "fingerprint").read().select("fingerprint", "analysis_version")
+    rows = Snapshots(spark, store, "fingerprint").read()
+    if rows is None:        # no file has arrived yet
+        return spark.createDataFrame([], "fingerprint string, analysis_version string")
+    return rows.select("fingerprint", "analysis_version")
 
 
 @query("stream_new_content", sql(f"SELECT count(DISTINCT {FP}) AS contents FROM documents"))

@@ -30,9 +30,9 @@ def with_fingerprint(df: DataFrame, content: str = "content", prefix: str = "ass
 
 
 def pending_analysis(src: DataFrame, done: DataFrame, version: str) -> DataFrame:
-    """Rows not analysed yet by this analyser version; results of other versions count as missing."""
-    current = done.filter(F.col("analysis_version") == version).select("fingerprint")
-    return src.join(current, "fingerprint", "left_anti")
+    """Rows not analysed yet by this analyser version; results of other versions count as missing.  No content is a content too."""
+    current = done.filter(F.col("analysis_version") == version).select(F.col("fingerprint").alias("_done"))
+    return src.join(current, F.col("fingerprint").eqNullSafe(F.col("_done")), "left_anti")
 
 
 def dedupe_by_content(df: DataFrame, order: str, key: str = "fingerprint") -> DataFrame:

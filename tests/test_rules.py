@@ -180,6 +180,16 @@ def test_two_ingest_runs_keep_what_each_brought(spark, tmp_path):
     assert sorted(r.fingerprint for r in table.read().collect()) == ["a", "b", "c"] and len(table.versions()) == 1
 
 
+def test_streams_read_a_table_that_is_a_folder_or_a_file(spark, small, tmp_path):
+    from shotloom.plans import stream_queries as Y
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "doc_id long, text string").repartition(3)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.fingerprint for r in Y.stream_ingest(spark, str(tmp_path)).collect()]
+    assert len(got) == 3 and len(set(got)) == 3 and None in got
+    assert Y.stream_new_content(spark, str(tmp_path)).first().contents == 2
+    assert Y._source(spark, small, "documents").isStreaming and Y.stream_new_content(spark, small).first().contents > 2
+
+
 def test_a_commit_cut_short_is_not_seen(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "t")
     t = Snapshots(spark, root, "k", 8)
