@@ -82,7 +82,7 @@ def stream_new_content(spark, sf):
     at = F.timestamp_seconds(c("doc_id") + 1704067200)
     d = A.with_fingerprint(_source(spark, sf, "documents").select("doc_id", "text"), "text")
     d = d.select("fingerprint", F.lit("v2").alias("analysis_version"), at.alias("ts"))
-    return X.run_now(X.stream_new_content(d, "3650 days"), checkpoint_dir(spark)).agg(F.count(F.lit(1)).alias("contents"))
+    return X.run_now(X.stream_new_content(d, "3650 days"), checkpoint_dir(spark)).agg(F.count("fingerprint").alias("contents"))
 
 
 @query("stream_job_monitor")
