@@ -189,6 +189,15 @@ def test_a_quota_keeps_its_last_cut(spark):
     assert got == {None: 1, "whip": 4, "flash": 3, "cut": 5}
 
 
+def test_a_lead_of_exactly_the_bar_is_no_close_call(spark, tmp_path):
+    from shotloom.plans import timeline_queries as Y
+    rows = [(711631, 86411, 4043, 7, 4.0, 0.04, 0.04, "1995-07-05"), (711631, 82872, 4578, 6, 41.0, 0.04, 0.01, "2001-03-20"), (711631, 91441, 4336, 3, 20.0, 0.01, 0.02, "1998-09-28")]
+    d = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, day string")
+    d.withColumn("l_shipdate", F.to_timestamp("day")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.slot: (r.choice, r.close_call) for r in Y.rank_alternatives(spark, str(tmp_path)).collect()}
+    assert got[0] == ("711631_3_91441_4336_20", False)
+
+
 def test_streams_read_a_table_that_is_a_folder_or_a_file(spark, small, tmp_path):
     from shotloom.plans import stream_queries as Y
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "doc_id long, text string").repartition(3)
