@@ -23,9 +23,10 @@ def plan_mix(timelines: DataFrame, voices: DataFrame, key="timeline_id", target:
     """Tracks, ducking pairs and scalars of the mix of every timeline.
 
     ``timelines`` has duration and the knobs continuity_weight, pacing_multiplier and
-    music_gain_db; ``voices`` has tl_start, source_in, source_out.
+    music_gain_db; ``voices`` has tl_start, source_in, source_out and is numbered in this order, so that only
+    equal voices are interchangeable.
     """
-    v = dense_index(voices, [key], ["tl_start", "source_in"], block_of(c("tl_start"), width), "_i")
+    v = dense_index(voices, [key], ["tl_start", "source_in", "source_out"], block_of(c("tl_start"), width), "_i")
     v = v.select(key, F.format_string("vox%02d", "_i").alias("track_id"), F.lit("voice").alias("role"), "source_in", "source_out", "tl_start",
                  F.lit(0.0).alias("gain_db"), F.lit(0.0).alias("fade_out"))
     some = voices.select(key).distinct().withColumn("_v", F.lit(True))
