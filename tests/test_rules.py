@@ -198,6 +198,24 @@ def test_a_lead_of_exactly_the_bar_is_no_close_call(spark, tmp_path):
     assert got[0] == ("711631_3_91441_4336_20", False)
 
 
+def test_voices_that_begin_alike_keep_their_numbers(spark):
+    voices = [(1, 5.0, 2.0, 9.0), (1, 5.0, 2.0, 1.0), (1, 4.0, 2.0, 3.0)]
+    t = spark.createDataFrame([(1, 10.0, 1.0, 1.0, 0.0)], "timeline_id long, duration double, continuity_weight double, pacing_multiplier double, music_gain_db double")
+    for rows in (voices, voices[::-1]):
+        d = spark.createDataFrame(rows, "timeline_id long, tl_start double, source_in double, source_out double").coalesce(1)
+        got = {r.track_id: r.source_out for r in M.plan_mix(t, d)[0].filter("role = 'voice'").collect()}
+        assert got == {"vox00": 3.0, "vox01": 1.0, "vox02": 9.0}
+
+
+def test_assignment_ships_what_it_scores_only(spark, small, tmp_path, monkeypatch):
+    from shotloom.plans.timeline_queries import KNOBS, candidates
+    seen, keep = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda d: seen.append(d.columns) or keep(d))
+    d = candidates(spark, small).filter("asset_id < 40").withColumns({"plan_id": F.lit(0).cast("long"), "ballast": F.lit("x" * 100)})
+    assert P.assign_greedy(d, None, KNOBS).count() == 3
+    assert "ballast" not in seen[0] and "prev" not in seen[0] and "score" in seen[1]
+
+
 def test_streams_read_a_table_that_is_a_folder_or_a_file(spark, small, tmp_path):
     from shotloom.plans import stream_queries as Y
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "doc_id long, text string").repartition(3)
