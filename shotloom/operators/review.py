@@ -126,12 +126,16 @@ def coverage(shots: DataFrame, specs: Sequence[dict], key: str = "shot_id", enou
                                  "query_id string, duration_wanted double, checked long")
     if not asked:
         return plan.select("query_id", F.lit("unverifiable").alias("status"), F.array().cast("array<string>").alias("candidates"), "checked", F.lit(0.0).alias("closest"))
-    hits = S.matches(shots, asked, key, ["duration"]).join(plan, "query_id")      # one row per spec of the given list
-    good = (c("score") >= enough) & (c("duration") >= F.greatest(F.lit(0.3), c("duration_wanted") / 3.0 * 0.6))
-    near = hits.groupBy("query_id").agg(F.max("score").alias("_near"))
-    # length and score are tested first, so a long enough shot behind many short ones is found; three names are shown
-    w = W.partitionBy("query_id").orderBy(c("score").desc(), c("order_value").desc(), c(key))
-    best = hits.filter(good).withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    near = S.matches(shots, asked, key, inert=dead).groupBy("query_id").agg(F.max("score").alias("_near"))
+    # length and score are tested first, so a long enough shot behind many short ones is found; three names are shown.  Every
+    # task keeps three shots of a spec (a top three by limit): ranking all hits would sort a task's whole share of them
+    order, best = [c("score").desc(), c("order_value").desc(), c(key)], None
+    wanted = {str(s["number"]): float(s["duration"]) for s in specs}
+    for q in asked:
+        long = F.greatest(F.lit(0.3), F.lit(wanted[q.query_id]) / 3.0 * 0.6)
+        part = S.matches(shots, [q], key, ["duration"], dead).filter((c("score") >= enough) & (c("duration") >= long)).orderBy(*order).limit(3)
+        best = part if best is None else best.unionByName(part)
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     best = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col(key).alias("k")))).alias("_g"))
     d = plan.join(near, "query_id", "left").join(best, "query_id", "left")
     names = F.transform(F.coalesce("_g", F.array().cast("array<struct<rank:int,k:string>>")), lambda x: x["k"])

@@ -106,12 +106,13 @@ def search(shots: DataFrame, queries: Sequence[Query], key: str = "shot_id") ->
     return out
 
 
-def _tried(shots: DataFrame, queries: Sequence[Query], key: str, keep: Sequence[str] = ()) -> tuple[DataFrame, Column]:
+def _tried(shots: DataFrame, queries: Sequence[Query], key: str, keep: Sequence[str] = (), inert: set | None = None) -> tuple[DataFrame, Column]:
     """Every shot that meets something of a query, with its score, and the queries' names as a constant."""
     types = dict(shots.dtypes)
     pool = usable_shots(shots)
-    # One row of flags, as many as there are criteria in these queries.
-    inert = {(r.query_id, r.criterion) for r in inert_criteria(shots, queries).collect()}
+    if inert is None:
+        # One row of flags, as many as there are criteria in these queries.
+        inert = {(r.query_id, r.criterion) for r in inert_criteria(shots, queries).collect()}
     # Per query only a number, a flag per criterion and the order value travel through the
     # ranking; names are looked up for the few rows that stay.
     tries, labels = [], []
@@ -129,11 +130,14 @@ def _tried(shots: DataFrame, queries: Sequence[Query], key: str, keep: Sequence[
     return d, F.array(*labels)
 
 
-def matches(shots: DataFrame, queries: Sequence[Query], key: str = "shot_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(query_id, key, keep..., score, order_value) of every shot that meets something, not ranked and not cut."""
+def matches(shots: DataFrame, queries: Sequence[Query], key: str = "shot_id", keep: Sequence[str] = (), inert: set | None = None) -> DataFrame:
+    """(query_id, key, keep..., score, order_value) of every shot that meets something, not ranked and not cut.
+
+    ``inert``: the (query_id, criterion) pairs of ``inert_criteria``, where they are known already.
+    """
     out = None
     for at in range(0, len(queries), QUERIES_PER_SCAN):
-        d, labels = _tried(shots, queries[at:at + QUERIES_PER_SCAN], key, keep)
+        d, labels = _tried(shots, queries[at:at + QUERIES_PER_SCAN], key, keep, inert)
         part = d.select(F.get(labels, F.col("q"))["id"].alias("query_id"), key, *keep, "score", "order_value")
         out = part if out is None else out.unionByName(part)
     return out

@@ -216,6 +216,14 @@ def test_assignment_ships_what_it_scores_only(spark, small, tmp_path, monkeypatc
     assert "ballast" not in seen[0] and "prev" not in seen[0] and "score" in seen[1]
 
 
+def test_coverage_ranks_no_whole_library(spark):
+    d = spark.range(500).selectExpr("format_string('s%03d', id) AS shot_id", "'use' AS handling", "0.9D AS brightness", "IF(id < 400, 0.1D, 9.0D) AS duration", "CAST(id % 7 AS DOUBLE) AS technical_quality")
+    got = K.coverage(d, [{"number": n, "criteria": (Q.Criterion("brightness", ">", 0.5 * n, "bright"),), "duration": 6.0} for n in (1, 2)])
+    assert {r.query_id: (r.status, r.candidates) for r in got.collect()} == {"1": ("likely", ["s405", "s412", "s419"]), "2": ("missing", [])}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "WindowGroupLimit" not in plan
+
+
 def test_streams_read_a_table_that_is_a_folder_or_a_file(spark, small, tmp_path):
     from shotloom.plans import stream_queries as Y
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "doc_id long, text string").repartition(3)
