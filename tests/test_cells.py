@@ -48,6 +48,12 @@ def test_cells_equal_the_full_scan(spark, unit, kind, monkeypatch):
     assert len(share) == len(queries) and np.mean([s for i, s in share.items() if i != -1]) < (0.3 if unit else 0.6)
 
 
+def test_visits_do_not_pass_through_the_driver(spark):
+    lib = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(clustered(400, 6, 2))], "vec_id long, embedding array<double>")
+    hits, _ = cells.search(cells.build(lib), lib.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding", "vec_id AS exclude"), 3)
+    assert hits.count() == 12 and "SortMergeJoin [cell" in hits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_few_vectors_and_many_wanted(spark):
     lib = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = search.find_similar(lib, lib.select("vec_id"), 10, index=cells.build(lib)).groupBy("query_id").count().collect()
