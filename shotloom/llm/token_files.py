@@ -1,8 +1,8 @@
 """Token ids in grammar-compressed shards (Re-Pair) with random access by document.
 
 Documents go to ranges of doc_id; each task writes its range, sorted, as shards of about ``SHARD_IDS`` ids.  A shard replaces
-frequent pairs of neighbouring ids by nonterminals, some rounds in a row; pairs never reach over the end of a document, so a
-document is a slice of the compressed sequence and can be expanded alone.
+frequent pairs of neighbouring ids by nonterminals, round after round, until no pair is left that pays for its rule; pairs never
+reach over the end of a document, so a document is a slice of the compressed sequence and can be expanded alone.
 
 Layout of a shard (little-endian): 8 bytes ``RPAIR001``; unsigned 32-bit: size of the vocabulary V, rules R, documents D,
 symbols S; then R rules as two 32-bit symbols (rule r is symbol V + r and refers to smaller symbols only), R expansion
@@ -29,9 +29,8 @@ from .vocab import default_path, library, resident, slices
 END_ID = 1
 MAGIC = b"RPAIR001"
 SHARD_IDS = 1 << 20
-ROUNDS = 3
-PER_ROUND = 5000
-MIN_COUNT = 24
+PER_ROUND = 5000      # the most frequent pairs of a round; the others come in later rounds, over what these left
+MIN_COUNT = 7         # a rule takes 12 bytes and saves 2 at every place
 
 
 # --- the grammar ---
@@ -61,9 +60,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> bytes:
     inner = np.ones(max(0, len(seq) - 1), bool)
     inner[ends[ends < len(seq)] - 1] = False
     rules, stop = [], ends.copy()
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         code, at, k = _frequent_pairs(seq, inner)
         # of overlapping pairs, every second one from the left of each run of neighbours
         head = np.ones(len(at), bool)

@@ -155,6 +155,23 @@ def test_trigram_queries():
     assert q("api_?key") == [[frozenset({"api", "pi_", "i_k", "_ke", "key"}), frozenset({"api", "pik", "ike", "key"})]]
 
 
+def test_a_shard_is_compressed_to_the_end():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 49_000, 300)
+    ids = np.concatenate([np.append(passage, 1) for _ in range(40)] + [np.full(5000, 7), rng.integers(0, 50, 4000)])
+    ends = np.append(np.arange(1, 41) * 301, [17_040, len(ids)])
+    shard = token_files.Shard(token_files.compress(ids, ends, 49_408))
+    assert (shard.ids() == ids).all() and all((shard.ids(k) == ids[a:b]).all() for k, (a, b) in enumerate(zip([0, *ends], ends)))
+    # a symbol may stand for far more than the eight ids of three rounds, and no pair within a document still pays for a rule
+    assert shard.lengths.max() > 100
+    pairs = {}
+    for a, b in zip(shard.in_symbols, shard.in_symbols[1:]):
+        s = shard.symbols[a:b].tolist()
+        for p in zip(s, s[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+    assert max(pairs.values()) < token_files.MIN_COUNT
+
+
 def test_token_files(spark):
     rows = ROWS + [(2000 + k, t) for k, t in enumerate(ODD)] + [(None, "no id")]
     lib = vocab.library(vocab.default_path(token_files.TOKENIZER))
