@@ -224,6 +224,13 @@ def test_coverage_ranks_no_whole_library(spark):
     assert "TakeOrderedAndProject" in plan and "WindowGroupLimit" not in plan
 
 
+def test_fitting_candidates_do_not_wait_for_their_slot(spark):
+    rows = [(1, 0, "a", 0.5, None), (1, 0, "b", 0.5, 0.2), (1, 1, "c", 0.5, 0.2), (None, 0, "d", 0.5, 0.2), (None, 1, "e", 0.5, None), (None, 1, "f", 0.5, 0.2)]
+    d = P.eligible(spark.createDataFrame(rows, "plan_id long, slot long, shot_id string, slot_duration double, max_useful_duration double"))
+    assert sorted(r.shot_id for r in d.collect()) == ["a", "c", "d", "e"]
+    assert "Union" in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_streams_read_a_table_that_is_a_folder_or_a_file(spark, small, tmp_path):
     from shotloom.plans import stream_queries as Y
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "doc_id long, text string").repartition(3)
