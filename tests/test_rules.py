@@ -231,6 +231,15 @@ def test_fitting_candidates_do_not_wait_for_their_slot(spark):
     assert "Union" in d._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_staged_timelines_hold_what_is_read_only(spark, small, monkeypatch):
+    from shotloom.plans import timeline_queries as Y
+    seen, keep = [], Y.stage
+    monkeypatch.setattr(Y, "stage", lambda d: seen.append(len(d.columns)) or keep(d))
+    assert set(Y.revise(spark, small).columns) == {"timeline_id", "idx", "transition", "effects"}
+    assert set(Y.changed_segments(spark, small).columns) == {"timeline_id", "idx"}
+    assert seen == [6, 10]
+
+
 def test_streams_read_a_table_that_is_a_folder_or_a_file(spark, small, tmp_path):
     from shotloom.plans import stream_queries as Y
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "doc_id long, text string").repartition(3)
