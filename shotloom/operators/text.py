@@ -149,6 +149,12 @@ def _hits(low: str) -> list[tuple[int, int, float]]:
     return out
 
 
+def _once(column: pa.Array) -> tuple[list[str], pa.Array]:
+    """The different texts of a batch and, for every row, the place of its text among them: equal texts are read once."""
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices
+
+
 def term_hits(df: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
     """Every whole-word occurrence of every lexicon term, with its rank and its signed weight.
 
@@ -160,16 +166,16 @@ def term_hits(df: DataFrame, key: str = "text_id", text: str = "text") -> DataFr
     def run(batches):
         names = pa.array(RANKED)
         for batch in batches:
-            at, ranks, occ, weights = [], [], [], []
-            for k, low in enumerate(batch.column("low").to_pylist()):
-                for rank, n, w in _hits(low):
-                    at.append(k)
-                    ranks.append(rank)
-                    occ.append(n)
-                    weights.append(w)
-            if at:
-                rank = pa.array(ranks, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), names.take(rank), rank, pa.array(occ, pa.int32()), pa.array(weights, pa.float64())],
+            lows, which = _once(batch.column("low"))
+            found, which = [_hits(low) for low in lows], which.to_numpy(zero_copy_only=False)
+            size = np.array([len(x) for x in found], np.int64)
+            n = size[which]
+            if n.sum():
+                ranks, occ, weights = zip(*(h for x in found for h in x))
+                hit = pa.array(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[which], n))
+                rank = pa.array(ranks, pa.int32()).take(hit)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), names.take(rank), rank,
+                                                  pa.array(occ, pa.int32()).take(hit), pa.array(weights, pa.float64()).take(hit)],
                                                  [key, "term", "rank", "occ", "weight"])
     return df.select(key, padded(c(text)).alias("low")).mapInArrow(run, f"{key} {kind}, term string, rank int, occ int, weight double")
 
@@ -215,10 +221,11 @@ def interpret_brief(df: DataFrame, key: str = "text_id", text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            hits = [(k, rank, w) for k, low in enumerate(batch.column("low").to_pylist()) for rank, _, w in _hits(low)]
+            lows, which = _once(batch.column("low"))
+            hits = [(k, rank, w) for k, low in enumerate(lows) for rank, _, w in _hits(low)]
             at, rank, weight = (np.array(x, t) for x, t in zip(zip(*hits) if hits else ((), (), ()), (np.int64, np.int64, float)))
-            got = _knobs(len(batch), at, rank, weight)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[f], kinds[t]) for f, t in types.items())], [key, *types])
+            got = _knobs(len(lows), at, rank, weight)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[f], kinds[t]).take(which) for f, t in types.items())], [key, *types])
     schema = ", ".join(f"{n} {t}" for n, t in {key: dict(df.dtypes)[key], **types}.items())
     return clamp(df.select(key, padded(c(text)).alias("low")).mapInArrow(run, schema))
 

@@ -94,6 +94,17 @@ def test_notes(spark):
     assert got[(9, "unmeasured")][2] == "blurry"
 
 
+def test_equal_texts_of_a_batch_are_read_once(spark):
+    import pyarrow as pa
+
+    lows, which = T._once(pa.array([" very fast ", " slow ", " very fast "]))
+    assert lows == [" very fast ", " slow "] and which.to_pylist() == [0, 1, 0]
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(["very fast, not warm", "", "slow", "very fast, not warm", None, "slow"])], "text_id long, text string").coalesce(1)
+    hits = sorted((r.text_id, r.term, r.occ, r.weight) for r in T.term_hits(d).collect())
+    assert hits == [(0, "fast", 0, 1.6), (0, "warm", 1, -1.0), (2, "slow", 0, 1.0), (3, "fast", 0, 1.6), (3, "warm", 1, -1.0), (5, "slow", 0, 1.0)]
+    assert {r.text_id: r.matched for r in T.interpret_brief(d).collect()} == {0: 2, 1: 0, 2: 1, 3: 2, 4: 0, 5: 1}
+
+
 def test_movement_classes(spark):
     cases = [(0.0, 0.0, 0.0, 0.0, 0.0, 0.9, 1.0, "static"), (-2.0, 0.1, 0.0, 0.1, 2.0, 0.95, 0.99, "pan_right"), (0.1, 1.5, 0.0, 0.1, 1.5, 0.95, 0.99, "tilt_up"),
              (0.1, 0.1, 0.005, 0.1, 0.2, 0.5, 0.5, "push_in"), (0.1, 0.1, -0.005, 0.1, 0.2, 0.5, 0.5, "pull_out"), (0.2, 0.2, 0.0, 2.0, 2.0, 0.9, 0.1, "handheld"),
