@@ -267,7 +267,7 @@ def _any_in(text: Column, words) -> Column:
 
 def _first_word(text: Column, words) -> Column:
     """First entry of ``words`` that occurs as a whole word."""
-    return F.coalesce(*[F.when(text.rlike(rf"\b{re.escape(w)}\b"), F.lit(w)) for w in words])
+    return F.coalesce(*[F.when(text.contains(w) & text.rlike(rf"\b{re.escape(w)}\b"), F.lit(w)) for w in words])
 
 
 MEASURED = ("shake", "brightness", "sharpness", "noise", "duration")
@@ -315,30 +315,31 @@ def parse_notes(notes: DataFrame, clips: DataFrame, note: str = "note_id", key:
     target = F.when(c("_last_hit"), c("_last")).when(c("_first_hit"), c("_first")).when(c("_nth").isNotNull(), c("_at")).otherwise(ref)
     d = d.withColumns({"_target": target, "_unmeasured": ~placed & c("_word").isNotNull() & target.isNull()})
     has, neg = c("_target").isNotNull(), c("negated")
-    seconds = F.nullif(F.regexp_extract(t, r"([\d.]+)\s*(?:s|sec|seconds)\b", 1), F.lit("")).try_cast("double")
-    longer = _any_in(t, D.LONGER)
-    effect_word = _first_word(t, D.EFFECT_WORDS)
-    transition = F.nullif(F.regexp_extract(t, r"\b(?:use|make it|change to)?\s*a?\s*(cut|dissolve|flash|whip)\b", 1), F.lit(""))
+    d = d.withColumns({
+        "_secs": F.nullif(F.regexp_extract(t, r"([\d.]+)\s*(?:s|sec|seconds)\b", 1), F.lit("")).try_cast("double"), "_longer": _any_in(t, D.LONGER), "_effect": _first_word(t, D.EFFECT_WORDS),
+        "_tr": F.nullif(F.regexp_extract(t, r"\b(?:use|make it|change to)?\s*a?\s*(cut|dissolve|flash|whip)\b", 1), F.lit(""))})
+    seconds, longer, effect_word, transition = c("_secs"), c("_longer"), c("_effect"), c("_tr")
     hint = _any_in(t, D.WHOLE_PIECE_HINTS)
     kind = (F.when(c("_out"), "unresolved").when(has & (longer | _any_in(t, D.SHORTER)), "set_duration")
              .when(has & neg & ~_any_in(t, list(D.EFFECT_WORDS)), "reject_shot")
              .when(has & t.rlike(r"\b(keep|lock|leave|don't touch|dont touch)\b"), "lock_clip")
              .when(neg & effect_word.isNotNull(), "ban_effect").when(has & transition.isNotNull() & ~neg, "force_transition").when(hint, "brief"))
-    d = d.withColumns({"kind": kind, "_seconds": F.round(F.coalesce(seconds, c("_target.dur") * F.when(longer, 1.5).otherwise(0.6)), 3), "_fx": lookup(D.EFFECT_WORDS, effect_word), "_tr": transition})
-    # a whole-piece clause must change something in the brief vocabulary
-    asked = d.filter("kind = 'brief'").select(F.concat_ws("#", c(note).cast("string"), c("clause_no").cast("string")).alias("text_id"), c("clause").alias("text"))
+    d = d.withColumns({"kind": kind, "_seconds": F.round(F.coalesce(seconds, c("_target.dur") * F.when(longer, 1.5).otherwise(0.6)), 3), "_fx": lookup(D.EFFECT_WORDS, effect_word)})
+    # a whole-piece clause must change something in the brief vocabulary; it is read where it lies, and no clause is joined or computed twice
+    k = c("kind")
+    d = d.select(F.struct(
+        note, key, "clause_no", "clause", k, F.when(k.isin("set_duration", "lock_clip", "force_transition"), c("_target.slot_index")).alias("slot_index"),
+        F.when(k == "reject_shot", c("_target.source_id")).alias("shot_id"),
+        F.when(k == "set_duration", c("_seconds").cast("string")).when(k == "ban_effect", c("_fx")).when(k == "force_transition", c("_tr")).when(k == "brief", c("clause")).alias("value"),
+        F.when(c("_unmeasured") & ~c("_out"), c("_word")).alias("word")).alias("at"), F.when(k == "brief", c("clause")).alias("text"))
     acts = None
     for f in D.ACTING_KNOBS:
         moved = F.abs(c(f) - F.lit(float(KNOBS[f][0]))) > 1e-12
         acts = moved if acts is None else acts | moved
-    does = interpret_brief(asked).filter(acts).select("text_id").withColumn("_acts", F.lit(True))
-    d = d.withColumn("text_id", F.concat_ws("#", c(note).cast("string"), c("clause_no").cast("string"))).join(does, "text_id", "left")
-    d = d.withColumn("kind", F.when((c("kind") == "brief") & c("_acts").isNull(), "unresolved").otherwise(F.coalesce("kind", F.when(~t.isin("the", "it"), "unresolved"))))
-    k = c("kind")
-    rows = d.filter("kind IS NOT NULL").select(
-        note, key, "clause_no", "clause", "kind", F.when(k.isin("set_duration", "lock_clip", "force_transition"), c("_target.slot_index")).alias("slot_index"),
-        F.when(k == "reject_shot", c("_target.source_id")).alias("shot_id"),
-        F.when(k == "set_duration", c("_seconds").cast("string")).when(k == "ban_effect", c("_fx")).when(k == "force_transition", c("_tr")).when(k == "brief", c("clause")).alias("value"))
-    extra = d.filter(c("_unmeasured") & ~c("_out")).select(note, key, "clause_no", "clause", F.lit("unmeasured").alias("kind"), F.lit(None).cast("long").alias("slot_index"),
-                                                            F.lit(None).cast("string").alias("shot_id"), c("_word").alias("value"))
-    return rows.unionByName(extra)
+    d = interpret_brief(d, "at", "text").select("at.*", F.coalesce(acts, F.lit(False)).alias("_acts"))
+    d = d.withColumn("kind", F.when((k == "brief") & ~c("_acts"), "unresolved").otherwise(F.coalesce("kind", F.when(~t.isin("the", "it"), "unresolved"))))
+    sides = F.array(F.when(k.isNotNull(), F.lit(False)), F.when(c("word").isNotNull(), F.lit(True)))
+    d = d.withColumn("_extra", F.explode(F.filter(sides, lambda x: x.isNotNull())))
+    own = ~c("_extra")
+    return d.select(note, key, "clause_no", "clause", F.when(own, k).otherwise("unmeasured").alias("kind"), F.when(own, c("slot_index")).cast("long").alias("slot_index"),
+                    F.when(own, c("shot_id")).alias("shot_id"), F.when(own, F.when(k != "unresolved", c("value"))).otherwise(c("word")).alias("value"))

@@ -105,6 +105,14 @@ def test_equal_texts_of_a_batch_are_read_once(spark):
     assert {r.text_id: r.matched for r in T.interpret_brief(d).collect()} == {0: 2, 1: 0, 2: 1, 3: 2, 4: 0, 5: 1}
 
 
+def test_notes_are_read_in_one_pass(spark):
+    clips = spark.createDataFrame(CLIPS, "timeline_id long, idx long, slot_index long, source_id string, dur double, shake double, brightness double")
+    notes = spark.createDataFrame([(1, 1, "make it calmer, no blurry one")], "note_id long, timeline_id long, text string")
+    d = T.parse_notes(notes, clips)
+    assert {(r.kind, r.clause) for r in d.collect()} >= {("brief", "make it calmer"), ("unmeasured", "no blurry one")}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_movement_classes(spark):
     cases = [(0.0, 0.0, 0.0, 0.0, 0.0, 0.9, 1.0, "static"), (-2.0, 0.1, 0.0, 0.1, 2.0, 0.95, 0.99, "pan_right"), (0.1, 1.5, 0.0, 0.1, 1.5, 0.95, 0.99, "tilt_up"),
              (0.1, 0.1, 0.005, 0.1, 0.2, 0.5, 0.5, "push_in"), (0.1, 0.1, -0.005, 0.1, 0.2, 0.5, 0.5, "pull_out"), (0.2, 0.2, 0.0, 2.0, 2.0, 0.9, 0.1, "handheld"),
