@@ -10,6 +10,7 @@ package therefore goes through the helpers below, which cut a series into blocks
 * ``running``  – aggregates from the start of the series.  One partial per block, a
   prefix over the (few) partials, then a window inside each block.
 * ``asof``     – previous / next / nearest match in time, built on ``running``.
+* ``by_group`` – array work on many small groups per call, where a call per group would cost more than the work.
 * ``quantiles``– exact percentiles from brackets refined to a bounded number of rows and one counting pass.
 
 Blocks over a dense index hold exactly ``BLOCK`` rows.  Blocks over time hold
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import stage
@@ -157,6 +160,44 @@ def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], probe_time:
                       *[F.col(f"_m.{c}").alias(prefix + c) for c in extra])
 
 
+def _borders(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Rows that begin another group than the row before them."""
+    new = np.zeros(max(t.num_rows - 1, 0), bool)
+    for k in keys:
+        code = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new |= code[1:] != code[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema) -> DataFrame:
+    """``fn`` gets whole groups, one after the other and ordered, and the rows at which they begin (with the end of the last).
+
+    It sees as many groups at once as fill an Arrow batch; a group that is longer comes alone.  The groups are dealt to a fixed
+    number of tasks, as the work per group does not show in the bytes by which small partitions are put together.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches):
+        def done(rows):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            yield from fn(t, np.concatenate([[0], _borders(t, keys), [t.num_rows]])).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            new = _borders(pa.Table.from_batches([*ends, batch]), keys) - len(ends)
+            if len(new):
+                yield from done([*held, batch.slice(0, new[-1])])
+                held, batch = [], batch.slice(new[-1])
+            held.append(batch)
+        if held:
+            yield from done(held)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 BRACKET_ROWS = 20000   # values that may lie between two bounds of a wanted rank
 BINS = 1024            # parts into which a wider bracket is cut per round
 

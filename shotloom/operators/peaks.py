@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import stage
-from .blocks import BLOCK, block_of, framed, running
+from .blocks import BLOCK, block_of, by_group, framed, running
 
 GAPS_PER_BLOCK = 1024
 
@@ -52,63 +52,61 @@ def keep_spaced(df: DataFrame, keys: Sequence[str], time: str, gap: float, width
     key_fields = [f for f in df.schema.fields if f.name in keys]
     cand = stage(df.withColumn("_blk", block_of(F.col(time), width)))
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf[time].to_numpy(float))
-        blk = int(pdf["_blk"].iloc[0])
-        ends = np.empty(len(t))
-        nxt = np.searchsorted(t, t + gap, "left")
-        for i in range(len(t) - 1, -1, -1):
-            j = nxt[i]
-            while j > i + 1 and t[j - 1] - t[i] >= gap:
-                j -= 1
-            while j < len(t) and t[j] - t[i] < gap:
-                j += 1
-            ends[i] = ends[j] if j < len(t) else t[i]
-        # A block is entered within one gap of its start, or at its first row.
-        reach = max(blk * width + gap, t[0])
-        m = max(1, int(np.searchsorted(t, reach, "right")))
-        m = min(len(t), m + 1)
-        t, ends = t[:m], ends[:m]
-        step = np.append(ends[1:] != ends[:-1], True)
-        out = pd.DataFrame({"_blk": blk, "_entry": t[step], "_exit": ends[step]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
+    def floats(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy().astype(float)
+
+    def summarise(table: pa.Table, at: np.ndarray) -> pa.Table:
+        times, blks, rows, exits = floats(table, time), table.column("_blk").to_numpy(), [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            t = times[a:b]
+            ends, nxt, ts = [0.0] * len(t), np.searchsorted(t, t + gap, "left").tolist(), t.tolist()
+            for i in range(len(t) - 1, -1, -1):
+                j = nxt[i]
+                while j > i + 1 and ts[j - 1] - ts[i] >= gap:
+                    j -= 1
+                while j < len(ts) and ts[j] - ts[i] < gap:
+                    j += 1
+                ends[i] = ends[j] if j < len(ts) else ts[i]
+            # A block is entered within one gap of its start, or at its first row.
+            reach = max(int(blks[a]) * width + gap, ts[0])
+            m = max(1, int(np.searchsorted(t, reach, "right")))
+            m = min(len(ts), m + 1)
+            for i in range(m):
+                if i == m - 1 or ends[i + 1] != ends[i]:
+                    rows.append(a + i)
+                    exits.append(ends[i])
+        out = table.select([*keys, "_blk", time]).take(pa.array(rows, pa.int64()))
+        return pa.table([*(out.column(k) for k in [*keys, "_blk"]), out.column(time).cast(pa.float64()), pa.array(exits, pa.float64())], [*keys, "_blk", "_entry", "_exit"])
 
     schema1 = StructType([*key_fields, StructField("_blk", LongType()), StructField("_entry", DoubleType()),
                           StructField("_exit", DoubleType())])
-    steps = cand.select(*keys, time, "_blk").groupBy(*keys, "_blk").applyInPandas(summarise, schema1)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_blk", "_entry"])
-        last, blks, starts = float("-inf"), [], []
-        blk, entry, end = pdf["_blk"].to_numpy(), pdf["_entry"].to_numpy(float), pdf["_exit"].to_numpy(float)
-        i = 0
-        while i < len(blk):
-            j = i
-            while j < len(blk) and blk[j] == blk[i]:
-                j += 1
-            blks.append(blk[i])
-            starts.append(last)
-            # entries are the last row of each merged group: the first that qualifies leads its group
-            ok = np.nonzero(entry[i:j] - last >= gap)[0] if np.isfinite(last) else np.array([0])
-            if len(ok):
-                last = end[i + ok[0]]
-            i = j
-        out = pd.DataFrame({"_blk": blks, "_last": starts})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
+    steps = by_group(cand.select(*keys, "_blk", time), [*keys, "_blk"], [time], summarise, schema1)
+
+    def chain(table: pa.Table, at: np.ndarray) -> pa.Table:
+        blk, entry, end = (table.column(n).to_pylist() for n in ("_blk", "_entry", "_exit"))
+        rows, starts = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            last, i = float("-inf"), a
+            while i < b:
+                rows.append(i)
+                starts.append(last)
+                here, enters = blk[i], True
+                while i < b and blk[i] == here:
+                    # entries are the last row of each merged group: the first that qualifies leads its group
+                    if enters and entry[i] - last >= gap:
+                        last, enters = end[i], False
+                    i += 1
+        return table.select([*keys, "_blk"]).take(pa.array(rows, pa.int64())).append_column("_last", pa.array(starts, pa.float64()))
 
     schema2 = StructType([*key_fields, StructField("_blk", LongType()), StructField("_last", DoubleType())])
-    entered = steps.groupBy(*keys).applyInPandas(chain, schema2)
+    entered = by_group(steps, keys, ["_blk", "_entry"], chain, schema2)
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        kept = _spaced(pdf[time].to_numpy(float), gap, float(pdf["_last"].iloc[0]))
-        return pdf.iloc[kept][names]
+    def mark(table: pa.Table, at: np.ndarray) -> pa.Table:
+        times, last = floats(table, time), table.column("_last").to_pylist()
+        kept = [a + _spaced(times[a:b], gap, last[a]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return table.select(names).take(pa.array(np.concatenate(kept)))
 
-    return cand.join(entered, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(mark, df.schema)
+    return by_group(cand.join(entered, [*keys, "_blk"]), [*keys, "_blk"], [time], mark, df.schema)
 
 
 def local_maxima(df: DataFrame, keys: Sequence[str] = ("series_id",), pos="n", value="v",
@@ -188,23 +186,22 @@ def thin_by_height(peaks: DataFrame, distance: int, keys=("series_id",), pos="n"
     schema = StructType([*key_fields, StructField(pos, LongType()), StructField(value, DoubleType()),
                          StructField("_home", LongType()), StructField("_state", LongType())])
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        x, v = pdf[pos].to_numpy(), pdf[value].to_numpy(float)
-        blk = int(pdf["_blk"].iloc[0])
-        lo, hi = blk * block - border, (blk + 1) * block + border
-        sure = (x - distance >= lo) & (x + distance < hi)
-        state = _settle(x, v, pdf["_state"].to_numpy(), sure, distance)
-        out = pdf[[*keys, pos, value, "_home"]].assign(_state=state)
-        return out[(pdf["_home"] == blk).to_numpy()]
+    def decide(table: pa.Table, at: np.ndarray) -> pa.Table:
+        xs, vs, states, homes, blks = (table.column(n).to_numpy() for n in (pos, value, "_state", "_home", "_blk"))
+        settled = np.array(states)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            x, lo, hi = xs[a:b], int(blks[a]) * block - border, (int(blks[a]) + 1) * block + border
+            settled[a:b] = _settle(x, vs[a:b], states[a:b], (x - distance >= lo) & (x + distance < hi), distance)
+        out = table.select([*keys, pos, value, "_home"]).append_column("_state", pa.array(settled))
+        return out.filter(pa.array(homes == blks))
 
     seen = F.explode(F.sequence(block_of(p - border, block), block_of(p + border, block)))
     state = peaks.select(*keys, p.cast("long").alias(pos), F.col(value).cast("double").alias(value), block_of(p, block).alias("_home"), F.lit(UNKNOWN).cast("long").alias("_state"))
-    state = stage(state.withColumn("_blk", seen).groupBy(*keys, "_blk").applyInPandas(decide, schema))
+    state = stage(by_group(state.withColumn("_blk", seen), [*keys, "_blk"], [pos], decide, schema))
     while True:
         waiting = state.filter(F.col("_state") == UNKNOWN).select(*keys, F.col("_home").alias("_blk")).distinct()
         if waiting.isEmpty():
             return state.filter(F.col("_state") == KEPT).select(*keys, pos, value)
-        again = state.withColumn("_blk", seen).join(waiting, [*keys, "_blk"], "left_semi").groupBy(*keys, "_blk").applyInPandas(decide, schema)
+        again = by_group(state.withColumn("_blk", seen).join(waiting, [*keys, "_blk"], "left_semi"), [*keys, "_blk"], [pos], decide, schema)
         rest = state.join(waiting.withColumnRenamed("_blk", "_home"), [*keys, "_home"], "left_anti")
         state = stage(again.unionByName(rest))

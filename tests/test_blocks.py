@@ -205,3 +205,28 @@ def test_band_energies_across_chunks(spark):
     frames = (len(x) - nfft) // hop + 1
     assert len({n for n, _ in got}) == frames
     assert all(max(range(3), key=lambda b: got[(n, b)]) == 1 for n in range(frames))
+
+
+def test_groups_come_whole_and_in_order_across_batches(spark):
+    """Many small groups share one call; a group longer than a batch, and a null key, come whole."""
+    import pyarrow as pa
+
+    rows = [(g, i) for g in (*range(300), None) for i in range(1 + (g or 0) % 7)] + [(1000, i) for i in range(45)]
+    df = spark.createDataFrame(rows, "g long, i long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        def ends(table, at):
+            i = table.column("i").to_pylist()
+            assert all(i[a:b] == list(range(b - a)) for a, b in zip(at[:-1], at[1:]))
+            out = table.select(["g"]).take(pa.array(at[:-1]))
+            return out.append_column("n", pa.array(at[1:] - at[:-1]))
+        got = B.by_group(df, ["g"], ["i"], ends, "g long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.g: r.n for r in got} == {**{g: 1 + g % 7 for g in range(300)}, None: 1, 1000: 45} and len(got) == 302
+
+
+def test_greedy_steps_make_no_call_per_group(spark):
+    t = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, 5.0)], "series_id long, t double")
+    plan = P.keep_spaced(t, ["series_id"], "t", 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
