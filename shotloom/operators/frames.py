@@ -8,11 +8,13 @@ exact and nothing but a few hundred rows per frame meets after the tiles.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.maths import clip
+from ..session import stage
+from .blocks import by_group
 from .measures import BLOCK_STEP, FLAT_MIN, FLAT_SHARE
 
 TILE = 256
@@ -48,33 +50,40 @@ def _median(m: np.ndarray, box, size) -> np.ndarray:
     return np.sort(np.stack([m[i:h - 2 + i, j:w - 2 + j] for i in range(3) for j in range(3)]), axis=0)[4]
 
 
-def tile_counts(v: np.ndarray, box: tuple[int, int, int, int], size: tuple[int, int]) -> list[tuple]:
-    """(kind, value, n, s1, s2) of the tile ``box`` of a frame; ``v`` reaches ``HALO`` pixels further where the frame does."""
-    out = []
+KINDS = ("curve", "edge", "luma", "across", "down")
 
-    def count(kind, value, extra=None):
-        value, at = np.unique(value, return_inverse=True)
-        at = at.ravel()
-        extra = np.zeros(len(at)) if extra is None else extra.ravel().astype(float)
-        n, s1, s2 = np.bincount(at), np.bincount(at, extra), np.bincount(at, extra * extra)
-        out.extend((kind, int(x), int(k), int(a), int(b)) for x, k, a, b in zip(value, n, s1, s2))
 
+def tile_values(v: np.ndarray, box: tuple[int, int, int, int], size: tuple[int, int]) -> list[tuple]:
+    """(number of the kind, values, what is summed per value) of the tile ``box`` of a frame; ``v`` reaches ``HALO`` pixels
+    further where the frame does."""
     whole, near = _wider(box, HALO, size), _wider(box, 1, size)
     at = whole[0], whole[2]
     own = _part(v, at, box)
     curve = _laplacian(_part(v, at, near), box, size)
-    count("curve", np.zeros(curve.size, int), curve)
     mid = _median(v, near, size)
-    count("edge", np.abs(_laplacian(mid, box, size)).ravel(), own - _part(mid, (near[0], near[2]), box))
-    count("luma", own.ravel())
+    out = [(0, np.zeros(curve.size, np.int64), curve), (1, np.abs(_laplacian(mid, box, size)), own - _part(mid, (near[0], near[2]), box)), (2, own, np.zeros(own.size))]
     x0, x1, y0, y1 = box
     across = np.abs(np.diff(_part(v, at, (x0, min(x1 + 1, size[0]), y0, y1)), axis=1))
     down = np.abs(np.diff(_part(v, at, (x0, x1, y0, min(y1 + 1, size[1]))), axis=0)).T
-    for kind, step, first in (("across", across, x0), ("down", down, y0)):
+    for kind, step, first in ((3, across, x0), (4, down, y0)):
         if step.size:
             on = np.broadcast_to((np.arange(step.shape[1]) + first) % BLOCK_STEP == BLOCK_STEP - 1, step.shape)
-            count(kind, on.ravel().astype(int), step)
-    return out
+            out.append((kind, on.astype(np.int64), step))
+    return [(kind, value.ravel(), extra.ravel().astype(float)) for kind, value, extra in out]
+
+
+def counted(tiles: list[tuple[int, list[tuple]]]) -> tuple[np.ndarray, ...]:
+    """Tile, kind, value, n, s1, s2 for the values of many tiles at once."""
+    parts = [(g * len(KINDS) + kind, value, extra) for g, got in tiles for kind, value, extra in got]
+    if not parts:
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    value, extra = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
+    low = value.min()
+    span = value.max() - low + 1
+    code, at = np.unique(np.repeat([x[0] for x in parts], [len(x[1]) for x in parts]) * span + (value - low), return_inverse=True)
+    of = code // span
+    sums = (np.bincount(at), np.bincount(at, extra), np.bincount(at, extra * extra))
+    return of // len(KINDS), of % len(KINDS), code % span + low, *(x.astype(np.int64) for x in sums)
 
 
 def frame_quality(pixels: DataFrame, keys=("shot_id", "frame"), x="x", y="y", luma="luma", tile: int = TILE, flat_min: int = FLAT_MIN) -> DataFrame:
@@ -95,22 +104,25 @@ def frame_quality(pixels: DataFrame, keys=("shot_id", "frame"), x="x", y="y", lu
     fields = [f for f in pixels.schema.fields if f.name in keys]
     schema = StructType([*fields, StructField("kind", StringType()), *[StructField(n, LongType()) for n in ("value", "n", "s1", "s2")]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h, tx, ty = (int(pdf[n].iloc[0]) for n in ("_w", "_h", "_tx", "_ty"))
-        xs, ys = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        left, top = xs.min(), ys.min()
-        v = np.zeros((ys.max() - top + 1, xs.max() - left + 1), np.int64)
-        v[ys - top, xs - left] = pdf["v"].fillna(0).to_numpy(np.int64)
-        box = tx * tile, min((tx + 1) * tile, w), ty * tile, min((ty + 1) * tile, h)
-        x0, x1, y0, y1 = _wider(box, HALO, (w, h))
-        complete = (x0, x1, y0, y1) == (left, left + v.shape[1], top, top + v.shape[0]) and len(pdf) == v.size
-        got = tile_counts(v, box, (w, h)) if complete else []       # else a frame with gaps
-        out = pd.DataFrame(got, columns=["kind", "value", "n", "s1", "s2"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "kind", "value", "n", "s1", "s2"]]
-
-    counts = cut.groupBy(*keys, "_tx", "_ty").applyInPandas(run, schema).groupBy(*keys, "kind", "value").agg(*[F.sum(n).alias(n) for n in ("n", "s1", "s2")])
+    def run(table: pa.Table, at: np.ndarray) -> pa.Table:
+        every = {n: table.column(n).to_numpy() for n in ("x", "y", "_w", "_h", "_tx", "_ty")}
+        luma, tiles = table.column("v").fill_null(0).to_numpy(), []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            w, h, tx, ty = (int(every[n][a]) for n in ("_w", "_h", "_tx", "_ty"))
+            xs, ys = every["x"][a:b], every["y"][a:b]
+            left, top = int(xs.min()), int(ys.min())
+            v = np.zeros((int(ys.max()) - top + 1, int(xs.max()) - left + 1), np.int64)
+            v[ys - top, xs - left] = luma[a:b]
+            box = tx * tile, min((tx + 1) * tile, w), ty * tile, min((ty + 1) * tile, h)
+            x0, x1, y0, y1 = _wider(box, HALO, (w, h))
+            if (x0, x1, y0, y1) == (left, left + v.shape[1], top, top + v.shape[0]) and b - a == v.size:        # else a frame with gaps
+                tiles.append((a, tile_values(v, box, (w, h))))
+        first, kind, *numbers = counted(tiles)
+        out = table.select(keys).take(pa.array(first))
+        return pa.table([*out.columns, pa.array(KINDS).take(pa.array(kind)), *(pa.array(x) for x in numbers)], [*keys, "kind", "value", "n", "s1", "s2"])
+
+    counts = by_group(cut, [*keys, "_tx", "_ty"], ["y", "x"], run, schema).groupBy(*keys, "kind", "value").agg(*[F.sum(n).alias(n) for n in ("n", "s1", "s2")])
+    counts = stage(counts)      # read for the percentiles and for the sums
     along = W.partitionBy(*keys, "kind").orderBy("value")
     counts = counts.withColumns({"upto": F.sum("n").over(along), "all": F.sum("n").over(W.partitionBy(*keys, "kind"))})
 

@@ -56,3 +56,11 @@ def test_palette_is_a_fixed_point(spark):
         assert len(m) == min(3, len(np.unique(v, axis=0))) and abs(sum(w) - 1) < 1e-9 and w == sorted(w, reverse=True)
         near = ((v[:, None] - m[None]) ** 2).sum(2).argmin(1)
         assert np.allclose([v[near == i].mean(0) for i in range(len(m))], m, atol=1e-6) and np.allclose([(near == i).mean() for i in range(len(m))], w)
+
+
+def test_tiles_are_counted_together():
+    """Counts of many tiles in one go are those of each tile alone, and none mixes with another."""
+    rng = np.random.default_rng(5)
+    tiles = [(g, frames.tile_values(rng.integers(0, 250, (9, 7)), (0, 7, 0, 9), (7, 9))) for g in (0, 4, 9)]
+    alone = [row for t in tiles for row in zip(*(x.tolist() for x in frames.counted([t])))]
+    assert sorted(zip(*(x.tolist() for x in frames.counted(tiles)))) == sorted(alone) and frames.counted([])[0].size == 0
