@@ -344,7 +344,8 @@ def validate_timeline(spark, sf):
     prj = table(spark, sf, "supplier").select(k.alias("timeline_id"), F.when(k % 17 == 0, "2.0.0").otherwise("1.0.0").alias("schema_version"),
                                               F.when(k % 7 == 0, 1081).otherwise(1080).alias("width"), F.lit(1920).alias("height"), F.when(k % 11 == 0, 300).otherwise(30).alias("fps"))
     beats = V.beats(spark, sf).select(c("series_id").alias("timeline_id"), (c("beat") / 1000).alias("beat"))
-    return T.validate_timeline(stage(timeline(spark, sf)), prj, beats, time_width=600.0)
+    t = stage(timeline(spark, sf).select("timeline_id", "idx", "clip_id", "tl_start", "dur", "source_in", "source_out", "speed", "handling", "effects", "transition", "tdur", "beat_locked"))
+    return T.validate_timeline(t, prj, beats, time_width=600.0)
 
 
 METRIC = ("mt", """SELECT timeline_id, count(*) AS clips, max(tl_start + dur) AS duration, avg(dur) AS mean_shot, min(dur) AS min_shot, max(dur) AS max_shot, CAST(sum(len(fx)) AS BIGINT) AS total_effects,
