@@ -244,6 +244,20 @@ def test_lines(docs):
     assert set(c.split()[0] for c in CLASH.split(", ")) <= set(line_dedup.dedup_lines(docs).columns)
 
 
+def test_line_pairs_go_on_by_the_number_of_shared_prefix_tokens(spark):
+    r = np.random.default_rng(5)
+    base = r.choice(400, 48, replace=False)
+    sets = [set(np.where(r.random(48) < share, r.choice(np.arange(400, 9000), 48, replace=False), base).tolist()) for share in (0, 0.02, 0.05, 0.08, 0.1, 0.3, 0.6, 0.9) for _ in range(6)]
+    sets += [set(list(s)[:k]) for s, k in zip(sets, (47, 40, 37, 36, 30, 12))]
+    prefix = [sorted(s)[:len(s) - (len(s) * 75 + 99) // 100 + 1] for s in sets]
+    rows = [(a, len(sets[a]), prefix[a].index(t), b, len(sets[b]), prefix[b].index(t)) for a in range(len(sets)) for b in range(a + 1, len(sets)) for t in set(prefix[a]) & set(prefix[b])]
+    pairs = line_dedup._possible(spark.createDataFrame(rows, "a long, n_a int, i_a int, b long, n_b int, i_b int"))
+    got = {(x.a, x.b) for x in line_dedup._likely(pairs).collect()}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert alike and alike <= got
+    assert len(got) < pairs.select("a", "b").distinct().count()
+
+
 def test_lines_without_id(spark):
     t = "a b c d e f g"
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, [(None, t), (1, t), (2, t + "\nx"), (None, None)])).collect()), key=str)
