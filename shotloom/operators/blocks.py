@@ -232,8 +232,8 @@ def _brackets(d: DataFrame, keys: Sequence[str], probs: Sequence[float], rows: i
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], rows: int = BRACKET_ROWS) -> DataFrame:
     """Exact linearly interpolated percentiles per key, one column per entry of ``probs``.
 
-    Every wanted rank gets a bracket of at most ``rows`` values (``_brackets``).  One counting aggregation keeps single values
-    only inside the brackets and counts the rest, so what is ranked per key is bounded, however large the group.
+    Every wanted rank gets a bracket of at most ``rows`` values (``_brackets``).  Values inside stay as they are and the rest is
+    counted, so what is ranked per key is bounded, however large the group.
     """
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, rows).drop("_all")
@@ -243,10 +243,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
     x = F.col("_v")
     passed = F.size(F.filter(F.col("_hi"), lambda h: h < x))
     inside = F.exists(F.zip_with("_lo", "_hi", lambda a, b: (x >= a) & (x <= b)), lambda b: b)
-    counted = (d.join(sketch, list(keys)).select(*keys, "_n", passed.alias("_gap"), inside.alias("_in"),
-                              F.when(inside, x).alias("_v"))
-                      .groupBy(*keys, "_n", "_gap", "_in", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = W.partitionBy(*keys).orderBy("_gap", "_in", "_v")
+    # a bracket of one value may have any number of rows, as have the gaps: these are counted, the others are few per key and stay as they are
+    single = F.exists(F.zip_with("_lo", "_hi", lambda a, b: (x == a) & (x == b)), lambda b: b)
+    placed = d.join(sketch.hint("shuffle_hash"), list(keys)).select(*keys, "_n", passed.alias("_gap"), inside.alias("_in"), single.alias("_one"), F.when(inside, x).alias("_v"))
+    alone = F.col("_in") & ~F.col("_one")
+    counted = placed.filter(~alone).groupBy(*keys, "_n", "_gap", "_in", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.unionByName(placed.filter(alone).select(*keys, "_n", "_gap", "_in", "_v", F.lit(1).cast("long").alias("_c")))
+    w = W.partitionBy(*keys).orderBy("_gap", "_in", "_v").rowsBetween(W.unboundedPreceding, 0)      # equal values take ranks one after the other
     ranked = counted.withColumn("_end", F.sum("_c").over(w)).withColumn("_from", F.col("_end") - F.col("_c"))
     picks, outs = [], []
     for n in names:

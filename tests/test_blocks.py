@@ -85,6 +85,18 @@ def test_quantiles_exact_beyond_a_bracket(skewed, monkeypatch, bins):
             assert abs(q[s][k] - np.percentile(x, p)) < 1e-9
 
 
+def test_quantiles_count_only_what_may_be_many(spark):
+    x = [5.0] * 400 + [k / 7 for k in range(60)]
+    rows = [(1, v) for v in x] + [(2, float(k)) for k in range(9)]
+    d = B.quantiles(spark.createDataFrame(rows, "k long, v double"), ["k"], F.col("v"), {"lo": 0.01, "m": 0.5, "hi": 0.999}, rows=20)
+    for r in d.collect():
+        for name, p in (("lo", 1), ("m", 50), ("hi", 99.9)):
+            assert abs(r[name] - np.percentile([v for k, v in rows if k == r.k], p)) < 1e-9
+    # values in a bracket are neither sorted for the join with the brackets nor held in a hash table by value
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Union" in plan
+
+
 def test_quantiles_of_extreme_values(spark):
     x = [float("-inf")] * 3 + [-1.7e308, 1.7e308, 0.0, 1e-300] + [5.0] * 90 + [float(k) ** 9 for k in range(60)]
     got = B.quantiles(spark.createDataFrame([(1, v) for v in x] + [(1, None), (2, 4.0)], "k long, v double"), ["k"], F.col("v"), {"m": 0.5, "hi": 0.99}, rows=5).orderBy("k").collect()
