@@ -97,34 +97,43 @@ CHECK = "array<struct<check:string,status:string>>"
 
 
 def conformance(media: DataFrame, expect_loudness: bool = True) -> DataFrame:
-    """Check rows (pass, fail, skip) of every file against every profile.
+    """Check rows (pass, fail, skip) of every file against every profile, and how many there are of each.
 
     Media carries what was measured: width, height, fps, codec, pix_fmt, has_audio,
     sample_rate, channels, duration, loudness, true_peak, faststart; null means unmeasured.
     """
-    d = plan_scaling(media)
+    sound = c("has_audio")
 
     def check(name, ok, when=None, measured=None):
         status = F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail")
         if measured is not None:
             status = F.when(measured.isNull(), "skip").otherwise(status)
-        s = F.struct(F.lit(name).alias("check"), status.alias("status"))
-        return s if when is None else F.when(when, s)
+        return name, status if when is None else F.when(when, status)
+
+    def tally(of_file: list) -> Column:
+        # rows of each status in one number, a base of 1000 apart, so that counting builds no arrays
+        return sum((F.coalesce(F.when(s == "pass", 1).when(s == "fail", 1000).when(s == "skip", 1000000), F.lit(0)) for _, s in of_file), F.lit(0))
 
-    sound = c("has_audio")
     target = lookup(D.LOUDNESS_TARGETS, c("loudness_target"))
-    items = [
-        check("resolution", (c("width") == c("p_width")) & (c("height") == c("p_height"))),
-        check("frame rate", F.abs(c("fps") - c("p_fps")) <= 0.05),
+    # what holds for a file whatever the profile is judged before the profiles multiply the rows
+    same = {name: status for name, status in [
         check("video codec", c("codec") == D.VIDEO_CODEC), check("pixel format", c("pix_fmt") == D.PIX_FMT), check("audio stream", sound),
         check("sample rate", c("sample_rate") == D.SAMPLE_RATE, sound), check("channels", c("channels") == D.CHANNELS, sound),
-        check("duration limit", c("duration") <= c("max_duration") + 0.05, c("max_duration").isNotNull())]
-    if expect_loudness:
-        items += [check("loudness", F.abs(c("loudness") - target) <= 1.0, sound, c("loudness")),
-                  check("true peak", c("true_peak") <= D.TRUE_PEAK_CEILING, sound, c("true_peak"))]
-    items += [check("faststart", c("faststart"), None, c("faststart")),
-              F.when(c("upscaling"), F.struct(F.lit("resolution provenance").alias("check"), F.lit("skip").alias("status")))]
-    return d.withColumn("checks", present(*items))
+        *([check("true peak", c("true_peak") <= D.TRUE_PEAK_CEILING, sound, c("true_peak"))] if expect_loudness else []),
+        check("faststart", c("faststart"), None, c("faststart"))]}
+    d = plan_scaling(media.withColumn("_same", tally(list(same.items()))))
+    per = dict([
+        check("resolution", (c("width") == c("p_width")) & (c("height") == c("p_height"))),
+        check("frame rate", F.abs(c("fps") - c("p_fps")) <= 0.05),
+        check("duration limit", c("duration") <= c("max_duration") + 0.05, c("max_duration").isNotNull()),
+        *([check("loudness", F.abs(c("loudness") - target) <= 1.0, sound, c("loudness"))] if expect_loudness else []),
+        ("resolution provenance", F.when(c("upscaling"), "skip"))])
+    order = ["resolution", "frame rate", "video codec", "pixel format", "audio stream", "sample rate", "channels", "duration limit", "loudness", "true peak", "faststart", "resolution provenance"]
+    both = same | per
+    items = [F.when(both[n].isNotNull(), F.struct(F.lit(n).alias("check"), both[n].alias("status"))) for n in order if n in both]
+    d = d.withColumns({"checks": present(*items), "_tally": c("_same") + tally(list(per.items()))})
+    count = {"passed": c("_tally") % 1000, "failed": F.floor(c("_tally") / 1000) % 1000, "skipped": F.floor(c("_tally") / 1000000)}
+    return d.withColumns({n: x.cast("long") for n, x in count.items()}).drop("_same", "_tally")
 
 
 def qc_rows(conformed: DataFrame, key="file_id") -> DataFrame:
@@ -133,7 +142,4 @@ def qc_rows(conformed: DataFrame, key="file_id") -> DataFrame:
 
 def qc_summary(conformed: DataFrame, key="file_id") -> DataFrame:
     """Counts per file and profile; conformant when nothing failed, skips do not count."""
-    def n(s):
-        return F.size(F.filter("checks", lambda x: x["status"] == s)).cast("long")
-    d = conformed.select(key, "profile", n("pass").alias("passed"), n("fail").alias("failed"), n("skip").alias("skipped"))
-    return d.withColumn("conformant", c("failed") == 0)
+    return conformed.select(key, "profile", "passed", "failed", "skipped", (c("failed") == 0).alias("conformant"))

@@ -23,6 +23,11 @@ def test_no_all_pairs_join(spark, small, name):
     assert "NestedLoop" not in physical and "Cartesian" not in physical
 
 
+def test_summary_counts_without_arrays(spark, small):
+    logical, _ = plan_of(catalog.QUERIES["qc_summary"](spark, small))
+    assert "lambda" not in logical
+
+
 def test_scan_reads_only_what_the_query_needs(spark, small):
     _, physical = plan_of(catalog.QUERIES["find_attributes"](spark, small))
     schema = physical.split("ReadSchema: struct<")[1].split(">")[0]
