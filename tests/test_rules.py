@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,42 @@ def test_plan_slots_by_hand(spark):
     assert len(second) == 450 and second[-1].end == 900 and not second[0].beat_locked
 
 
+def test_plans_walk_side_by_side(monkeypatch):
+    """The arrays are gone through once per slot of the longest plan, not once per plan, and every plan keeps its own path."""
+    rng = np.random.default_rng(3)
+
+    def plan(k):
+        beats = np.sort(rng.uniform(0, 30, rng.integers(0, 60)))
+        energy = np.sort(rng.uniform(0, 26, rng.integers(0, 20)))
+        arc = [{"role": "hook", "start": 0.0, "end": 4.0}, {"role": "climax", "start": 4.0, "end": 20.0}]
+        return {"plan_id": k, "start_offset": 1.0, "target": float(rng.choice([8.0, 24.0])), "beat_interval": 0.5, "p10_shot": rng.choice([None, 0.0, 0.4, 0.8]), "median_shot": 0.9,
+                "p90_shot": 2.0, "pacing": 1.0, "curve": [0.2, 0.5, 0.9][:k % 4], "arc": arc if k % 2 else None, "arc_duration": 20.0, "intensity_gain": 1.1, "intensity_offset": 0.05,
+                "pacing_multiplier": 0.8, "min_shot_floor": 0.12, "max_shot_ceiling": 4.0, "effect_density": 0.5, "_beyond": 0.5, "_beats": [{"t": t} for t in beats],
+                "_energy": [{"t": t, "energy": float(e)} for t, e in zip(energy, rng.uniform(0, 1, len(energy)))], "_drops": [{"t": 5.0}], "_down": [{"t": t} for t in beats[::4]]}
+
+    turns, place = [], P._place
+    monkeypatch.setattr(P, "_place", lambda *a: turns.append(1) or place(*a))
+    kinds = {"curve": pa.list_(pa.float64()), "p10_shot": pa.float64(), **{n: pa.list_(pa.struct([("t", pa.float64()), *extra])) for n, extra in
+             (("_beats", []), ("_energy", [("energy", pa.float64())]), ("_drops", []), ("_down", []))},
+             "arc": pa.list_(pa.struct([("role", pa.string()), ("start", pa.float64()), ("end", pa.float64())]))}
+    plans = [plan(k) for k in range(200)]
+
+    def walk(rows):
+        return P._walk(pa.table({n: pa.array([r[n] for r in rows], kinds.get(n)) for n in rows[0]}), "plan_id").to_pylist()
+
+    got = walk(plans)
+    together = len(turns)
+    alone, most = [], 0
+    for p in plans:
+        turns.clear()
+        alone += walk([p])
+        most = max(most, len(turns))
+    assert got == alone and len({r["plan_id"] for r in got}) == 200 and together == most
+    assert {r["role"] for r in got} >= {"hook", "climax", "release", "punctuation"}
+    unmeasured = [walk([plans[1] | {"p10_shot": x, "effect_density": 0.0}]) for x in (None, 0.0, 0.3)]
+    assert unmeasured[0] == unmeasured[1] == unmeasured[2]
+
+
 def test_contents_that_differ_in_the_middle_are_two(spark):
     one, two = "a" * (3 << 20), "a" * (3 << 19) + "b" + "a" * ((3 << 19) - 1)
     d = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
