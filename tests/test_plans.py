@@ -1,6 +1,7 @@
 """Plan shapes that matter at scale, skew in the data, and the timer of the job monitor."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ def test_no_all_pairs_join(spark, small, name):
     assert "NestedLoop" not in physical and "Cartesian" not in physical
 
 
+def test_scores_fit_a_method_that_is_compiled(spark, small):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # the generated code is known before the run
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        code = catalog.QUERIES["score_candidates"](spark, small)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000      # the JVM interprets longer methods
+
+
 def test_summary_counts_without_arrays(spark, small):
     logical, _ = plan_of(catalog.QUERIES["qc_summary"](spark, small))
     assert "lambda" not in logical
