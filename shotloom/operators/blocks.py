@@ -169,14 +169,20 @@ def _borders(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt by key to a fixed number of tasks, for work whose weight does not show in their bytes."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema) -> DataFrame:
     """``fn`` gets whole groups, one after the other and ordered, and the rows at which they begin (with the end of the last).
 
     It sees as many groups at once as fill an Arrow batch; a group that is longer comes alone.  The groups are dealt to a fixed
     number of tasks, as the work per group does not show in the bytes by which small partitions are put together.
     """
-    spark, keys = df.sparkSession, list(keys)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = list(keys)
 
     def run(batches):
         def done(rows):
@@ -195,7 +201,7 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Calla
             held.append(batch)
         if held:
             yield from done(held)
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return spread(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 BRACKET_ROWS = 20000   # values that may lie between two bounds of a wanted rank

@@ -40,6 +40,11 @@ def test_colours_meet_centres_in_plain_columns(spark, small):
     assert "transform(" not in logical and "SortAggregate" not in physical
 
 
+def test_series_are_dealt_before_their_frames_are_made(spark, small):
+    _, physical = plan_of(catalog.QUERIES["novelty"](spark, small))
+    assert "REPARTITION_BY_NUM" in physical
+
+
 def test_summary_counts_without_arrays(spark, small):
     logical, _ = plan_of(catalog.QUERIES["qc_summary"](spark, small))
     assert "lambda" not in logical
