@@ -170,10 +170,14 @@ def _borders(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows dealt by key to a fixed number of tasks, for work whose weight does not show in their bytes."""
+    """The rows dealt by key to a fixed number of tasks, for work whose weight does not show in their bytes.
+
+    They are dealt by a hash of the keys: an exchange by the keys themselves is left out behind a join on them, and adaptive
+    execution may later turn that join into one that no longer holds the rows of a key in one task.
+    """
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *keys)
+    return df.repartition(parts, F.xxhash64(*keys))
 
 
 def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema) -> DataFrame:

@@ -1,6 +1,7 @@
 """The block helpers against plain Python on whole series, with a hot series holding most rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,23 @@ def test_debounce(skewed, gap, width):
     assert got == sorted(want)
 
 
+def test_groups_stay_whole_behind_a_join_that_turns_into_a_broadcast(spark):
+    # planned as a sort-merge join on the keys of the groups; adaptive execution broadcasts the small side and reads the other side where it lies
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 4000, 1, 5).select((F.col("id") % 40).alias("series_id"), F.col("id").alias("n"))
+        small = spark.createDataFrame([(s,) for s in range(40)], "series_id long")
+        sizes = B.by_group(df.join(small, "series_id"), ["series_id"], ["n"], lambda t, at: pa.table({"n": np.diff(at)}), "n long").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r.n for r in sizes] == [100] * 40
+
+
 def test_a_run_of_rising_peaks_crosses_blocks(spark):
     # every peak hangs on the next one, so the last decides and the rest follows back through all blocks of the hot series
     rows = [(1, 2 * k, float(k)) for k in range(900)] + [(2, 5, 1.0), (2, 7, 1.0)]
