@@ -135,6 +135,21 @@ def test_groups_stay_whole_behind_a_join_that_turns_into_a_broadcast(spark):
     assert [r.n for r in sizes] == [100] * 40
 
 
+def test_spacing_where_adaptive_execution_broadcasts_the_starts_of_blocks(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        beats = spark.range(0, 4000, 1, 5).select((F.col("id") % 40).alias("plan_id"), (F.col("id") / 40).alias("t"))
+        kept = P.keep_spaced(beats, ["plan_id"], "t", 2.5).groupBy("plan_id").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(kept) == 40 and {r["count"] for r in kept} == {34}      # of 100 beats, one a second, every third
+
+
 def test_a_run_of_rising_peaks_crosses_blocks(spark):
     # every peak hangs on the next one, so the last decides and the rest follows back through all blocks of the hot series
     rows = [(1, 2 * k, float(k)) for k in range(900)] + [(2, 5, 1.0), (2, 7, 1.0)]
