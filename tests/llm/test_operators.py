@@ -84,6 +84,19 @@ def test_leaks_beyond_the_broadcast_bound(spark, monkeypatch):
     assert [tuple(r) for r in got.collect()] == [(1, 7, 13, 13)]
 
 
+def test_leaks_of_a_large_benchmark_move_no_words(spark, monkeypatch):
+    # 40 items under 30 ids each: equal items are compared once, and what exceeds the bound takes further scans, not a shuffle of words
+    items = [(100 * c + i, " ".join(f"w{i}x{k}" for k in range(16))) for i in range(40) for c in range(30)]
+    rows = [(k, "before " + items[30 * k][1] + " after") for k in range(40)] + [(99, "none of it")]
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 600)
+    got = decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((d, 100 * c + d, 13, 13) for d in range(40) for c in range(30))
+    seen = []
+    monkeypatch.setattr(decontamination, "_found", lambda d, seeds, items, f=decontamination._found: seen.append((seeds.count(), items.count(), f(d, seeds, items)._jdf.queryExecution().optimizedPlan().toString())) or f(d, seeds, items))
+    decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(seen) == 3 and sum(n for _, n, _ in seen) == 40 and max(s for s, _, _ in seen) < 1200 and all(plan.count("strategy=broadcast") == 2 for _, _, plan in seen)
+
+
 def test_codec_equals_the_library(spark):
     rows = ROWS + [(2000 + k, t) for k, t in enumerate(ODD)]
     path = vocab.default_path(bpe_codec.TOKENIZER)
