@@ -272,6 +272,18 @@ def test_assignment_ships_what_it_scores_only(spark, small, tmp_path, monkeypatc
     assert "ballast" not in seen[0] and "prev" not in seen[0] and "score" in seen[1]
 
 
+def test_assignment_takes_plans_in_slices(spark, small, monkeypatch):
+    from shotloom.plans.timeline_queries import KNOBS, candidates
+    d = candidates(spark, small).filter("asset_id < 200").withColumn("plan_id", F.floor(F.col("asset_id") / 40).cast("long")).cache()
+    pins = d.filter("plan_id = 3 AND slot = 1").groupBy("plan_id", "slot").agg(F.max("shot_id").alias("shot_id"))
+    whole = sorted(tuple(r) for r in P.assign_greedy(d, pins, KNOBS).collect())
+    seen, every = [], P.contenders
+    monkeypatch.setattr(P, "SLICE_ROWS", d.count() // 3)
+    monkeypatch.setattr(P, "contenders", lambda c, *args: seen.append({r.plan_id for r in c.select("plan_id").distinct().collect()}) or every(c, *args))
+    assert sorted(tuple(r) for r in P.assign_greedy(d, pins, KNOBS).collect()) == whole and any(r[4] for r in whole)
+    assert len(seen) >= 3 and sum(map(len, seen)) == len(set().union(*seen)) == 5
+
+
 def test_coverage_ranks_no_whole_library(spark):
     d = spark.range(500).selectExpr("format_string('s%03d', id) AS shot_id", "'use' AS handling", "0.9D AS brightness", "IF(id < 400, 0.1D, 9.0D) AS duration", "CAST(id % 7 AS DOUBLE) AS technical_quality")
     got = K.coverage(d, [{"number": n, "criteria": (Q.Criterion("brightness", ">", 0.5 * n, "bright"),), "duration": 6.0} for n in (1, 2)])
