@@ -25,8 +25,7 @@ def bands(spark, sf):
     """Dense grid of frames x 5 bands per series, up to its last event; absent cells are silent."""
     raw = V.raw_series(spark, sf)
     e = raw.groupBy("series_id", F.floor(c("t") / STEP).cast("long").alias("n"), c("kind").alias("band")).agg((F.sum("v") / 100).alias("e"))
-    # a row per series is little enough to be put into one task, and all frames that come of it would stay there; dealing by the
-    # series alone would be taken for what the grouping has done and left out
+    # a row per series is little enough to be put into one task, and all frames that come of it would stay there
     ends = spread(raw.groupBy("series_id").agg(F.floor(F.max("t") / STEP).cast("long").alias("last")), ["series_id", "last"])
     grid = ends.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), c("last"))).alias("n"))
     grid = grid.select("series_id", "n", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("band"))
